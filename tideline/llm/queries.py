@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm import language_id
+from tideline.llm.decontaminate import decontaminate
 from tideline.llm.ngram_join import ngram_jaccard_join
 
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,5 +41,47 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
-QUERIES = {"op1_ngram_join": op1_ngram_join}
-ORACLES = {"op1_ngram_join": OP1_SQL}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(spark, docs, table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP6_SQL = rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark
+), phrases AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), i -> array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS p
+  FROM items WHERE len(w) > 0
+), lengths AS (
+  SELECT DISTINCT k FROM phrases
+), runs AS (
+  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS at, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS p
+  FROM words, lengths WHERE len(w) >= k
+), found AS (
+  SELECT r.doc_id, r.at, r.k, q.item_id FROM runs r JOIN phrases q ON q.k = r.k AND q.p = r.p
+), hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + k)) AS place FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(n.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hit h ON h.doc_id = w.doc_id LEFT JOIN named n ON n.doc_id = w.doc_id
+"""
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(language_id.training_rows(docs))
+    judged = language_id.identify(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op6_decontaminate": op6_decontaminate, "op8_language_id": op8_language_id}
+ORACLES = {"op1_ngram_join": OP1_SQL, "op6_decontaminate": OP6_SQL}
