@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tideline.llm import language_id
 from tideline.llm.decontaminate import decontaminate
+from tideline.llm.line_dedup import dedup_lines
+from tideline.llm.mixing import mix
 from tideline.llm.ngram_join import ngram_jaccard_join
 
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,7 +28,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), links AS (
@@ -56,17 +58,17 @@ WITH words AS (
 ), items AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark
 ), phrases AS (
-  SELECT DISTINCT item_id, least(len(w), 10) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), i -> array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS p
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS p
   FROM items WHERE len(w) > 0
 ), lengths AS (
   SELECT DISTINCT k FROM phrases
 ), runs AS (
-  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS at, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS p
+  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS pos, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS p
   FROM words, lengths WHERE len(w) >= k
 ), found AS (
-  SELECT r.doc_id, r.at, r.k, q.item_id FROM runs r JOIN phrases q ON q.k = r.k AND q.p = r.p
+  SELECT r.doc_id, r.pos, r.k, q.item_id FROM runs r JOIN phrases q ON q.k = r.k AND q.p = r.p
 ), hit AS (
-  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + k)) AS place FROM found) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS place FROM found) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
 )
@@ -83,5 +85,45 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op6_decontaminate": op6_decontaminate, "op8_language_id": op8_language_id}
-ORACLES = {"op1_ngram_join": OP1_SQL, "op6_decontaminate": OP6_SQL}
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(spark, docs, weights=(5, 2, 1), most_repeats=3, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS name, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5('mix:' || CAST(doc_id AS VARCHAR)) AS k FROM documents
+), sizes AS (
+  SELECT none, name, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY none, name
+), weighed AS (
+  SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY none, name) - 1) % 3 + 1 AS INTEGER)] AS weight, 3 * source_size AS most FROM sizes
+), ordered AS (
+  SELECT *, sum(source_size) OVER () AS total,
+    sum(source_size) OVER () - coalesce(sum(most) OVER before, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weights
+  FROM (SELECT *, CAST(most AS DOUBLE) / weight AS ratio FROM weighed)
+  WINDOW before AS (ORDER BY ratio, none, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), filled AS (
+  SELECT *, most * weights <= weight * rest AS reached FROM ordered
+), goals AS (
+  SELECT none, name, source_size, CASE WHEN reached THEN CAST(most AS DOUBLE) ELSE weight *
+    (CAST(total - coalesce(sum(CASE WHEN reached THEN most END) OVER (), 0) AS DOUBLE) / CAST(sum(CASE WHEN NOT reached THEN weight END) OVER () AS DOUBLE)) END AS target
+  FROM filled
+), placed AS (
+  SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS budget,
+    CAST(sum(d.size) OVER (PARTITION BY d.none, d.name ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS BIGINT) AS start
+  FROM docs d JOIN goals g ON g.none = d.none AND g.name = d.name
+)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, budget - start)) + greatest(0, least(size, budget - start - source_size))
+  + greatest(0, least(size, budget - start - 2 * source_size)) AS BIGINT) AS taken
+FROM placed
+"""
+
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_line_dedup": op3_line_dedup, "op6_decontaminate": op6_decontaminate, "op8_language_id": op8_language_id, "op10_mixing": op10_mixing}
+ORACLES = {"op1_ngram_join": OP1_SQL, "op6_decontaminate": OP6_SQL, "op10_mixing": OP10_SQL}
