@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import language_id
+from tideline.llm import imatch, language_id
 from tideline.llm.decontaminate import decontaminate
 from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.mixing import mix
@@ -125,5 +125,10 @@ FROM placed
 """
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_line_dedup": op3_line_dedup, "op6_decontaminate": op6_decontaminate, "op8_language_id": op8_language_id, "op10_mixing": op10_mixing}
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return imatch.with_next(spark, docs, imatch.lexicon(spark, docs)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_imatch": op2_imatch, "op3_line_dedup": op3_line_dedup, "op6_decontaminate": op6_decontaminate, "op8_language_id": op8_language_id, "op10_mixing": op10_mixing}
 ORACLES = {"op1_ngram_join": OP1_SQL, "op6_decontaminate": OP6_SQL, "op10_mixing": OP10_SQL}
