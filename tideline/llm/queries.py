@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import imatch, language_id
+from tideline.llm import imatch, language_id, toxicity
 from tideline.llm.decontaminate import decontaminate
 from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.mixing import mix
@@ -78,6 +78,15 @@ FROM words w LEFT JOIN hit h ON h.doc_id = w.doc_id LEFT JOIN named n ON n.doc_i
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learn = language_id.training_rows
+    model = toxicity.fit(spark, learn(docs), learn(labels))
+    judged = toxicity.score(spark, docs, model)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return judged.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(language_id.training_rows(docs))
@@ -130,5 +139,5 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.with_next(spark, docs, imatch.lexicon(spark, docs)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_imatch": op2_imatch, "op3_line_dedup": op3_line_dedup, "op6_decontaminate": op6_decontaminate, "op8_language_id": op8_language_id, "op10_mixing": op10_mixing}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_imatch": op2_imatch, "op3_line_dedup": op3_line_dedup, "op6_decontaminate": op6_decontaminate, "op7_toxicity": op7_toxicity, "op8_language_id": op8_language_id, "op10_mixing": op10_mixing}
 ORACLES = {"op1_ngram_join": OP1_SQL, "op6_decontaminate": OP6_SQL, "op10_mixing": OP10_SQL}
