@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, as in local tests, a folder of this session's own."""
@@ -25,9 +27,15 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
     def put(self, df: DataFrame, *, by: str | None = None) -> DataFrame:
+        """Its shuffle files go as soon as the table is written: nothing reads them again."""
         self.n += 1
-        path, writer = f"{self.root}/{self.n}", df.write
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        path, writer, conf = f"{self.root}/{self.n}", df.write.option("compression", "zstd"), self.spark.conf
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
+        try:
+            (writer.partitionBy(by) if by else writer).parquet(path)
+        finally:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tideline_path = path
         return out
