@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import imatch, language_id, token_counts, toxicity
+from tideline.llm import imatch, language_id, token_counts, toxicity, url_templates
 from tideline.llm.decontaminate import decontaminate
 from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.mixing import mix
@@ -43,6 +43,16 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
+#: (host, path, verdict)
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).alias("good"))
+    return url_templates.judge(spark, pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.with_length(spark, table(spark, sf_dir, "documents").select("text"))
     return token_counts.answers(token_counts.histogram(lengths))
@@ -144,5 +154,5 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.with_next(spark, docs, imatch.lexicon(spark, docs)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_imatch": op2_imatch, "op3_line_dedup": op3_line_dedup, "op5_token_counts": op5_token_counts, "op6_decontaminate": op6_decontaminate, "op7_toxicity": op7_toxicity, "op8_language_id": op8_language_id, "op10_mixing": op10_mixing}
-ORACLES = {"op1_ngram_join": OP1_SQL, "op6_decontaminate": OP6_SQL, "op10_mixing": OP10_SQL}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_imatch": op2_imatch, "op3_line_dedup": op3_line_dedup, "op4_url_templates": op4_url_templates, "op5_token_counts": op5_token_counts, "op6_decontaminate": op6_decontaminate, "op7_toxicity": op7_toxicity, "op8_language_id": op8_language_id, "op10_mixing": op10_mixing}
+ORACLES = {"op4_url_templates": url_templates.sql(URL_RULES), "op1_ngram_join": OP1_SQL, "op6_decontaminate": OP6_SQL, "op10_mixing": OP10_SQL}
