@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import imatch, language_id, token_counts, toxicity, url_templates
+from tideline.llm import imatch, language_id, token_counts, toxicity, url_templates, warc
 from tideline.llm.decontaminate import decontaminate
 from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.mixing import mix
@@ -114,6 +114,65 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Archive records of pages: of each a full response and page_id mod 4 revisits, days later, under other spellings of
+    the URL, some with another entity tag, with the date only or without validators."""
+    k = F.col("k")
+    spelled = F.when(k % 3 == 1, F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/?utm_source=feed"))).when(k % 3 == 2, F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("#again"))).otherwise(F.col("url"))
+    tag = F.concat(F.lit('"'), F.md5(F.when(F.col("page_id") * 7 % 11 + k == 5, F.lit("other")).otherwise(F.col("html"))), F.lit('"'))
+    day = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") % 97 * 3600), "yyyy-MM-dd HH:mm")
+    first = F.array(
+        F.struct(F.lit("ETag").alias("key"), F.when(F.col("page_id") % 5 != 3, F.when(k % 2 == 1, F.concat(F.lit("W/"), tag)).otherwise(tag)).alias("value")),
+        F.struct(F.lit("Last-Modified").alias("key"), F.when(F.col("page_id") % 3 != 1, day).alias("value")),
+        F.struct(F.lit("Content-Type").alias("key"), F.when(k == 0, "text/html").otherwise("text/plain").alias("value")),
+        F.struct(F.lit("Cache-Control").alias("key"), F.concat(F.lit("max-age="), (k * 60).cast("string")).alias("value")),
+    )
+    return pages.select("page_id", "url", "html", F.explode(F.sequence(F.lit(0), (F.col("page_id") % 4).cast("int"))).alias("k")).select(
+        (F.col("page_id") * 4 + k).alias("record_id"), spelled.alias("url"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 7919 % 86400 + k * 86400 * 2).alias("captured_at"),
+        F.when(k == 0, 200).otherwise(304).alias("status"), F.map_from_entries(F.filter(first, lambda x: x["value"].isNotNull())).alias("headers"),
+        F.when(k == 0, F.col("html")).alias("payload"),
+    )
+
+
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "canonical_url", "response_id", "outcome", F.array_join(lines, "; ").alias("headers"), F.md5("payload").alias("payload_md5"))
+
+
+OP9_SQL = r"""
+WITH records AS (
+  SELECT p.page_id * 4 + k AS record_id, CASE WHEN k % 3 = 1 THEN regexp_replace(url, '[?#].*$', '') || '/?utm_source=feed'
+      WHEN k % 3 = 2 THEN regexp_replace(url, '[?#].*$', '') || '#again' ELSE url END AS url,
+    1704067200 + page_id * 7919 % 86400 + k * 86400 * 2 AS at_s, k = 0 AS is_full,
+    CASE WHEN page_id % 5 <> 3 THEN '"' || md5(CASE WHEN page_id * 7 % 11 + k = 5 THEN 'other' ELSE html END) || '"' END AS tag, k % 2 = 1 AS weak,
+    CASE WHEN page_id % 3 <> 1 THEN strftime(to_timestamp(1704067200 + page_id % 97 * 3600) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') END AS modified, html, k
+  FROM pages p, (SELECT unnest(range(0, 4)) AS k) WHERE k <= page_id % 4
+), bare AS (
+  SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM records
+), named AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*', 0)), '^www[0-9]*\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))), '&') AS args FROM bare
+), urls AS (
+  SELECT *, base || CASE WHEN args <> '' THEN '?' || args ELSE '' END AS canonical_url FROM named
+), placed AS (
+  SELECT *, last_value(CASE WHEN is_full THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY at_s, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS response_id FROM urls
+), judged AS (
+  SELECT r.record_id, r.canonical_url, r.response_id, r.k, r.tag, r.weak, r.modified, f.tag AS old_tag, f.modified AS old_modified, f.html,
+    CASE WHEN f.record_id IS NULL THEN 'missing' WHEN r.tag IS NOT NULL AND f.tag IS NOT NULL THEN CASE WHEN r.tag = f.tag THEN 'resolved' ELSE 'mismatch' END
+      WHEN r.modified IS NOT NULL AND f.modified IS NOT NULL THEN CASE WHEN r.modified = f.modified THEN 'resolved' ELSE 'mismatch' END ELSE 'unverified' END AS outcome
+  FROM placed r LEFT JOIN urls f ON f.record_id = r.response_id WHERE NOT r.is_full
+)
+SELECT record_id, canonical_url, response_id, outcome, concat_ws('; ', 'cache-control: max-age=' || CAST(k * 60 AS VARCHAR),
+    CASE WHEN outcome IN ('resolved', 'unverified') THEN 'content-type: text/html' ELSE 'content-type: text/plain' END,
+    'etag: ' || coalesce(CASE WHEN weak THEN 'W/' ELSE '' END || tag, CASE WHEN outcome IN ('resolved', 'unverified') THEN old_tag END),
+    'last-modified: ' || coalesce(modified, CASE WHEN outcome IN ('resolved', 'unverified') THEN old_modified END)) AS headers,
+  CASE WHEN outcome IN ('resolved', 'unverified') THEN md5(html) END AS payload_md5
+FROM judged
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(spark, docs, weights=(5, 2, 1), most_repeats=3, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
@@ -154,5 +213,5 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.with_next(spark, docs, imatch.lexicon(spark, docs)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_imatch": op2_imatch, "op3_line_dedup": op3_line_dedup, "op4_url_templates": op4_url_templates, "op5_token_counts": op5_token_counts, "op6_decontaminate": op6_decontaminate, "op7_toxicity": op7_toxicity, "op8_language_id": op8_language_id, "op10_mixing": op10_mixing}
-ORACLES = {"op4_url_templates": url_templates.sql(URL_RULES), "op1_ngram_join": OP1_SQL, "op6_decontaminate": OP6_SQL, "op10_mixing": OP10_SQL}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_imatch": op2_imatch, "op3_line_dedup": op3_line_dedup, "op4_url_templates": op4_url_templates, "op5_token_counts": op5_token_counts, "op6_decontaminate": op6_decontaminate, "op7_toxicity": op7_toxicity, "op8_language_id": op8_language_id, "op9_revisits": op9_revisits, "op10_mixing": op10_mixing}
+ORACLES = {"op4_url_templates": url_templates.sql(URL_RULES), "op1_ngram_join": OP1_SQL, "op6_decontaminate": OP6_SQL, "op9_revisits": OP9_SQL, "op10_mixing": OP10_SQL}
