@@ -138,7 +138,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     )
     gone = scratch.put(gone)
     keyed = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_th"))
-    joined = keyed.join(gone.withColumnsRenamed({"id": "_id", "th": "_th", "gone": "_gone"}), ["_id", "_th"], "left")
+    # Deletions grow with the corpus: a merge join at every size, never a broadcast.
+    joined = keyed.join(gone.withColumnsRenamed({"id": "_id", "th": "_th", "gone": "_gone"}).hint("merge"), ["_id", "_th"], "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     clean = F.when(F.col("_gone").isNull(), text).otherwise(F.when(kept.rlike(r"\S"), kept).otherwise(""))
     return joined.select(
