@@ -40,7 +40,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of every group of near duplicates the document with the smallest id stays."""
     found = ngram_jaccard_join(spark, docs, n=5, percent=80)
     stays = found.documents.filter("id = component").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.filter("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.filter("doc_id is not null").join(stays.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
