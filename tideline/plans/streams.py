@@ -1 +1,41 @@
-"""Queries to come."""
+"""Streaming queries over the event files, drained and read back; batch SQL says what must come out."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tideline.catalog import query
+from tideline.session import POSITIONS, seconds, table
+from tideline.streaming import stateful
+
+
+def events(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    # A pattern, since a stream's plain path has to be a folder.
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
+    return rows.withColumn("at", F.timestamp_seconds(seconds(F.col("ts"))))
+
+
+@query(363, 365, 367, 368, 378, 381, sql=f"""WITH {POSITIONS} SELECT CAST(floor(t / 10800.0) AS BIGINT) * 10800 AS w, event_type, count(*) AS n FROM positions GROUP BY 1, 2""")
+def stream_windows(spark, sf_dir):
+    out = stateful.drained(spark, stateful.windowed_counts(events(spark, sf_dir), "at", "event_type"), "complete", "windows")
+    return out.select(F.unix_timestamp("window.start").alias("w"), "event_type", "n")
+
+
+@query(369, 370, 371, 364, 382, sql="""SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events""")
+def stream_first_seen(spark, sf_dir):
+    """Keys met for the first time; every event day is within the time that keys are kept in this run."""
+    e = events(spark, sf_dir).withColumn("day", F.to_date("ts")).withWatermark("at", "60 days")
+    seen = e.dropDuplicatesWithinWatermark(["user_id", "event_type", "day"])
+    return stateful.drained(spark, seen.select("user_id", "event_type", "day"), "append", "seen")
+
+
+@query(372, 373, 374, 375, 376, 377)
+def stream_positions(spark, sf_dir):
+    """Fixes accepted or held back as jumps, with state per key."""
+    e = events(spark, sf_dir)
+    p = e.select(
+        F.col("user_id").alias("key"), seconds(F.col("ts")).alias("t"), (F.col("user_id") % 100 - 50 + F.col("event_id") % 40 / 20).alias("lat"),
+        (F.col("user_id") * 7 % 300 - 150 + F.col("event_id") % 60 / 20).alias("lon"),
+    )
+    return stateful.drained(spark, stateful.accepted_fixes(p), "append", "fixes")
