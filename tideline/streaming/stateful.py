@@ -59,8 +59,9 @@ def _step(known: tuple | None, fix: tuple[int, float, float]) -> tuple[tuple, bo
     return (t0, lat0, lon0, t, lat, lon), False
 
 
-def accepted_fixes(stream: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
-    """Fixes (key, t, lat, lon) with whether they are accepted; a key's state ends a day after its last fix."""
+def accepted_fixes(stream: DataFrame, late: str = "1 hour", keep_ms: int = 86_400_000) -> DataFrame:
+    """Fixes (key, t, lat, lon) with whether they are accepted; a key's state ends when the watermark is a day past its
+    last fix."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -73,10 +74,11 @@ def accepted_fixes(stream: DataFrame, keep_ms: int = 86_400_000) -> DataFrame:
             known, ok = _step(known, (t, lat, lon))
             out.append((key[0], t, lat, lon, ok))
         state.update(known)
-        state.setTimeoutDuration(keep_ms)
+        state.setTimeoutTimestamp(max(int(known[0]) * 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "t", "lat", "lon", "accepted"])
 
-    return stream.select("key", "t", "lat", "lon").groupBy("key").applyInPandasWithState(update, _FIX, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = stream.select("key", "t", "lat", "lon", F.timestamp_seconds("t").alias("at")).withWatermark("at", late)
+    return own.groupBy("key").applyInPandasWithState(update, _FIX, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(spark: SparkSession, out: DataFrame, mode: str, name: str) -> DataFrame:
