@@ -3,6 +3,8 @@ dictionary lookups by word run, overlays."""
 
 from __future__ import annotations
 
+from math import cos, radians
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,15 +41,16 @@ def cell(lat: Column, lon: Column, degrees: float) -> Column:
     return F.struct(F.floor(lat / degrees).alias("y"), F.floor(lon / degrees).alias("x"))
 
 
-def near(left: DataFrame, right: DataFrame, most_km: float, suffix: str = "_r") -> DataFrame:
-    """Pairs of (lat, lon) rows within a distance, found in the cells around: no cross join. Cells are squares of the
-    distance in degrees at 60 degrees of latitude; points nearer to the poles are compared in latitude bands that wide."""
+def near(left: DataFrame, right: DataFrame, most_km: float, suffix: str = "_r", most_lat: float = 80.0) -> DataFrame:
+    """Pairs of (lat, lon) rows within a distance, found in the cells around: no cross join. Cells are as high as the
+    distance, and as wide as it is at `most_lat`; pairs nearer to a pole than that may be missed. They go around the globe
+    in whole cells, so pairs over the date line are found."""
     step = most_km / 110.57
-    wide = step * 2
-    r = right.select(*(F.col(c).alias(c + suffix) for c in right.columns)).withColumns({"_y": F.floor(F.col("lat" + suffix) / step), "_x": F.floor(F.pmod(F.col("lon" + suffix) + 180, F.lit(360.0)) / wide)})
-    turns = int(-(-360 // wide))
-    ys = F.explode(F.sequence(F.floor(F.col("lat") / step) - 1, F.floor(F.col("lat") / step) + 1)).alias("_y")
-    l_ = left.select("*", ys).withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.pmod(F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / wide) + k, F.lit(turns))))))
+    turns = max(1, int(360 * cos(radians(most_lat)) / step))
+    x = lambda lon: F.floor(F.pmod(lon + 180, F.lit(360.0)) * (turns / 360)).cast("int")
+    r = right.select(*(F.col(c).alias(c + suffix) for c in right.columns)).withColumns({"_y": F.floor(F.col("lat" + suffix) / step), "_x": x(F.col("lon" + suffix))})
+    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(x(F.col("lon")) + k, F.lit(turns))))
+    l_ = left.withColumn("_y", F.explode(F.sequence(F.floor(F.col("lat") / step) - 1, F.floor(F.col("lat") / step) + 1))).withColumn("_x", F.explode(around))
     away = km(F.col("lat"), F.col("lon"), F.col("lat" + suffix), F.col("lon" + suffix))
     return l_.join(r, ["_y", "_x"]).drop("_y", "_x").withColumn("km", away).filter(F.col("km") <= most_km)
 
