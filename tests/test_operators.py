@@ -147,3 +147,27 @@ def test_rest_does_not_import_the_optional_subpackage():
 def test_entry_without_the_optional_parts(missing):
     code = f"import sys; sys.modules[{missing!r}] = None; sys.path.insert(0, '.'); import __spark_entry__ as e; assert 'feed_page' in e.queries() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_spacing_is_greedy(spark, sf_dir):
+    from tideline.plans.extras import spaced_ports
+    from tideline.plans.places import ports
+
+    kept = []
+    for p in sorted(ports(spark, sf_dir).collect(), key=lambda p: p.name):
+        if all(stateful._km(p.lat, p.lon, q.lat, q.lon) > 600 for q in kept):
+            kept.append(p)
+    assert sorted(p.name for p in kept) == sorted(r.name for r in spaced_ports(spark, sf_dir).collect())
+
+
+def test_shapes():
+    from tideline.functions.shapes import clip, simplify
+
+    assert simplify([(0, 0), (1, 0.1), (2, 0), (3, 3)], 0.5) == [(0, 0), (2, 0), (3, 3)] and simplify([], 1) == []
+    assert sorted(clip([(-1, -1), (3, -1), (3, 3), (-1, 3)], (0, 0, 2, 2))) == [(0, 0), (0, 2), (2, 0), (2, 2)]
+    assert clip([(5, 5), (6, 5), (6, 6)], (0, 0, 2, 2)) == []
+
+
+def test_persian_new_year(spark):
+    r = one(spark, p=clock.persian(F.to_date(F.lit("2024-03-20"))), d=clock.from_persian(F.lit(1403), F.lit(1), F.lit(1)))
+    assert tuple(r.p) == (1403, 1, 1) and str(r.d) == "2024-03-20"

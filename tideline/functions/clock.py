@@ -45,6 +45,25 @@ def near_year(month: Column, day: Column, hour: Column, now: Column) -> Column:
     return F.get(F.filter(tries, lambda t: t.between(now - 60 * 86400, now + 300 * 86400)), F.lit(0))
 
 
-def persian_year(day: Column) -> Column:
-    """Year of the Persian calendar, which begins on 20 or 21 March (taken as 21 March)."""
-    return F.year(day) - 621 - F.when(F.date_format(day, "MMdd") < "0321", 1).otherwise(0)
+#: Days of the Persian calendar's count at 1970-01-01 (fixed value of the 33-year rule).
+_PERSIAN_EPOCH = 1075195
+
+
+def persian(day: Column) -> Column:
+    """(y, m, d) of the Persian calendar by its 33-year rule."""
+    n = F.unix_date(day) + _PERSIAN_EPOCH
+    r = n % 12053
+    q = r % 1461
+    late = q > 365
+    y = -1595 + 33 * F.floor(n / 12053) + 4 * F.floor(r / 1461) + F.when(late, F.floor((q - 1) / 365)).otherwise(0)
+    k = F.when(late, (q - 1) % 365).otherwise(q)
+    m = F.when(k < 186, 1 + F.floor(k / 31)).otherwise(7 + F.floor((k - 186) / 30))
+    d = F.when(k < 186, 1 + k % 31).otherwise(1 + (k - 186) % 30)
+    return F.struct(y.cast("int").alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d"))
+
+
+def from_persian(y: Column, m: Column, d: Column) -> Column:
+    """The date of a day of the Persian calendar."""
+    k = y + 1595
+    days = -355668 + 365 * k + F.floor(k / 33) * 8 + F.floor((k % 33 + 3) / 4) + d + F.when(m < 7, (m - 1) * 31).otherwise((m - 7) * 30 + 186)
+    return F.date_from_unix_date((days - (_PERSIAN_EPOCH - 355667)).cast("int"))
