@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from tideline.llm.fm_index import FMIndex
 from tideline.llm.scan import WORDLIKE, grams, scan
+from tideline.llm.scratch import small_batches
 
 #: Words of the benchmark that one broadcast holds.
 BLOCK_WORDS = 2_000_000
@@ -168,6 +169,7 @@ def decontaminate(
 ) -> DataFrame:
     """docs with n_words, n_hit, items (ids of the items met, as sorted strings), spans (word numbers: start, end, start,
     end, ...) and clean_text (the text without the spans)."""
+    small_batches(spark)
     names = [c for c in docs.columns if c not in ADDED.names]
     out = docs.select(*names).withColumn("_found", F.lit(None).cast(ADDED))
     schema = out.schema

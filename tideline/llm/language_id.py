@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.llm.scratch import small_batches
+
 _OTHER = re.compile(r"[\W\d_]+")
 ADDED = ("lang_pred", "score", "margin", "rejected")
 
@@ -121,6 +123,7 @@ def _judge(model: Languages, text_at: int, least_margin: float):
 
 def identify(docs: DataFrame, model: Languages, *, text_col: str = "text", least_margin: float = 1.0) -> DataFrame:
     """docs with lang_pred, score (0 to 1), margin (bytes) and rejected."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ADDED]
     own = docs.select(*(F.col(f"`{c}`") for c in names))
     schema = T.StructType([*own.schema, *T._parse_datatype_string("lang_pred string, score double, margin double, rejected boolean")])

@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Arrow batches of whole texts are kept small: texts may be long, and JVM and Python hold a batch each.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,12 +31,14 @@ class Scratch:
         """Its shuffle files go as soon as the table is written: nothing reads them again."""
         self.n += 1
         path, writer, conf = f"{self.root}/{self.n}", df.write.option("compression", "zstd"), self.spark.conf
-        before = conf.get(_CLEANUP, None)
-        conf.set(_CLEANUP, "true")
+        before = {k: conf.get(k, None) for k in _WHILE_WRITING}
+        for k, v in _WHILE_WRITING.items():
+            conf.set(k, v)
         try:
             (writer.partitionBy(by) if by else writer).parquet(path)
         finally:
-            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tideline_path = path
         return out
@@ -50,3 +53,11 @@ class Scratch:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Operators that send whole texts to Python keep Arrow batches to 1000 rows, unless the session has its own number:
+    JVM and Python hold a batch each, and texts may be long. It stays set, since their plans run when the caller acts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "1000")

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.llm.scratch import small_batches
+
 #: Of the public byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -34,6 +36,7 @@ def _ranks(path: str) -> dict[bytes, int]:
 
 def with_length(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """docs with n_tokens. The ranks (a vocabulary file of a few MB) are read once and broadcast."""
+    small_batches(spark)
     ranks = spark.sparkContext.broadcast(_ranks(tokenizer))
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "n_tokens"))
     at = kept.columns.index(text_col)
