@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm.scan import U, mix
+from tideline.llm.scratch import small_batches
 
 LENGTHS = (3, 4, 5)
 BUCKETS = 1 << 18
@@ -83,7 +84,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
 
 def fit(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    rows: int = 30_000, smoothing: float = 1.0, least_z: float = 3.0, most_features: int = 50_000, l2: float = 1e-5,
+    rows: int = 20_000, smoothing: float = 1.0, least_z: float = 3.0, most_features: int = 4_000, l2: float = 1e-5,
 ) -> Toxicity:
     """The classifier; docs and labels are rows that may be learned from."""
     chosen = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows)
@@ -114,7 +115,7 @@ def _regress(features: list, y: np.ndarray, ratio: np.ndarray, l2: float, steps:
     if not len(ratio) or not 0 < y.sum() < len(y):
         return w, b
     size = np.array([len(f) for f in features])
-    row, col = np.repeat(np.arange(len(y)), size), np.concatenate([np.asarray(f, np.int64) for f in features])
+    row, col = np.repeat(np.arange(len(y), dtype=np.int32), size), np.concatenate([np.asarray(f, np.int32) for f in features])
     x = ratio[col]
     rate = 4.0 / (max(1.0, float(np.mean(np.bincount(row, x * x, len(y)))) + 1))
     v, c, w0, b0 = w, b, w, b
@@ -130,6 +131,7 @@ def _regress(features: list, y: np.ndarray, ratio: np.ndarray, l2: float, steps:
 
 def score(spark: SparkSession, docs: DataFrame, model: Toxicity, *, text_col: str = "text") -> DataFrame:
     """docs with score, the probability of label 1."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "score"))
     at = kept.columns.index(text_col)
