@@ -88,7 +88,7 @@ def exploded_blob(spark, sf_dir):
 def interleaved(spark, sf_dir):
     """Round robin over sources, newest first inside each; rows come out in serving order."""
     w = Window.partitionBy("source").orderBy(F.desc("at"), "fp")
-    return reports(spark, sf_dir).select("fp", F.row_number().over(w).alias("turn"), "source").orderBy("turn", "source")
+    return reports(spark, sf_dir).select("fp", F.row_number().over(w).cast("long").alias("turn"), "source").orderBy("turn", "source")
 
 
 @query(289, 290, 298, 293, 294, 272, sql="""

@@ -74,7 +74,7 @@ def ranked_points(spark, sf_dir):
     band = F.when(F.contains("text", F.lit("!!")), 2).when(F.length("text") > 1000, 0).otherwise(1)
     b = reports(spark, sf_dir).select("source", "fp", "doc_id", band.alias("band"))
     w = Window.partitionBy("source").orderBy("band", "doc_id")
-    return b.withColumn("place", F.row_number().over(w)).filter("place <= 8").select("source", "fp", "band", "place")
+    return b.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 8").select("source", "fp", "band", "place")
 
 
 @query(396, 379, sql=f"""WITH {POSITIONS}, c AS (SELECT event_id, key, t, sum(speed) OVER (PARTITION BY key ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM positions) SELECT event_id, spent FROM c WHERE spent <= 100""")
