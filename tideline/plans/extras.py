@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tideline.catalog import query
 from tideline.functions import shapes, text
-from tideline.functions.geo import km
 from tideline.operators import fold, joins
 from tideline.plans.places import ports
 from tideline.session import POSITIONS, REPORTS, positions, reports, table

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.catalog import query
-from tideline.session import POSITIONS, seconds, table
+from tideline.session import POSITIONS, seconds
 from tideline.streaming import stateful
 
 
