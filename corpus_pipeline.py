@@ -72,7 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        done, docs = docs, stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = scratch.put(docs)
     return docs

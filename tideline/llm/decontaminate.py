@@ -110,7 +110,7 @@ def _runs(inside: np.ndarray, a: int, b: int) -> list[int]:
     return edge.tolist()
 
 
-def _pass(phrases, text_at: int, held_at: int, schema: pa.Schema):
+def _pass(phrases, text_at: int, held_at: int):
     """One pass of one block of phrases; held_at: the column of the struct of what is found so far."""
 
     def rows(batches):
@@ -176,7 +176,7 @@ def decontaminate(
     text_at, held_at = names.index(text_col), len(names)
     for rows in _blocks(benchmark, item_col, item_text, block_words):
         phrases = spark.sparkContext.broadcast(Phrases(rows, window))
-        out = out.mapInArrow(_pass(phrases, text_at, held_at, None), schema)
+        out = out.mapInArrow(_pass(phrases, text_at, held_at), schema)
     found = F.col("_found")
     return out.select(
         *(F.col(f"`{c}`") for c in names), found["n_words"].alias("n_words"), found["n_hit"].alias("n_hit"),

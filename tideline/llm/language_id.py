@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,7 +126,8 @@ def identify(docs: DataFrame, model: Languages, *, text_col: str = "text", least
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ADDED]
     own = docs.select(*(F.col(f"`{c}`") for c in names))
-    schema = T.StructType([*own.schema, *T._parse_datatype_string("lang_pred string, score double, margin double, rejected boolean")])
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([*own.schema, *(T.StructField(n, k) for n, k in zip(ADDED, kinds))])
     return own.mapInArrow(_judge(model, names.index(text_col), least_margin), schema)
 
 
