@@ -122,7 +122,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     )
     # Every document's shared lines: where they stand, and who has them first.
     held = scratch.put(
-        lines.join(shared, "h").groupBy("id", "th", "h", "first", "df").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.max("words").alias("words"))
+        lines.join(shared, "h").repartition("id", "th")  # so that a very frequent line may be split in the join
+        .groupBy("id", "th", "h", "first", "df").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.max("words").alias("words"))
     )
     pairs = (
         held.filter(F.col("first") != doc).groupBy("id", "th", "first").agg(F.min("df").alias("rarest"))
