@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 STOP = ["a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with"]
 #: Arabic letters folded to one form, Persian letters to Arabic ones (fixed values).
-_FOLD_FROM, _FOLD_TO = "أإآٱىةیکؤئ", "ااااىهيكوي".replace("ى", "ي")
+_FOLD_FROM, _FOLD_TO = "أإآٱىةیکؤئ", "اااايهيكوي"
 _EASTERN, _WESTERN = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 
 
