@@ -116,7 +116,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
         .select("id", "th", "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(r"\S+")).alias("words"))
     )
     doc = F.struct("id", "th")
-    shared = (
+    shared = scratch.put(
         lines.groupBy("h").agg(F.min(doc).alias("first"), F.max(doc).alias("last"), F.count("*").alias("df"))
         .filter(F.col("first") != F.col("last")).select("h", "first", "df")
     )
