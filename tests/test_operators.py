@@ -36,6 +36,21 @@ def test_greedy_homes_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("block_rows", [500_000, 150])
+def test_greedy_homes_of_a_long_chain(spark, block_rows):
+    # 300 dependent windows: each even report is a home only because the odd one before it is a copy.
+    chain = [(f"r{i:03}", f"r{i + 1:03}") for i in range(600)]
+    got = fold.greedy_homes(spark.createDataFrame(chain, "early string, late string"), block_rows=block_rows)
+    assert {tuple(r) for r in got.collect()} == {p for p in chain if int(p[0][1:]) % 2 == 0}
+
+
+def test_greedy_homes_with_times_against_the_order_of_keys(spark):
+    chain = [(600 - i, 599 - i) for i in range(600)]
+    times = spark.createDataFrame([(k, 600 - k) for k in range(601)], "k long, at long")
+    got = fold.greedy_homes(spark.createDataFrame(chain, "early long, late long"), times, block_rows=250)
+    assert {tuple(r) for r in got.collect()} == {p for p in chain if p[0] % 2 == 0}
+
+
 def test_jaccard_pairs_brute_force(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice("xy"), i * 10, rng.sample("abcdefghij", rng.randint(0, 6))) for i in range(80)]

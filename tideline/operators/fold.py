@@ -2,11 +2,16 @@
 
 The fold is order-dependent and not transitive: a report joins a home, never another copy, so components would merge too
 much.  Homes are found in rounds over the pair table: a report all of whose earlier matches are decided becomes a home if
-none of them is one, a copy otherwise.  Rounds are joins, so no block of reports is ever gathered in a task.
+none of them is one, a copy otherwise.  The pairs are cut in time order into blocks of a bounded number of rows; a round
+streams every block once, which settles whole chains inside it, and joins hand the results on to later blocks.  It goes on
+until every report is decided.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,28 +38,69 @@ def jaccard_pairs(items: DataFrame, *, key: str, block: list[str], at: str, word
     return both.withColumn("similarity", jaccard(F.col("we"), F.col("wl"))).filter(F.col("similarity") >= least).select("early", "late", "similarity")
 
 
-def greedy_homes(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(copy, home): pairs (early, late) of matching reports, early before late; each late report joins its first earlier
-    home."""
-    pairs = cut(pairs.select("early", "late").distinct())
-    ids = pairs.select(F.col("early").alias("k")).union(pairs.select("late")).distinct()
-    state = cut(ids.select("k", F.lit(None).cast("boolean").alias("home")))
-    for _ in range(most_rounds):
-        earlier = pairs.join(state.toDF("early", "eh"), "early").groupBy("late").agg(F.bool_or(F.coalesce("eh", F.lit(False))).alias("some"), F.bool_or(F.col("eh").isNull()).alias("open"))
-        known = state.join(earlier, state["k"] == earlier["late"], "left")
-        settled = F.when(F.col("home").isNotNull(), F.col("home")).when(F.col("late").isNull(), True).when(F.col("some"), False).when(~F.col("open"), True)
-        state = cut(known.select("k", settled.alias("home")))
-        if state.filter("home is null").isEmpty():
+def _settle(batches):
+    """(k, home) of the late reports of a task that can be decided; rows (early, late, home) of a late report stand together,
+    those it depends on before it where the task has them."""
+    known: dict = {}
+    late, some, unsure = None, False, False
+
+    def decided():
+        if some or not unsure:
+            known[late] = not some
+            return [(late, not some)]
+        return []
+
+    for batch in batches:
+        out = []
+        for e, x, home in zip(*(batch.column(c).to_pylist() for c in ("early", "late", "home"))):
+            if x != late:
+                out += decided() if late is not None else []
+                late, some, unsure = x, False, False
+            home = known.get(e) if home is None else home
+            some, unsure = some or bool(home), unsure or home is None
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], batch.schema.field("late").type), pa.array([h for _, h in out], pa.bool_())], ["k", "home"])
+        kind = batch.schema.field("late").type
+    if late is not None:
+        out = decided()
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], kind), pa.array([h for _, h in out], pa.bool_())], ["k", "home"])
+
+
+def greedy_homes(pairs: DataFrame, order: DataFrame | None = None, block_rows: int = 500_000) -> DataFrame:
+    """(early, late): pairs of matching reports, early before late, of which each late report is a copy and early a home.
+
+    order (k, at) says when reports come, otherwise they come by key. It only decides how many rounds it takes: a round
+    settles at least the first block of `block_rows` pairs that is not settled."""
+    pairs = pairs.select("early", "late").distinct()
+    timed = pairs.join(order.select(F.col("k").alias("late"), "at"), "late", "left") if order is not None else pairs.withColumn("at", F.lit(0))
+    pairs = cut(timed.select("early", "late", "at"))
+    blocks = pairs.count() // block_rows + 1
+    dealt = pairs.coalesce(1) if blocks == 1 else pairs.repartitionByRange(blocks, "at", "late")
+    rows = cut(dealt.select("*", F.spark_partition_id().alias("block"), F.lit(None).cast("boolean").alias("home")))
+    fresh = cut(pairs.select(F.col("early").alias("k")).distinct().join(pairs.select(F.col("late").alias("k")), "k", "left_anti").withColumn("home", F.lit(True)))
+    state = [fresh]
+    kind = f"k {pairs.schema['late'].dataType.simpleString()}, home boolean"
+    while True:
+        rows = rows.join(fresh.select(F.col("k").alias("late")), "late", "left_anti")
+        rows = rows.join(fresh.toDF("early", "now"), "early", "left").withColumn("home", F.coalesce("home", "now")).drop("now")
+        rows = cut(rows.select("early", "late", "at", "block", "home"))
+        if rows.isEmpty():
             break
-    homes = state.filter("home").select(F.col("k").alias("early"))
-    copies = state.filter("not home").select(F.col("k").alias("late"))
-    return pairs.join(homes, "early", "left_semi").join(copies, "late", "left_semi").select("early", "late")
+        dealt = rows.coalesce(1) if blocks == 1 else rows.repartition(blocks, "block")
+        fresh = cut(dealt.sortWithinPartitions("block", "at", "late").select("early", "late", "home").mapInArrow(_settle, kind))
+        if fresh.isEmpty():
+            raise RuntimeError("reports depend on each other in a circle")
+        state.append(fresh)
+    settled = reduce(DataFrame.unionByName, state)
+    homes = settled.filter("home").select(F.col("k").alias("early"))
+    copies = settled.filter("not home").select(F.col("k").alias("late"))
+    return pairs.select("early", "late").join(homes, "early", "left_semi").join(copies, "late", "left_semi").select("early", "late")
 
 
 def first_homes(pairs: DataFrame, order: DataFrame, key: str, at: str) -> DataFrame:
     """(copy, home) with the earliest home by (time, key)."""
     o = order.select(F.col(key).alias("early"), F.col(at).alias("t"))
-    return greedy_homes(pairs).join(o, "early").groupBy("late").agg(F.min(F.struct("t", "early")).alias("m")).select(F.col("late").alias("copy"), F.col("m.early").alias("home"))
+    homes = greedy_homes(pairs, o.toDF("k", "at"))
+    return homes.join(o, "early").groupBy("late").agg(F.min(F.struct("t", "early")).alias("m")).select(F.col("late").alias("copy"), F.col("m.early").alias("home"))
 
 
 def same_story(a: Column, b: Column, names_a: Column, names_b: Column) -> Column:
