@@ -1,6 +1,6 @@
 import random
 
-from tideline.llm.line_dedup import dedup_lines, patience, removed_lines
+from tideline.llm.line_dedup import dedup_lines, patience, removed_lines, run_keys
 
 
 def longest_common(a, b):
@@ -47,6 +47,30 @@ def test_short_lines_count_together(spark):
     assert got[2].clean_text == "b\nc" and got[3].n_removed == 0
 
 
+def test_runs_in_another_order_go(spark):
+    p, q = LONG, LONG.replace("one", "uno")
+    got = clean(spark, [(1, f"{p}\n{q}"), (2, f"{q}\n{p}"), (3, f"{q}\n{p}")])
+    assert {k: r.clean_text for k, r in got.items()} == {1: f"{p}\n{q}", 2: "", 3: ""}
+    assert sorted(removed_lines([(4, [3, 8], [1, 5]), (4, [4, 9], [2, 6])], 8)) == [1, 2, 5, 6]
+    assert sorted(removed_lines([(9, [2], [0]), (3, [0], [1]), (3, [1], [2])], 8)) == [0]
+
+
+def test_a_block_whose_lines_are_known_apart_goes(spark):
+    a, b = "a1 a2 a3 a4 a5 a6", "b1 b2 b3 b4 b5 b6"
+    got = clean(spark, [(1, f"{a}\nx"), (2, f"y\n{b}"), (3, f"z\n{a}\n{b}"), (4, f"{a}\n{b}\nw"), (5, f"{LONG}\nv"), (6, f"u\n{LONG}\nm\n{LONG}"), (7, f"{LONG}\nt\n{LONG}")])
+    assert {k: got[k].clean_text for k in (3, 4, 6, 7)} == {3: f"z\n{a}\n{b}", 4: "w", 6: f"u\nm\n{LONG}", 7: "t"}
+
+
+def test_run_keys_cover_every_shared_run():
+    rng = random.Random(4)
+    for _ in range(100):
+        n = [rng.choice([2, 5, 11]) for _ in range(6)]
+        x, y = [rng.randrange(6) for _ in range(12)], [rng.randrange(6) for _ in range(12)]
+        keys = [{key for key, _ in run_keys([(k, n[k], [i for i, v in enumerate(z) if v == k]) for k in set(z)], 10)} for z in (x, y)]
+        common = any(x[i : i + m] == y[j : j + m] and sum(n[v] for v in x[i : i + m]) >= 10 for m in range(1, 7) for i in range(13 - m) for j in range(13 - m))
+        assert bool(keys[0] & keys[1]) == common
+
+
 def test_nulls_empty_and_repeated_rows(spark):
     rows = [(None, LONG), (1, None), (2, ""), (3, LONG), (3, LONG), (4, LONG)]
     out = dedup_lines(spark, spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_lines int")).collect()

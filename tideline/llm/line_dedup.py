@@ -1,11 +1,12 @@
 """Line dedup by pairwise alignment: common blocks of lines stay in the earliest document only.
 
-Lines (blank ones apart) are hashed.  A line that several documents share makes a pair of each later document and the
-first document that has it, so pairs are as many as shared lines at most, however often a line occurs: a rare line costs
-one pair, a very frequent one a pair for each document.  A document's partners are thus the first holders of its lines, met
-rarest lines first.  The lines that a pair shares are aligned with patience diff (lines unique on both sides, longest
-increasing run of them, then the gaps between), and aligned runs of neighbouring lines with `least_words` words or more are
-deleted from the later document.
+Lines (blank ones apart) are hashed.  What may go is a run of neighbouring lines with `least_words` words or more that an
+earlier document has, too.  The shortest such runs from each line on and up to each line stand for all longer ones; their
+hashes make a pair of each later document and the first document that has the run, or has it as often, so pairs are twice
+as many as shared lines at most, however often a run occurs.  The lines that a pair shares are aligned with patience diff
+(lines unique on both sides, longest increasing run of them, then the gaps between), and aligned runs with enough words are
+deleted from the later document.  So are, next, runs that the pair has in another order or in gaps without unique lines;
+each run of the earlier document takes one of the later away.
 
 Defined results: order is by id, then by a hash of the text; rows with a null id or null or empty text stay as they are;
 rows that repeat id and text are one document and are edited alike; lines are compared without blanks at their ends;
@@ -15,7 +16,9 @@ columns pass through, and ones named like the added columns are replaced.
 
 from __future__ import annotations
 
+import struct
 from bisect import bisect_left
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -81,20 +84,92 @@ def removed_lines(shared: list[tuple[int, list[int], list[int]]], least_words: i
     a = sorted((p, k) for k, (_, early, _) in enumerate(shared) for p in early)
     b = sorted((p, k) for k, (_, _, late) in enumerate(shared) for p in late)
     out: list[int] = []
-    block: list[int] = []
+    used: set[int] = set()
+    block: list[tuple[int, int]] = []
     words, previous = 0, (-2, -2)
     for i, j in [*patience([k for _, k in a], [k for _, k in b]), (-1, -1)]:
         here = (a[i][0], b[j][0]) if i >= 0 else (-9, -9)
         if here != (previous[0] + 1, previous[1] + 1):
-            out += block if words >= least_words else []
+            if words >= least_words:
+                used |= {x for x, _ in block}
+                out += [y for _, y in block]
             block, words = [], 0
         if i >= 0:
-            block.append(here[1])
+            block.append(here)
             words += shared[a[i][1]][0]
         previous = here
+    gone = set(out)
+    return out + _moved([x for x in a if x[0] not in used], [x for x in b if x[0] not in gone], [x[0] for x in shared], least_words)
+
+
+def _moved(a: list[tuple[int, int]], b: list[tuple[int, int]], words: list[int], least_words: int) -> list[int]:
+    """Places in b of runs that a has anywhere; (place, line) each. A run of a takes one of b."""
+    starts: dict[tuple, list[int]] = {}
+    for i, j in reversed(_runs_on(a, words, least_words)):
+        starts.setdefault(tuple(k for _, k in a[i:j]), []).append(i)
+    ends = dict(_runs_on(b, words, least_words))
+    used: set[int] = set()
+    out: list[int] = []
+    j = 0
+    while j < len(b):
+        size = ends.get(j, j) - j
+        places = starts.get(tuple(k for _, k in b[j : j + size]), []) if size else []
+        # A start that is used in part is used up for good.
+        while places and not used.isdisjoint(range(places[-1], places[-1] + size)):
+            places.pop()
+        if not places:
+            j += 1
+            continue
+        i = places.pop()
+        while i + size < len(a) and j + size < len(b) and i + size not in used and a[i + size] == (a[i][0] + size, b[j + size][1]) and b[j + size][0] == b[j][0] + size:
+            size += 1
+        used.update(range(i, i + size))
+        out += [p for p, _ in b[j : j + size]]
+        j += size
+    return out
+
+
+def _runs_on(lines: list[tuple[int, int]], words: list[int], least_words: int) -> list[tuple[int, int]]:
+    """(from, to) of the shortest run of neighbouring lines (place, line) from each line on that has enough words."""
+    out = []
+    to = total = 0
+    for i in range(len(lines)):
+        if to <= i:
+            to, total = i, 0
+        while total < least_words and to < len(lines) and (to == i or lines[to][0] == lines[to - 1][0] + 1):
+            total += words[lines[to][1]]
+            to += 1
+        if total >= least_words:
+            out.append((i, to))
+        total -= words[lines[i][1]]
+    return out
+
+
+def run_keys(held: list[tuple[int, int, list[int]]], least_words: int) -> list[tuple[int, int]]:
+    """(hash, k) of the shortest runs from each line on and up to each line, the k-th with that hash; held: (hash, words,
+    places) of each line."""
+    lines = sorted((p, k) for k, (_, _, places) in enumerate(held) for p in places)
+    words = [w for _, w, _ in held]
+    back = [(-p, k) for p, k in reversed(lines)]
+    runs = {*_runs_on(lines, words, least_words), *((len(lines) - j, len(lines) - i) for i, j in _runs_on(back, words, least_words))}
+    seen: dict[int, int] = {}
+    out = []
+    for i, j in runs:
+        h = [held[k][0] for _, k in lines[i:j]]
+        key = h[0] if len(h) == 1 else int.from_bytes(blake2b(struct.pack(f"<{len(h)}q", *h), digest_size=8).digest(), "little", signed=True)
+        seen[key] = seen.get(key, 0) + 1
+        out.append((key, seen[key]))
     return out
 
 
+def _run_keys(least_words: int):
+    @F.pandas_udf("array<struct<key:long,k:int>>")
+    def keys(held: pd.Series) -> pd.Series:
+        return pd.Series([[{"key": key, "k": k} for key, k in run_keys([(int(x["h"]), int(x["words"]), [int(p) for p in x["places"]]) for x in doc], least_words)] for doc in held])
+
+    return keys
+
+
 def _removed(least_words: int):
     @F.pandas_udf("array<int>")
     def removed(shared: pd.Series) -> pd.Series:
@@ -117,17 +192,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     )
     doc = F.struct("id", "th")
     shared = scratch.put(
-        lines.groupBy("h").agg(F.min(doc).alias("first"), F.max(doc).alias("last"), F.count("*").alias("df"))
-        .filter(F.col("first") != F.col("last")).select("h", "first", "df")
+        lines.groupBy("h").agg(F.min(doc).alias("first"), F.max(doc).alias("last"))
+        .filter(F.col("first") != F.col("last")).select("h")
     )
-    # Every document's shared lines: where they stand, and who has them first.
+    # Every document's shared lines, and where they stand.
     held = scratch.put(
         lines.join(shared, "h").repartition("id", "th")  # so that a very frequent line may be split in the join
-        .groupBy("id", "th", "h", "first", "df").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.max("words").alias("words"))
+        .groupBy("id", "th", "h").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.max("words").alias("words"))
+    )
+    # Their runs, and who has them first. A run with a line that is not shared is not shared.
+    runs = scratch.put(
+        held.groupBy("id", "th").agg(F.collect_list(F.struct("h", "words", "places")).alias("held"))
+        .select("id", "th", F.explode(_run_keys(least_words)("held")).alias("run")).select("id", "th", "run.key", "run.k")
+    )
+    firsts = scratch.put(
+        runs.groupBy("key", "k").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).filter(F.col("first") != F.col("last")).select("key", "k", "first")
     )
-    pairs = (
-        held.filter(F.col("first") != doc).groupBy("id", "th", "first").agg(F.min("df").alias("rarest"))
-        .select("id", "th", F.col("first.id").alias("early_id"), F.col("first.th").alias("early_th"))
+    pairs = scratch.put(
+        runs.join(firsts, ["key", "k"]).filter(F.col("first") != doc)
+        .select("id", "th", F.col("first.id").alias("early_id"), F.col("first.th").alias("early_th")).repartition("id", "th").distinct()
     )
     late = pairs.join(held.select("id", "th", "h", "words", F.col("places").alias("late")), ["id", "th"])
     early = held.select(F.col("id").alias("early_id"), F.col("th").alias("early_th"), "h", F.col("places").alias("early"))
