@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tideline.llm import ngram_join
 from tideline.llm.ngram_join import ngram_jaccard_join
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -22,19 +23,21 @@ def brute(rows, percent=80):
             x = root[x]
         return x
 
-    ids = sorted(sets)
+    ids, links = sorted(sets), dict.fromkeys(sets, 0)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (len(sets[i]), find(i), links[i]) for i in ids}
 
 
 def run(spark, rows, **options):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = ngram_jaccard_join(spark, docs, **options).documents.collect()
-    return out, {r.id: (r.n_tokens, r.component) for r in out}
+    return out, {r.id: (r.n_tokens, r.component, r.n_links) for r in out}
 
 
 def test_near_copies_chains_and_hot_passages(spark):
@@ -60,11 +63,31 @@ def test_near_copies_chains_and_hot_passages(spark):
     assert run(spark, rows)[1] == brute(rows)
 
 
+@pytest.mark.parametrize("block, seed", [(512, 1), (4, 2)])
+def test_numbers_of_links_in_groups_of_copies_of_copies(spark, monkeypatch, block, seed):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for size in (40, 90):
+        texts = [[rng.choice(vocabulary) for _ in range(size)]]
+        for _ in range(90):  # copies of copies, with words replaced, left out, put in and put at the end
+            t = rng.choice(texts)[:]
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                k = rng.randrange(len(t))
+                t[k : k + rng.randint(0, 1)] = rng.sample(vocabulary[:20], rng.randint(0, 1))
+            texts.append(t + rng.sample(vocabulary[:8], rng.randint(0, 2)))
+        rows += [" ".join(t) for t in texts]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    assert run(spark, rows)[1] == brute(rows)
+
+
 def test_short_empty_equal_and_null_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "A  b"), (6, "a b c d e"), (7, "a b c d e"), (8, "É é"), (9, "é é"), (None, "a b c d e")]
     out, got = run(spark, rows)
-    assert got == brute([r for r in rows if r[0] is not None]) | {None: (1, None)}
-    assert got[1] == (0, 1) and got[5] == (1, 4) and got[7] == (1, 6) and got[9] == (1, 9)
+    assert got == brute([r for r in rows if r[0] is not None]) | {None: (1, None, 0)}
+    assert got[1] == (0, 1, 0) and got[5] == (1, 4, 1) and got[7] == (1, 6, 1) and got[9] == (1, 9, 0)
 
 
 def test_repeated_rows_and_empty_table(spark):

@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), n=5, percent=80)
-    return found.documents.select(F.col("id").alias("doc_id"), F.col("n_tokens").alias("n_shingles"), F.col("component").alias("component_id"))
+    return found.documents.select(F.col("id").alias("doc_id"), F.col("n_tokens").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
 
 
 OP1_SQL = rf"""
