@@ -1,16 +1,20 @@
 """Fingerprints, URL templates, token counts, toxicity, language ID, revisits, mixing."""
 
 import hashlib
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from tideline.llm import imatch, language_id, mixing, queries, token_counts, toxicity, url_templates, warc
+from tideline.llm.scan import NOT_SPACE, mix, scan
 
 
 def frame(spark, rows, schema):
@@ -48,9 +52,34 @@ def test_fingerprints_of_nothing(spark):
     assert len({r.fingerprint for r in imatch.fingerprints(spark, twice, own).collect()}) == 2
 
 
-def test_lexicon_keeps_to_its_size(spark):
+def test_lexicon_is_refused_beyond_its_size(spark):
     docs = frame(spark, [(i, f"common{i % 3} pair{i % 20}") for i in range(60)], "doc_id long, text string")
-    assert len(imatch.lexicon(spark, docs, least_idf=0.0).terms) == 23 and len(imatch.lexicon(spark, docs, least_idf=0.0, most_terms=3).terms) == 3
+    assert len(imatch.lexicon(spark, docs, least_idf=0.0).terms) == 23
+    with pytest.raises(ValueError):
+        imatch.lexicon(spark, docs, least_idf=0.0, most_terms=3)
+
+
+def test_fingerprints_against_plain_sets(spark):
+    rng = random.Random(3)
+    words = [f"Word{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words[: 5 + 5 * (i % 11)]) for _ in range(rng.randint(0, 40))) for i in range(80)]
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    own = imatch.lexicon(spark, docs, least_idf=0.5, most_idf=3.0)
+    sets = [set(t.lower().split()) for t in texts]
+    df = Counter(w for x in sets for w in x)
+    band = {w for w, c in df.items() if 0.5 <= math.log(len(texts) / c) <= 3.0 and c >= 2}
+    code = {w: int(next(scan(pa.array([w]), NOT_SPACE))[1].hashes[0]) for w in df}
+    assert {code[w] for w in band} == set(own.terms.tolist()) and 10 < len(band) < len(df)
+    # Subset k holds a term if its hash for k is under the rate; texts agree in k just when they keep the same terms of it.
+    holds = lambda w, k: int(mix(np.array([code[w]], np.uint64) ^ mix(np.array([k + 1], np.uint64)))[0]) < int(imatch.RATES[k] * (1 << 64))
+    subsets = [{w for w in band if holds(w, k)} for k in range(len(imatch.RATES))]
+    prints = {r.doc_id: r.fingerprint for r in imatch.fingerprints(spark, docs, own).collect()}
+    for a in range(0, 80, 7):
+        for b in range(80):
+            if sets[a] & band and sets[b] & band:
+                used = [k for k, x in enumerate(subsets) if (sets[a] | sets[b]) & x]
+                same = sum((sets[a] & subsets[k]) == (sets[b] & subsets[k]) for k in used)
+                assert imatch.likeness(prints[a], prints[b]) == (same / len(used) if used else 1.0)
 
 
 # URL templates
@@ -76,10 +105,17 @@ def test_bad_templates_are_rejected_and_wildcards_found(spark):
     assert url_templates.judge(spark, frame(spark, [], "page_id long, url string"), frame(spark, [], "page_id long, good boolean"), []).collect() == []
 
 
+def test_deep_sections_are_told_apart(spark):
+    rows = [(k, f"https://h.org/en/2024/05/{'offers' if k < 20 else 'news'}/{k}/view/{w}") for k in range(40) for w in "ab"] + [(100, "x://d/" + "a/" * 300), (100, "x://d/" + "b/" * 40)]
+    labels = [(k, k >= 20) for k in range(0, 40, 2)]
+    out = url_templates.judge(spark, frame(spark, rows, "page_id long, url string"), frame(spark, labels, "page_id long, good boolean"), []).collect()
+    assert len(out) == 82 and all((r.verdict == "block") == (r.page_id < 20) for r in out) and sorted(len(r.template) for r in out if r.page_id == 100) == [80, 600]
+
+
 def test_url_query_matches_sql_on_odd_rows(spark, tmp_path):
-    pages = [(i, u, "") for i, u in enumerate([None, "", "no", "a://b", "a://b/c/d/e/f/g", "a://b/1/2", "a://b/1/2", *(f"https://s.example.com/en/{k}" for k in range(30)), *(f"https://s.example.com/{w}/{k}" for w in "abcdefghijk" for k in range(3))])]
+    pages = [(i, u, "") for i, u in enumerate([None, "", "no", "a://b", "a://b/c/d/e/f/g", "a://b/1/2", "a://b/1/2", *(f"https://s.example.com/en/{k}" for k in range(30)), *(f"https://s.example.com/{w}/{k}" for w in "abcdefghijk" for k in range(3)), *(f"https://deep.example/en/2024/05/{w}/{k}/{x}" for w in ("offers", "news") for k in ("a", "b", "c") for x in range(6))])]
     frame(spark, pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    frame(spark, [(k, 1, k % 3 == 0 and 1 or 0) for k in range(0, 60, 2)] + [(None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame(spark, [(k, 1, k % 3 == 0 and 1 or 0) for k in range(0, 60, 2)] + [(k, int(k > 91), 0) for k in range(74, 110)] + [(None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     con = duckdb.connect()
     for t in ("pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
@@ -101,9 +137,16 @@ def test_suffix_sums_answer_every_limit(spark):
     for r in answers.collect():
         assert (r.docs_from, r.tokens_from, r.docs_to, r.tokens_to) == ((n >= r.length).sum(), n[n >= r.length].sum(), (n <= r.length).sum(), n[n <= r.length].sum())
         assert (r.truncated_total, r.n_docs) == (np.minimum(n, r.length).sum(), (n == r.length).sum()) and abs(r.quantile - (n <= r.length).mean()) < 1e-12
-    limits = [(0,), (7,), (50,), (100_000,)]
-    got = {r.context: r.truncated_total for r in token_counts.truncated(answers, frame(spark, limits, "context long")).collect()}
-    assert got == {x: np.minimum(n, x).sum() for (x,) in limits}
+    limits = [(0,), (7,), (50,), (100_000,), (None,), (-3,), (7,)]
+    for block in (4, 4096):
+        got = token_counts.truncated(answers, frame(spark, limits, "context long"), block=block).collect()
+        assert len(got) == len(limits)
+        for r in got:
+            x = max(r.context or 0, 0)
+            fit = (n <= x).sum() if r.context is not None and r.context >= 0 else 0
+            assert (r.truncated_total, r.docs_fit) == (np.minimum(n, x).sum(), fit)
+    nothing = token_counts.answers(token_counts.histogram(frame(spark, [], "n_tokens long")))
+    assert [(r.docs_fit, r.truncated_total) for r in token_counts.truncated(nothing, frame(spark, [(5,)], "context long")).collect()] == [(0, 0)]
     assert token_counts.answers(token_counts.histogram(frame(spark, [], "n_tokens long"))).collect() == []
 
 
@@ -120,6 +163,27 @@ def test_toxicity_learns_words_and_scores_anything(spark):
     assert all((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in out if r.doc_id < 200) and all(0 <= r.score < 0.5 for r in out if r.doc_id >= 200) and len(out) == 204
 
 
+def test_toxicity_ratios_and_scores_against_plain_sums(spark):
+    rng = random.Random(12)
+    docs = [(i, "".join(rng.choice("abcd ") for _ in range(40)) + "zzz" * (i % 3 == 0)) for i in range(120)]
+    labels = {i: int(i % 3 == 0) for i in range(120)}
+    d = frame(spark, docs, "doc_id long, text string")
+    model = toxicity.fit(spark, d, frame(spark, list(labels.items()), "doc_id long, toxic int"))
+    sets = {i: {t[k : k + n] for n in toxicity.LENGTHS for k in range(len(t) - n + 1)} for i, t in docs}
+    bucket = {g: int(next(toxicity.text_grams([g], (len(g),)))[0]) for x in sets.values() for g in x}
+    count = [Counter(b for i, x in sets.items() if labels[i] == y for b in {bucket[g] for g in x}) for y in (0, 1)]
+    every = sorted(count[0] | count[1])
+    total = [sum(c[b] + 1 for b in every) for c in count]
+    ratio = {b: math.log((count[1][b] + 1) / total[1]) - math.log((count[0][b] + 1) / total[0]) for b in every}
+    kept = {b for b in every if abs(ratio[b]) >= 3 * math.sqrt(1 / (count[0][b] + 1) + 1 / (count[1][b] + 1))}
+    assert kept == set(np.flatnonzero(model.slot < len(model.value) - 1).tolist()) and bucket["zzz"] in kept
+    # A score is the logistic of the sum of the features' values; weights have the ratio's sign where it is clear.
+    for r in toxicity.score(spark, d, model).collect():
+        margin = model.intercept + sum(model.value[model.slot[b]] for b in {bucket[g] for g in sets[r.doc_id]} & kept)
+        assert abs(r.score - 1 / (1 + math.exp(-margin))) < 1e-9
+    assert model.value[model.slot[bucket["zzz"]]] > 0
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 0), (2, 0)]])
 def test_toxicity_with_one_kind_of_label(spark, labels):
     d = frame(spark, [(1, "a"), (2, None)], "doc_id long, text string")
@@ -140,10 +204,31 @@ def test_language_id_on_clear_and_odd_texts(spark):
     judged = [r for r in out if r.lang]
     assert sum(r.lang == r.lang_pred for r in judged) >= 0.95 * len(judged) and all(0 <= r.score <= 1 for r in out)
     assert sum(r.lang_pred == "und" and r.rejected and r.score == 0 for r in out) == 3
+    few = language_id.fit(frame(spark, [(make("aa", 60), "aa"), (make("bb", 60), "bb"), (make("bb", 60), "bb")], "text string, lang string"))
+    assert language_id.identify(frame(spark, [(make("bb", 40),)], "text string"), few).first().lang_pred == "bb"
     none = language_id.fit(frame(spark, [], "text string, lang string"))
     assert [r.lang_pred for r in language_id.identify(frame(spark, [("a",)], "text string"), none).collect()] == ["und"]
 
 
+def test_language_id_against_a_plain_compressor(spark):
+    rng = random.Random(13)
+    words = {"aa": ["then", "with", "heres"], "bb": ["keit", "lich", "schon"], "cc": ["cion", "ado", "que"]}
+    make = lambda k, n: " ".join("".join(rng.choice(words[k]) for _ in range(2)) for _ in range(n))
+    model = language_id.fit(frame(spark, [(make(k, 40), k) for k in words for _ in range(6)], "text string, lang string"))
+    texts = [make(rng.choice("abc") * 2, rng.randint(1, 900)) + rng.choice(["", " 12 É!", "?"]) for _ in range(30)]
+    for r in language_id.identify(frame(spark, [(t,) for t in texts], "text string"), model).collect():
+        plain = " ".join("".join(c if c.isalpha() else " " for c in r.text.lower()).split())
+        size = {}
+        for name, content in zip(model.names, model.contents):
+            total = 0
+            for k in range(0, len(plain), model.chunk):
+                packer = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+                total += len(packer.compress(plain[k : k + model.chunk].encode()))
+            size[name] = total
+        best, second = sorted(size.values())[:2]
+        assert abs(size[r.lang_pred] - best) <= 2 * (1 + len(plain) // model.chunk) and abs(r.margin - (second - best)) <= 4 * (1 + len(plain) // model.chunk)
+
+
 # Revisits
 
 
@@ -176,6 +261,19 @@ def test_many_captures_of_one_url(spark):
     assert got == want
 
 
+def test_repeated_records_do_not_multiply(spark):
+    schema = "record_id long, url string, s long, status int, headers map<string,string>, payload string"
+    rows = [(1, "http://h/p", 1, 200, None, "a"), (1, "http://h/p", 1, 200, None, "a"), (1, "http://h/p", 1, 200, {"etag": "x"}, "b"), (2, "http://h/p", 9000, 304, None, None)]
+    rows += [(2, "http://h/p", 9000, 304, None, None), (2, "http://h/q", 9000, 304, None, None), (None, "http://h/p", 9000, 304, None, None), (None, "http://h/p", 2, 200, None, "n")]
+    records = frame(spark, rows, schema).withColumn("captured_at", F.timestamp_seconds("s"))
+    out = warc.resolve_revisits(records).collect()
+    assert sorted((r.record_id or 0, r.canonical_url, r.response_id, r.outcome) for r in out if r.response_id) == [(2, "h/p", 1, "unverified")] * 2
+    assert sorted((r.record_id or 0, r.outcome) for r in out if not r.response_id) == [(0, "missing"), (2, "missing")]
+    payloads = {r.payload for r in out if r.response_id}
+    assert len(payloads) == 1 and payloads < {"a", "b"}
+    assert {r.payload for r in warc.resolve_revisits(records.repartition(3)).collect() if r.response_id} == payloads
+
+
 # Mixing
 
 
@@ -209,6 +307,35 @@ def test_mix_meets_targets_whole_documents_and_repeats(spark):
     assert sorted(map(repr, mixing.mix(spark, docs.repartition(3), block_rows=1000).collect())) == sorted(map(repr, out))
 
 
+def test_mix_goes_by_virtual_finish_time(spark):
+    # Against a plain queue: copies in order of finish, cut at the budget.
+    rng = random.Random(10)
+    rows = [(rng.choice([None, rng.randrange(30)]), rng.choice(["a", "b", "c", "hot", "hot"]), "w " * rng.randrange(60) + str(i)) for i in range(200)]
+    rows += [(7, "a", "long " * 3000)] + [(None, "hot", "same row")] * 40
+    out = mixing.mix(spark, frame(spark, rows, "doc_id long, source string, text string"), block_rows=11).collect()
+    goal = {r.source: r.target for r in out}
+    copies = []
+    for source in goal:
+        own = sorted((r for r in out if r.source == source and r.size), key=lambda r: r.virtual_finish)
+        at = 0
+        for turn in range(3):
+            for k, r in enumerate(own):
+                part = min(r.size, int(goal[source]) - at)
+                if part > 0:
+                    copies.append(((at + part) / goal[source], source, turn, k, part))
+                at += r.size
+        assert all(a.virtual_finish < b.virtual_finish for a, b in zip(own, own[1:]))
+    left, want = sum(r.size for r in out), defaultdict(int)
+    for _, source, _, k, part in sorted(copies):
+        want[source, k] += min(part, left)
+        left -= min(part, left)
+    got = {}
+    for source in goal:
+        for k, r in enumerate(sorted((r for r in out if r.source == source and r.size), key=lambda r: r.virtual_finish)):
+            got[source, k] = r.taken
+    assert got == {k: want[k] for k in got}
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark, frame(spark, [], "doc_id long, source string, text string")).collect() == []
     empty = mixing.mix(spark, frame(spark, [(1, "a", None), (None, None, "")], "doc_id long, source string, text string")).collect()

@@ -76,7 +76,7 @@ def test_each_stage_and_the_whole(spark, corpus):
     assert {i: r.text for i, r in lines.items()} == want and not {46, 47, 48} & set(lines) and all(r.n_chars == len(r.text) for r in lines.values())
     assert sum("\n" in r.text for i, r in lines.items() if 40 <= i < 46) == 6
 
-    want = {i for i, (_, home) in groups([(i, r.text) for i, r in lines.items()]).items() if i == home}
+    want = {i for i, (_, home, _) in groups([(i, r.text) for i, r in lines.items()]).items() if i == home}
     assert set(near) == want and not set(range(49, 55)) & set(near)
 
     found = leaks([(i, r.text) for i, r in near.items()], [items[0]])
@@ -87,7 +87,7 @@ def test_each_stage_and_the_whole(spark, corpus):
     sizes, order = {}, {}
     for r in clean.values():
         sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
-        order.setdefault(r.source, []).append((hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest(), r.doc_id, len(r.text.split())))
+        order.setdefault(r.source, []).append((hashlib.md5(f"mix:{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest()}".encode()).hexdigest(), r.doc_id, len(r.text.split())))
     goal = fill(sizes, (5, 2, 1))
     for source, queue in order.items():
         start = 0
@@ -97,3 +97,18 @@ def test_each_stage_and_the_whole(spark, corpus):
             start += n
     assert {r.doc_id: tuple(r) for r in corpus_pipeline.run(spark, folder).collect()} == {i: tuple(r) for i, r in mix.items()}
     assert words(clean[55].text) and "changed" not in clean[55].text
+
+
+def test_rows_of_one_id_and_empty_tables(spark, corpus):
+    folder, _, _ = corpus
+    words_of = lambda k, n=30: " ".join(f"{k}{x}" for x in range(n))
+    rows = [(1, words_of("a"), "aa", "s", 1), (1, words_of("b"), "aa", "s", 1), (1, words_of("a"), "aa", "r", 1), (2, words_of("b") + " end", "aa", "s", 1), (2, words_of("c"), "aa", "s", 1)]
+    rows += [(3, None, None, None, 0), (3, "", None, None, 0), (None, words_of("a"), "aa", "s", 1), (None, words_of("a"), "aa", "s", 1)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    kept = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, folder).collect()]
+    assert sorted(kept, key=repr) == sorted([rows[2], rows[1], rows[4], *rows[5:]], key=repr)
+    again = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs.repartition(3), folder).collect()]
+    assert sorted(again, key=repr) == sorted(kept, key=repr)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.filter("false").withColumn("taken", docs.n_chars), folder)
+        assert out.collect() == [] and (name == "mixing" or out.columns == [*docs.columns, "taken"])

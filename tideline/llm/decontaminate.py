@@ -6,7 +6,8 @@ each ends a segment, and segments too short for the shortest phrase hold no matc
 all phrases by backward search through wavelet-tree ranks, sampled suffix positions locate the occurrences, and
 overlapping ones merge into removal spans.  Nothing is shuffled: documents stay where they were read.
 
-Phrases are broadcast in blocks of items of at most `block_words` words (about 100 MB); a larger benchmark takes one pass
+Phrases are broadcast in blocks of items of at most `block_words` words (a phrase takes
+4 bytes a word and 16 for its items, a new word 8: some 60 MB for a million words); a larger benchmark takes one pass
 over the documents for each block, the spans found so far travelling with the document.
 
 Defined results: words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased; a null, empty
@@ -30,7 +31,7 @@ from tideline.llm.scan import WORDLIKE, grams, scan
 from tideline.llm.scratch import small_batches
 
 #: Words of the benchmark that one broadcast holds.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 #: Bytes of texts that one index covers.
 SHARD = 1 << 24
 ADDED = T.StructType([
@@ -45,25 +46,28 @@ class Phrases:
     """Distinct phrases of some items: word symbols by length, and the items that have each phrase."""
 
     def __init__(self, rows: list[tuple[str | None, str]], window: int):
-        column = pa.array([t for _, t in rows], pa.large_string())
-        words: list[np.ndarray] = []
-        for _, w in scan(column, WORDLIKE):
-            words += [w.hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
-        self.vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-        self.by_length: list[tuple[int, np.ndarray, list[list[str]]]] = []
-        held: dict[int, dict[int, list]] = {}
-        for (item, _), w in zip(rows, words):
-            k = min(len(w), window)
-            if not k:
-                continue
-            symbols = np.searchsorted(self.vocabulary, w) + 1
-            for at, h in enumerate(grams(w, k).tolist()):
-                own = held.setdefault(k, {}).setdefault(h, [symbols[at : at + k], set()])
-                if item is not None:
-                    own[1].add(item)
-        for k, phrases in sorted(held.items()):
-            self.by_length.append((k, np.array([p for p, _ in phrases.values()], np.int64), [sorted(i) for _, i in phrases.values()]))
-        self.shortest = min((k for k, _, _ in self.by_length), default=0)
+        self.names = [item for item, _ in rows]
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, w in scan(pa.array([t for _, t in rows], pa.large_string()), WORDLIKE):
+            hashes.append(w.hashes[w.first[0] : w.first[-1]])
+            counts.append(np.diff(w.first))
+        words, size = np.concatenate(hashes), np.concatenate(counts)
+        first = np.cumsum(size) - size
+        self.vocabulary = np.unique(words)
+        symbols = (np.searchsorted(self.vocabulary, words) + 1).astype(np.int32)
+        #: Of each length: the phrases' symbols, where the items of each begin and end, and the items.
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        length = np.minimum(size, window)
+        for k in np.unique(length[length > 0]).tolist():
+            items = np.flatnonzero(length == k)
+            many = size[items] - k + 1
+            item = np.repeat(items, many)
+            at = np.arange(many.sum()) + np.repeat(first[items] - (np.cumsum(many) - many), many)
+            _, index, phrase = np.unique(grams(words, k)[at], return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack([phrase, item], 1), axis=0)
+            offsets = np.searchsorted(pairs[:, 0], np.arange(len(index) + 1))
+            self.by_length.append((k, symbols[at[index][:, None] + np.arange(k)], offsets, pairs[:, 1].astype(np.int32)))
+        self.shortest = min((k for k, _, _, _ in self.by_length), default=0)
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which words of the shard are inside an occurrence, and the items found by document."""
@@ -88,7 +92,7 @@ class Phrases:
         seq = np.r_[symbol, 0][word]
         seq[np.cumsum(size) - 1] = 0
         index = FMIndex(seq, len(self.vocabulary))
-        for k, patterns, names in self.by_length:
+        for k, patterns, offsets, holders in self.by_length:
             lo, hi = index.search(patterns)
             many = hi - lo
             phrase = np.repeat(np.arange(len(patterns)), many)
@@ -100,7 +104,8 @@ class Phrases:
             np.add.at(marks, places + k, -1)
             doc = np.searchsorted(first, places, "right") - 1
             for d, p in np.unique(np.stack([doc, phrase], 1), axis=0).tolist():
-                items.setdefault(d, set()).update(names[p])
+                found = (self.names[x] for x in holders[offsets[p] : offsets[p + 1]])
+                items.setdefault(d, set()).update(x for x in found if x is not None)
         return np.cumsum(marks[:-1]) > 0, items
 
 

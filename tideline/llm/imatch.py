@@ -7,8 +7,8 @@ of two fingerprints is the share of subsets, of those that hold a term of either
 
 The band's upper end bounds the lexicon: a term of idf at most `most_idf` is in exp(-most_idf) of all documents, so there
 are no more such terms than exp(most_idf) times the mean number of distinct terms of a document, whatever the corpus
-size.  The lexicon (8 bytes a term) is broadcast; `most_terms` checks its size, and beyond it the band's upper end comes
-down until the rest fits.
+size.  The lexicon is broadcast, 16 bytes a term; one beyond `most_terms` (where documents have tens of thousands of
+distinct terms each) is refused with an error, never thinned out.
 
 Defined results: terms are runs of bytes other than blanks and tab to carriage return, A-Z lower-cased, told apart by
 64-bit hashes; null and blank texts have no terms; a document without a term of the lexicon falls back on the hash of all
@@ -67,16 +67,14 @@ def _document_frequency(batches):
         yield from counted()
 
 
-def lexicon(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", least_idf: float = 1.5, most_idf: float = 7.0, most_terms: int = 2_000_000) -> Lexicon:
-    """The terms of the band over all documents; at most most_terms of them, the most frequent, reach the driver."""
+def lexicon(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", least_idf: float = 1.5, most_idf: float = 7.0, most_terms: int = 16_000_000) -> Lexicon:
+    """The terms of the band over all documents."""
     n, scratch = docs.count(), Scratch(spark, "imatch")
     df = docs.select(text_col).mapInArrow(_document_frequency, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     band = scratch.put(df.filter(F.col("df").between(max(2.0, n * math.exp(-most_idf)), n * math.exp(-least_idf))))
-    size, kept = band.count(), band
-    if size > most_terms:
-        cut = band.agg(F.percentile_approx("df", 1 - most_terms / size, 100_000)).first()[0]
-        kept = band.filter(F.col("df") > cut)
-    terms = np.sort(kept.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+    if band.count() > most_terms:
+        raise ValueError(f"the band holds more than {most_terms} terms: lower most_idf")
+    terms = np.sort(band.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
     scratch.drop(band)
     bits = np.zeros(len(terms), np.uint64)
     for k, rate in enumerate(RATES):

@@ -1,13 +1,12 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-Every language has a raw-content zstandard dictionary of example words, frequent ones last, where they are
-nearest (no running text, so that a passage that happens to be in one language's examples has no advantage there; a word
-goes only to the language that most of its rows have).  Texts are lower-cased and everything but letters becomes a
-blank.  A text is cut into chunks (at character boundaries, so all of it counts) and each chunk is compressed with every
-dictionary; the language with the smallest total wins.  The margin is what the next best takes more, in bytes; a text with a narrow margin is rejected.
+Every language has a raw-content zstandard dictionary: running text of sample rows, whole, one after the other.  Texts are
+lower-cased and everything but letters becomes a blank.  A text is cut into chunks (at character boundaries, so all of it
+counts) and each chunk is compressed with every dictionary; the language with the smallest total wins.  The margin is what
+the next best takes more, in bytes; a text with a narrow margin is rejected.
 
 Dictionaries are fitted on a bounded sample: of every language the `rows` labelled rows with the smallest hash of their
-text, `chars` characters of each, up to `dictionary_bytes`.  The same rows are taken on every run.
+text.  The same rows are taken on every run.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and are rejected; equal totals go to the
 language with more labelled rows; with no labelled row at all every text is `und`; repeated rows are judged alike;
@@ -17,8 +16,6 @@ other columns pass through, and ones named like the added columns are replaced.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +28,8 @@ from pyspark.sql import types as T
 from tideline.llm.scratch import small_batches
 
 _OTHER = re.compile(r"[\W\d_]+")
+#: Sample rows of a language, and the compression level.
+ROWS, LEVEL = 200, 6
 ADDED = ("lang_pred", "score", "margin", "rejected")
 
 
@@ -38,44 +37,39 @@ ADDED = ("lang_pred", "score", "margin", "rejected")
 class Languages:
     names: list[str]
     contents: list[bytes]
-    level: int = 12
+    level: int = LEVEL
     chunk: int = 2000
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rows: int = 400, chars: int = 1500, dictionary_bytes: int = 32_000, level: int = 12) -> Languages:
-    """Dictionaries from a sample of at most rows * chars characters a language."""
+def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, level: int = LEVEL) -> Languages:
+    """Dictionaries from a sample of at most `rows` rows a language, each with its whole text."""
     rows_of = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["c"] for r in rows_of.groupBy("lang").agg(F.count("*").alias("c")).collect()}
     if not counts:
         return Languages([], [], level)
     passing = F.create_map(*(F.lit(x) for k, c in counts.items() for x in (k, min(1.0, 4 * rows / c))))
     # About four times the rows wanted pass a threshold on the hash; the first of those by hash are taken.
-    key = F.xxhash64("text")
-    near = rows_of.withColumn("h", key).filter(F.pmod(F.col("h"), F.lit(1 << 30)) < passing[F.col("lang")] * (1 << 30))
-    near = near.select("lang", "h", F.substring("text", 1, chars).alias("text")).dropDuplicates(["lang", "h"])
+    near = rows_of.withColumn("h", F.xxhash64("text")).filter(F.pmod(F.col("h"), F.lit(1 << 30)) < passing[F.col("lang")] * (1 << 30))
     order = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h")
-    sample = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows).collect()
+    chosen = near.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows)
+    sample = near.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "k").agg(F.min("text").alias("text")).collect()
     held: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["k"])):
         held.setdefault(r["lang"], []).append(r["text"])
     names = sorted(held, key=lambda x: (-counts[x], x.encode()))
-    # Labels are taken with a pinch of salt: sample rows that the others' dictionaries fit clearly better are left out, twice.
-    model = _build(names, held, dictionary_bytes, level)
-    for _ in range(2):
-        kept = {x: [t for t, sizes in zip(held[x], _sizes(held[x], model)) if sizes[k] <= min(sizes)] for k, x in enumerate(names)}
-        model = _build(names, {x: kept[x] or held[x] for x in names}, dictionary_bytes, level)
-    return model
+    # Labels are taken with a pinch of salt: rows that another language fits better, by dictionaries of the other half of the
+    # rows, are left out.
+    halves = [{x: held[x][k::2] for x in names} for k in (0, 1)]
+    kept: dict[str, list] = {x: [] for x in names}
+    for own, other in (halves, halves[::-1]):
+        model = build(names, other, level)
+        for k, x in enumerate(names):
+            kept[x] += [t for t, sizes in zip(own[x], _sizes(own[x], model)) if sizes[k] <= min(sizes)]
+    return build(names, {x: kept[x] or held[x] for x in names}, level)
 
 
-def _build(names: list[str], held: dict[str, list[str]], most: int, level: int) -> Languages:
-    share: dict[str, dict[str, float]] = {x: {} for x in names}
-    for x in names:
-        for t in held[x]:
-            for w in set(_plain(t).split()):
-                share[x][w] = share[x].get(w, 0) + 1 / len(held[x])
-    top = {w: max(share[x].get(w, 0) for x in names) for x in names for w in share[x]}
-    own = {x: {w for w, s in share[x].items() if s == top[w]} for x in names}
-    return Languages(names, [_content(held[x], own[x], most) for x in names], level)
+def build(names: list[str], held: dict[str, list[str]], level: int = LEVEL) -> Languages:
+    return Languages(names, [" ".join(["", *map(_plain, held[x]), ""]).encode("utf-8", "surrogatepass") for x in names], level)
 
 
 def _plain(text: str) -> str:
@@ -83,12 +77,6 @@ def _plain(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def _content(texts: list[str], own: set[str], most: int) -> bytes:
-    count = Counter(w for t in texts for w in _plain(t).split() if w in own)
-    order = sorted(count, key=lambda w: (count[w], zlib.crc32(w.encode("utf-8", "surrogatepass"))))
-    return " ".join(["", *order, ""]).encode("utf-8", "surrogatepass")[-most:]
-
-
 def _sizes(texts, model: Languages):
     """Total compressed bytes of every text by language."""
     packers = []
@@ -102,8 +90,9 @@ def _sizes(texts, model: Languages):
         yield [sum(len(pack(p)) for p in parts) for pack in packers]
 
 
-def _judge(model: Languages, text_at: int, least_margin: float):
+def _judge(shared, text_at: int, least_margin: float):
     def rows(batches):
+        model = shared.value
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
             m = len(texts)
@@ -128,7 +117,8 @@ def identify(docs: DataFrame, model: Languages, *, text_col: str = "text", least
     own = docs.select(*(F.col(f"`{c}`") for c in names))
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
     schema = T.StructType([*own.schema, *(T.StructField(n, k) for n, k in zip(ADDED, kinds))])
-    return own.mapInArrow(_judge(model, names.index(text_col), least_margin), schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return own.mapInArrow(_judge(shared, names.index(text_col), least_margin), schema)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,19 +1,22 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 Every source is a queue of its documents in shuffled order; a source that its target needs more than once starts over, up
-to `most_repeats` times.  The virtual finish time of a copy is what its source has served by its end over the source's
-target.  The mix is the copies in order of virtual finish time, cut where the total budget is spent: at virtual time 1
-every source has served its target, and a copy that the cut falls into is taken in part.
+to `most_repeats` times, and its last copy is served in part where the target ends.  The virtual finish time of a copy is
+what its source has served by the copy's end over the source's target.  The copies of all sources are sorted by range of
+virtual finish time, and the mix is cut where their running total reaches the budget, the sum of all sizes; the copy that
+the cut falls into is taken in part.
 
-Running sums never gather a source: the shuffle key deals a source's documents into blocks, blocks are summed, and a
-document's place is its block's start plus its place in the block.
+Running sums never gather a source or the mix: the shuffle key deals a source's documents into blocks, virtual time deals
+the copies into stretches of about `block_rows`, and a row's place is its block's start plus its place in the block.  A
+source serves evenly over virtual time, so stretches are as even.
 
 Targets: source k by code point (null last) has weight `weights[k mod len]`; targets share the sum of all sizes by
 weight, stop at most_repeats times their source's size, and pass the excess on by weight until none is above.
 
 Defined results: a null or blank text has size 0 and nothing of it is taken; a null source is a source of its own; rows
-that repeat an id are documents of their own (order: hash of the id, then size); an empty table gives no rows; other
-columns pass through, and ones named like the added columns are replaced.
+that repeat an id are documents of their own (order: hash of id and text, so rows of one id or without an id are dealt out
+like all others); an empty table gives no rows; other columns pass through, and ones named like the added columns are
+replaced.
 """
 
 from __future__ import annotations
@@ -55,34 +58,50 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_repeats
 
 def mix(
     spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (5, 2, 1),
-    most_repeats: int = 3, block_rows: int = 20_000, seed: str = "mix", keep: list[str] | None = None,
+    most_repeats: int = 3, block_rows: int = 5_000, seed: str = "mix", keep: list[str] | None = None,
 ) -> DataFrame:
     """The columns `keep` (all by default) with size, source_size, target, taken (words) and virtual_finish (of the first
     copy), in order of virtual finish time."""
     names = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
-    source = F.col(f"`{source_col}`").cast("string")
+    source, text, scratch = F.col(f"`{source_col}`").cast("string"), F.col(f"`{text_col}`"), Scratch(spark, "mixing")
     blocks = max(1, -(-docs.count() // block_rows))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
-    rows = Scratch(spark, "mixing").put(
+    own = F.concat_ws(":", F.lit(seed), F.col(f"`{id_col}`").cast("string"), F.md5(text))
+    rows = scratch.put(
         docs.select(
             *(F.col(f"`{c}`") for c in names),
             F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")).alias("_queue"),
-            words(F.col(f"`{text_col}`")).alias("size"), key.alias("_key"),
-            F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * blocks / (1 << 32)).cast("int").alias("_block"),
-        )
+            words(text).alias("size"), F.md5(own).alias("_key"),
+        ).withColumn("_block", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * blocks / (1 << 32)).cast("int"))
     )
-    inside = Window.partitionBy("_queue", "_block").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("_queue", "_block").orderBy("_key", "size")
     before = Window.partitionBy("_queue").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = rows.groupBy("_queue", "_block").agg(F.sum("size").alias("block_size"))
     starts = sums.withColumn("_start", F.sum("block_size").over(before) - F.col("block_size")).select("_queue", "_block", "_start")
-    goal = targets(sums.groupBy(F.col("_queue").alias("queue")).agg(F.sum("block_size").alias("source_size")), weights, most_repeats)
-    placed = rows.withColumn("_inside", F.sum("size").over(inside) - F.col("size")).join(starts, ["_queue", "_block"])
-    placed = placed.join(goal.withColumnRenamed("queue", "_queue"), "_queue")
-    budget = F.floor(F.col("target")).cast("long")
-    start, nothing = F.col("_start") + F.col("_inside"), F.lit(0).cast("long")
-    # Served by virtual time 1, over all copies: whole copies before the cut, the part before it of the copy it falls into.
-    served = (F.greatest(nothing, F.least(F.col("size"), budget - start - F.col("source_size") * e)) for e in range(most_repeats))
-    return placed.select(
-        *(F.col(f"`{c}`") for c in names), "size", "source_size", "target", sum(served, nothing).alias("taken"),
-        F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")).alias("virtual_finish"),
+    goal = scratch.put(targets(sums.groupBy(F.col("_queue").alias("queue")).agg(F.sum("block_size").alias("source_size")), weights, most_repeats))
+    placed = (
+        rows.withColumn("_n", F.row_number().over(order))
+        .withColumn("_inside", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
+        .join(starts, ["_queue", "_block"]).join(goal.withColumnRenamed("queue", "_queue"), "_queue")
+        .withColumn("_from", F.col("_start") + F.col("_inside")).drop("_start", "_inside")
+    )
+    placed = scratch.put(placed)
+    # Copies, each with what its source's target leaves of it.
+    copy = F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("copy")
+    copies = placed.select("_queue", "_block", "_n", "_key", "size", "target", (F.col("_from")).alias("first"), "source_size", copy)
+    begin = F.col("first") + F.col("source_size") * F.col("copy")
+    copies = copies.select("_queue", "_block", "_n", "_key", "copy", "target", begin.alias("begin"), F.least("size", F.floor("target").cast("long") - begin).alias("words")).filter("words > 0")
+    copies = copies.withColumn("finish", (F.col("begin") + F.col("words")) / F.col("target"))
+    budget = sums.agg(F.coalesce(F.sum("block_size"), F.lit(0)).alias("budget"))  # one row
+    stretch = F.least(F.floor(F.col("finish") * blocks).cast("int"), F.lit(blocks - 1))
+    served = copies.select("_queue", "_block", "_n", "_key", "copy", "words", "finish", stretch.alias("stretch"))
+    in_order = Window.partitionBy("stretch").orderBy("finish", "_queue", "_key", "_n", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = served.groupBy("stretch").agg(F.sum("words").alias("w"))
+    totals = totals.select("stretch", (F.sum("w").over(all_before) - F.col("w")).alias("base")).crossJoin(F.broadcast(budget))
+    cut = served.withColumn("upto", F.sum("words").over(in_order)).join(totals, "stretch")
+    left = F.col("budget") - (F.col("base") + F.col("upto") - F.col("words"))
+    taken = cut.select("_queue", "_block", "_n", F.greatest(F.lit(0).cast("long"), F.least("words", left)).alias("w")).groupBy("_queue", "_block", "_n").agg(F.sum("w").alias("taken"))
+    return placed.join(taken.hint("merge"), ["_queue", "_block", "_n"], "left").select(
+        *(F.col(f"`{c}`") for c in names), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.when(F.col("target") > 0, (F.col("_from") + F.col("size")) / F.col("target")).alias("virtual_finish"),
     ).sort("virtual_finish", F.col(f"`{id_col}`"))

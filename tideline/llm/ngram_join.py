@@ -56,7 +56,7 @@ BLOCK_SETS, BLOCK_TOKENS = 512, 4096
 
 @dataclass
 class NgramJoin:
-    """documents: (id, text_hash, n_tokens, sig, component, n_links); links: pairs of sets (a, b) that join all of a component;
+    """documents: (id, text_hash, n_tokens, sig, group, component, n_links), group being one number for all of a component; links: pairs of sets (a, b) that join all of a component;
     sets: (sig, representative id, copies)."""
 
     documents: DataFrame
@@ -192,9 +192,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     labelled = held.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = labelled.groupBy("root").agg(F.min("representative").alias("component"))
     labelled = labelled.join(least, "root").join(degrees, "sig", "left")
-    labelled = labelled.select("sig", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    labelled = labelled.select("sig", F.col("root").alias("group"), "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = documents.join(labelled, "sig", "left").select(
-        "id", F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_tokens"), "sig", F.coalesce("component", "id").alias("component"),
+        "id", F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_tokens"), "sig", "group", F.coalesce("component", "id").alias("component"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
     return NgramJoin(out, links, held)

@@ -181,7 +181,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS name, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    md5('mix:' || CAST(doc_id AS VARCHAR)) AS k FROM documents
+    md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR), md5(text))) AS k FROM documents
 ), sizes AS (
   SELECT none, name, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY none, name
 ), weighed AS (

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.scratch import small_batches
+from tideline.llm.scratch import Scratch, small_batches
 
 #: Of the public byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -52,8 +52,9 @@ def with_length(spark: SparkSession, docs: DataFrame, *, text_col: str = "text",
 
 
 def histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
-    """(length, n_docs) of a length column."""
-    return lengths.groupBy(F.col(length_col).alias("length")).agg(F.count("*").alias("n_docs"))
+    """(length, n_docs) of a length column, written once: what reads it again does not encode the corpus again."""
+    found = lengths.groupBy(F.col(length_col).alias("length")).agg(F.count("*").alias("n_docs"))
+    return Scratch(lengths.sparkSession, "token-counts").put(found)
 
 
 def answers(hist: DataFrame, block: int = 4096) -> DataFrame:
@@ -77,12 +78,27 @@ def answers(hist: DataFrame, block: int = 4096) -> DataFrame:
     )
 
 
-def truncated(hist_answers: DataFrame, limits: DataFrame, limit_col: str = "context") -> DataFrame:
+def truncated(hist_answers: DataFrame, limits: DataFrame, limit_col: str = "context", block: int = 4096) -> DataFrame:
     """limits with the documents that fit, and the total of tokens with documents cut to the limit: an as-of lookup of the
-    greatest length that is no more than the limit."""
-    known = hist_answers.select(F.col("length").alias("at"), F.struct("docs_to", "tokens_to").alias("a"), (F.col("docs_to") + F.col("docs_from") - F.col("n_docs")).alias("docs"), F.lit(False).alias("asked"))
-    asked = limits.select(F.col(limit_col).cast("long").alias("at"), F.lit(None).cast(known.schema["a"].dataType).alias("a"), F.lit(None).cast("long").alias("docs"), F.lit(True).alias("asked"))
-    order = Window.orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = known.unionByName(asked).withColumn("a", F.last("a", True).over(order)).withColumn("docs", F.max("docs").over(Window.partitionBy()))
-    fit, kept = F.coalesce(F.col("a.docs_to"), F.lit(0)), F.coalesce(F.col("a.tokens_to"), F.lit(0))
-    return both.filter("asked").select(F.col("at").alias(limit_col), fit.alias("docs_fit"), (kept + F.col("at") * (F.coalesce("docs", F.lit(0)) - fit)).alias("truncated_total"))
+    greatest length that is no more than the limit, inside the limit's block of lengths, else in the nearest block below.
+    A null or negative limit fits nothing and keeps 0 tokens."""
+    found = F.struct("length", "docs_to", "tokens_to")
+    known = hist_answers.select(F.floor(F.col("length") / block).alias("block"), F.col("length").alias("at"), found.alias("a"), F.lit(False).alias("asked"))
+    limit = F.greatest(F.coalesce(F.col(f"`{limit_col}`").cast("long"), F.lit(0)), F.lit(0))
+    asked = limits.select(
+        F.floor(limit / block).alias("block"), limit.alias("at"), F.lit(None).cast(known.schema["a"].dataType).alias("a"), F.lit(True).alias("asked"),
+        F.col(f"`{limit_col}`").cast("long").alias(limit_col),
+    )
+    inside = Window.partitionBy("block").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = known.unionByName(asked, allowMissingColumns=True).withColumn("near", F.last("a", True).over(inside)).filter("asked")
+    # One row a block of either side: windows over them are small.
+    ends = known.groupBy("block").agg(F.max("a").alias("end")).join(both.select("block").distinct(), "block", "full")
+    below = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("block", F.last("end", True).over(below).alias("far"))
+    docs = hist_answers.agg(F.coalesce(F.max("docs_to"), F.lit(0)).alias("docs"))  # one row
+    out = both.join(ends, "block").crossJoin(F.broadcast(docs)).withColumn("a", F.coalesce("near", "far"))
+    fit, kept, valid = F.coalesce(F.col("a.docs_to"), F.lit(0)), F.coalesce(F.col("a.tokens_to"), F.lit(0)), F.coalesce(F.col(limit_col) >= 0, F.lit(False))
+    return out.select(
+        limit_col, F.when(valid, fit).otherwise(0).cast("long").alias("docs_fit"),
+        F.when(valid, kept + F.col("at") * (F.col("docs") - fit)).otherwise(0).cast("long").alias("truncated_total"),
+    )

@@ -4,14 +4,17 @@ Features are the distinct n-grams (lengths `lengths`) of the whole lower-cased t
 text each feature gets its log-count ratio r = ln((p / |p|) / (q / |q|)) from smoothed counts of documents of either label
 (Wang and Manning, 2012); a text is the vector of r over its features, and logistic regression on these vectors gives the
 weights.  Features whose ratio is within `least_z` standard errors of 0 are left out, so the many n-grams that say
-nothing do not add up in long texts.
+nothing do not add up in long texts; all others stay, however many.  The regression is Spark ML's: gradients are summed on
+executors over the rows of the sample, the driver holds one number for each bucket.
 
-Fitting takes at most `rows` labelled documents (those with the smallest hash of their id; their ids are broadcast, two
-longs a row) from all that are not held out; everything else covers all rows.
+Fitting takes at most `rows` labelled documents that are not held out, half of them of either label (those with the
+smallest hash of their id; the ids are broadcast, two longs a row), with weights that restore the labels' shares;
+everything else covers all rows.
 
 Defined results: null and empty texts have no features and score by the intercept; a document labelled twice is toxic if
-any label says so, null labels do not count; labels of one kind or none leave a constant score; repeated rows score
-alike; other columns pass through, and one named score is replaced.
+any label says so, null labels do not count, nor do labels without a document; of rows that repeat an id one is learned
+from; labels of one kind or none leave a constant score; repeated rows score alike; other columns pass through, and one
+named score is replaced.
 """
 
 from __future__ import annotations
@@ -20,15 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm.scan import U, mix
-from tideline.llm.scratch import small_batches
+from tideline.llm.scratch import Scratch, small_batches
 
-LENGTHS = (3, 4, 5)
-BUCKETS = 1 << 18
+LENGTHS = (3, 4, 5, 6, 7)
+BUCKETS = 1 << 20
 _CHUNK = 1 << 20
 
 
@@ -76,57 +81,52 @@ def _counts(batches):
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """(text, toxic) of at most `rows` labelled documents."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    """(text, toxic, weight) of at most rows / 2 documents of either label; weight: documents that each stands for."""
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("toxic"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    known = known.join(texts.select("id"), "id", "left_semi")
+    per_label, most = known.groupBy("toxic").agg(F.count("*").alias("many")), rows // 2
+    chosen = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k in (0, 1)]
+    chosen = chosen[0].unionByName(chosen[1]).join(F.broadcast(per_label), "toxic").withColumn("weight", F.col("many") / F.least("many", F.lit(most)))
+    found = texts.join(F.broadcast(chosen), "id")
+    return found.groupBy("id", "toxic", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic", "weight")
+
+
+def ratios(counts: np.ndarray, smoothing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratios of features and their standard errors, of counts (clean, toxic) of each."""
+    q, p = counts.astype(float) + smoothing
+    return np.log(p / p.sum()) - np.log(q / q.sum()), np.sqrt(1 / p + 1 / q)
 
 
 def fit(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    rows: int = 20_000, smoothing: float = 1.0, least_z: float = 3.0, most_features: int = 4_000, l2: float = 1e-5,
+    rows: int = 20_000, smoothing: float = 1.0, least_z: float = 3.0, l2: float = 1e-4, steps: int = 60,
 ) -> Toxicity:
     """The classifier; docs and labels are rows that may be learned from."""
-    chosen = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows)
-    counts = chosen.mapInArrow(_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    p, q = counts["toxic"].to_numpy(float) + smoothing, counts["clean"].to_numpy(float) + smoothing
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    z = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-    kept = np.flatnonzero(z >= least_z)
-    kept = kept[np.argsort(-z[kept], kind="stable")[:most_features]]
-    slot = np.full(BUCKETS, len(kept), np.int32)
+    small_batches(spark)
+    chosen = Scratch(spark, "toxicity").put(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows))
+    counts = chosen.select("text", "toxic").mapInArrow(_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    ratio, error = ratios(counts[["clean", "toxic"]].to_numpy().T, smoothing)
+    kept = np.flatnonzero(np.abs(ratio) >= least_z * error)
+    slot, value = np.full(BUCKETS, len(kept), np.int32), ratio[kept]
     slot[counts["bucket"].to_numpy()[kept]] = np.arange(len(kept))
-    features, nothing = spark.sparkContext.broadcast(slot), len(kept)
-
-    def vectors(batches):
+    share = {r["toxic"]: r["w"] for r in chosen.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
+    prior = np.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1))
+    if len(share) < 2 or not len(kept):
+        return Toxicity(slot, np.zeros(len(kept) + 1), float(prior))
+    shared, nothing = spark.sparkContext.broadcast((slot, value)), len(kept)
+
+    def features(batches):
+        own = shared.value[0]
         for batch in batches:
-            found = [np.unique(s[s < nothing]) for s in (features.value[g] for g in text_grams(batch.column(0).to_pylist()))]
-            yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["features", "toxic"])
-
-    train = chosen.mapInArrow(vectors, "features array<int>, toxic int").toPandas()
-    weights, intercept = _regress(train["features"].tolist(), train["toxic"].to_numpy(float), ratio[kept], l2)
-    return Toxicity(slot, np.append(weights * ratio[kept], 0.0), intercept)
-
-
-def _regress(features: list, y: np.ndarray, ratio: np.ndarray, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on rows that hold ratio[j] in each of their features j; accelerated gradient steps."""
-    share = (y.sum() + 1) / (len(y) + 2)
-    w, b = np.zeros(len(ratio)), float(np.log(share / (1 - share)))
-    if not len(ratio) or not 0 < y.sum() < len(y):
-        return w, b
-    size = np.array([len(f) for f in features])
-    row, col = np.repeat(np.arange(len(y), dtype=np.int32), size), np.concatenate([np.asarray(f, np.int32) for f in features])
-    x = ratio[col]
-    rate = 4.0 / (max(1.0, float(np.mean(np.bincount(row, x * x, len(y)))) + 1))
-    v, c, w0, b0 = w, b, w, b
-    for k in range(steps):
-        margin = np.bincount(row, x * v[col], len(y)) + c
-        error = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y
-        w1 = v - rate * (np.bincount(col, x * error[row], len(ratio)) / len(y) + l2 * v)
-        b1 = c - rate * error.mean()
-        pull = k / (k + 3)
-        v, c, w0, b0 = w1 + pull * (w1 - w0), b1 + pull * (b1 - b0), w1, b1
-    return w0, float(b0)
+            found = [np.unique(s[s < nothing]) for s in (own[g] for g in text_grams(batch.column(0).to_pylist()))]
+            yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["found", "toxic", "weight"])
+
+    vector = F.udf(lambda found: Vectors.sparse(nothing, found, shared.value[1][found]), VectorUDT())
+    train = chosen.select("text", F.col("toxic").cast("double").alias("toxic"), "weight").mapInArrow(features, "found array<int>, toxic double, weight double")
+    regression = LogisticRegression(featuresCol="x", labelCol="toxic", weightCol="weight", regParam=l2, standardization=False, maxIter=steps)
+    model = regression.fit(train.select(vector("found").alias("x"), "toxic", "weight"))
+    return Toxicity(slot, np.append(model.coefficients.toArray() * value, 0.0), float(model.intercept))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Toxicity, *, text_col: str = "text") -> DataFrame:

@@ -14,8 +14,11 @@ latest earlier response has another validator: nothing is merged) and `missing`
 
 Defined results: records with a null URL, time or id match nothing (revisits are `missing`); captures at the same time go
 in order of record id; a response does not serve revisits of its own time with a lower id; null headers are none; header
-names compare without case and come out in lower case; repeated records count as records of their own; an empty table
-gives no rows.
+names compare without case and come out in lower case; a record that is stored several times gives as many rows as a
+revisit and serves once as a response, and of responses that differ under one id, URL and time the one whose payload and
+headers have the least hash serves; an empty table gives no rows.
+
+A window holds the captures of one URL in one stretch (an hour by default), as slim rows that sort with spilling.
 """
 
 from __future__ import annotations
@@ -52,7 +55,7 @@ def _tag(headers: Column) -> Column:
     return F.regexp_replace(F.element_at(headers, "etag"), r"^W/", "")
 
 
-def resolve_revisits(records: DataFrame, *, stretch_seconds: int = 86_400) -> DataFrame:
+def resolve_revisits(records: DataFrame, *, stretch_seconds: int = 3_600) -> DataFrame:
     """records: record_id, url, captured_at timestamp, status int, headers map, payload string.  One row per revisit:
     record_id, canonical_url, captured_at, response_id, outcome, headers, payload."""
     own = records.select(
@@ -65,14 +68,23 @@ def resolve_revisits(records: DataFrame, *, stretch_seconds: int = 86_400) -> Da
     )
     at = F.struct("captured_at", "record_id")
     inside = Window.partitionBy("canonical_url", "stretch").orderBy("captured_at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = slim.withColumn("near", F.last(F.when(F.col("full"), F.col("record_id")), True).over(inside)).filter(~F.col("full"))
+    key = ["record_id", "canonical_url", "captured_at"]
+    near = slim.withColumn("near", F.last(F.when(F.col("full"), at), True).over(inside)).filter(~F.col("full"))
     ends = slim.groupBy("canonical_url", "stretch").agg(F.max(F.when(F.col("full"), at)).alias("end"))
     across = Window.partitionBy("canonical_url").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("canonical_url", "stretch", F.last("end", True).over(across)["record_id"].alias("far"))
-    found = near.join(ends, ["canonical_url", "stretch"]).select("record_id", F.coalesce("near", "far").alias("response_id"))
-    revisits = own.filter("status = 304").select("record_id", "canonical_url", "captured_at", F.col("headers").alias("sent"))
-    full = own.filter("status = 200").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("payload").alias("body"))
-    both = revisits.join(found, "record_id", "left").join(full, "response_id", "left")
+    ends = ends.select("canonical_url", "stretch", F.last("end", True).over(across).alias("far"))
+    served = F.coalesce("near", "far")
+    found = near.join(ends, ["canonical_url", "stretch"]).select(*key, served["record_id"].alias("response_id"), served["captured_at"].alias("response_at"))
+    found = found.groupBy(*key).agg(F.max(F.struct("response_at", "response_id")).alias("r")).select(*key, "r.response_id", "r.response_at")
+    revisits = own.filter("status = 304").select(*key, F.col("headers").alias("sent"))
+    lines = F.array_sort(F.map_entries("headers"))
+    full = (
+        own.filter((F.col("status") == 200) & valid)
+        .groupBy(F.col("record_id").alias("response_id"), "canonical_url", F.col("captured_at").alias("response_at"))
+        .agg(F.min_by(F.struct(F.col("headers").alias("stored"), F.col("payload").alias("body")), F.xxhash64("payload", lines)).alias("f"))
+        .select("response_id", "canonical_url", "response_at", "f.stored", "f.body")
+    )
+    both = revisits.join(found, key, "left").join(full, ["response_id", "canonical_url", "response_at"], "left")
     tag, old_tag = _tag(F.col("sent")), _tag(F.col("stored"))
     date, old_date = F.element_at("sent", "last-modified"), F.element_at("stored", "last-modified")
     outcome = (
