@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row it is given and returns the columns of documents, the last one
 the mix: (doc_id, source, size, target, taken).  A stage's own rules for nulls, empty texts, ties and repeated rows are in
-its operator's docstring; rows with a null doc_id pass the stages that compare documents.
+its operator's docstring; rows with a null doc_id pass the stages that compare documents. Rows that repeat a doc_id are
+documents of their own where their texts are not alike.
 """
 
 from __future__ import annotations
@@ -37,11 +38,18 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the smallest id stays."""
-    found = ngram_jaccard_join(spark, docs, n=5, percent=80)
-    stays = found.documents.filter("id = component").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.filter("doc_id is not null").join(stays.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """Of every group of near duplicates one document stays: the smallest id, of rows with that id the text with the least
+    hash, of rows with that text, too, the least other columns."""
+    found = ngram_jaccard_join(spark, docs, n=5, percent=80).documents.filter("id = component")
+    # A class is named by its least id: of the rows with that id one stays, and one of every other class that it names.
+    roots = found.groupBy(F.col("id").alias("doc_id"), F.coalesce("group", "text_hash")).agg(F.min("text_hash").alias("_hash")).select("doc_id", "_hash").distinct()
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.withColumn("_hash", F.xxhash64("text")).filter("doc_id is not null")
+    kept = named.join(roots.hint("merge"), ["doc_id", "_hash"], "left_semi").groupBy("doc_id", "_hash").agg(
+        F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_rest"), F.min("text").alias("text")
+    )
+    kept = kept.select("doc_id", "text", *(F.col(f"_rest.`{c}`").alias(c) for c in others))
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
