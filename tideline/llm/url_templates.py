@@ -9,7 +9,8 @@ pages overall as prior, is under `least_purity`.  Explicit rules go first: the l
 
 Pages are aggregated by host and shaped path before anything is joined, and every step is a grouping and a lookup by key:
 a host with a third of all pages is spread over its paths.  A level of the tree is a few groupings; levels go on while any
-node has two different paths below it, and what follows in a path that is alone under its node is taken as it is.
+node has two different paths and a labelled page below it.  What follows in a path that is alone under its node is taken as
+it is, and all below a node without a labelled page is one template, `/**`: its purity is the prior, however it is split.
 
 Defined results: a null url and one without `://` have empty host and path; the host ends before the first `/`, `?` or
 `#` and A-Z is lower-cased; unlabelled pages count for the tree, not for purity; a page labelled twice counts twice;
@@ -68,11 +69,11 @@ def templates(scratch: Scratch, shaped: DataFrame, most_children: int) -> DataFr
     while True:
         k += 1
         longer = F.size("shapes") >= k
-        below = tree.filter(longer).groupBy("host", "prefix").agg(F.count("*").alias("paths"))
-        tree = scratch.put(tree.join(below, ["host", "prefix"], "left").withColumn("ended", ~longer | (F.col("paths") < 2)))
+        below = tree.filter(longer).groupBy("host", "prefix").agg(F.count("*").alias("paths"), F.sum(F.col("good") + F.col("bad")).alias("marks"))
+        tree = scratch.put(tree.join(below, ["host", "prefix"], "left").withColumn("ended", ~longer | (F.col("paths") < 2) | (F.col("marks") == 0)))
         rest = F.slice("shapes", k, F.greatest(F.size("shapes") - k + 1, F.lit(0)))
-        done.append(tree.filter("ended").withColumn("template", F.concat("prefix", F.when(longer, F.concat(F.lit("/"), F.array_join(rest, "/"))).otherwise(""))).drop("prefix", "paths", "ended"))
-        here = tree.filter("not ended").drop("paths", "ended")
+        done.append(tree.filter("ended").withColumn("template", F.concat("prefix", F.when(~longer, "").when(F.col("marks") == 0, "/**").otherwise(F.concat(F.lit("/"), F.array_join(rest, "/"))))).drop("prefix", "paths", "marks", "ended"))
+        here = tree.filter("not ended").drop("paths", "marks", "ended")
         if here.isEmpty():
             break
         here = here.withColumn("own", F.get("shapes", F.lit(k - 1)))
@@ -138,23 +139,25 @@ def sql(rules: list[tuple[str, str, str]], levels: int = 8, most_children: int =
         "cut AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM parsed)",
         "rows_ AS (SELECT page_id, host, path, " + ", ".join(f"{shape.format(f'seg[{k}]')} AS s{k}" for k in range(1, levels + 1)) + " FROM cut)",
         "marks AS (SELECT doc_id, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality <> 1) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id)",
-        f"t0 AS (SELECT host, {keys}, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad, '' AS prefix FROM rows_ LEFT JOIN marks ON doc_id = page_id GROUP BY ALL)",
+        f"t0 AS (SELECT host, {keys}, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad, '' AS prefix, false AS fin FROM rows_ LEFT JOIN marks ON doc_id = page_id GROUP BY ALL)",
     ]
     for k in range(1, levels + 1):
         s, nxt = f"s{k}", f"s{k + 1}" if k < levels else "CAST(NULL AS VARCHAR)"
         kind = f"CASE WHEN {nxt} IS NULL THEN '.' WHEN {nxt} IN ('{{n}}', '{{h}}', '{{a}}') THEN {nxt} ELSE 'w' END"
         out += [
-            f"b{k} AS (SELECT host, prefix, {s}, sum(n) AS bn FROM t{k - 1} WHERE {s} IS NOT NULL GROUP BY ALL)",
+            f"u{k} AS (SELECT *, NOT fin AND {s} IS NOT NULL AND sum(CASE WHEN {s} IS NULL THEN 0 ELSE good + bad END) OVER (PARTITION BY host, prefix, fin) = 0 AS bare FROM t{k - 1})",
+            f"v{k} AS (SELECT * EXCLUDE (bare) REPLACE (CASE WHEN bare THEN prefix || '/**' ELSE prefix END AS prefix, fin OR bare AS fin) FROM u{k})",
+            f"b{k} AS (SELECT host, prefix, {s}, sum(n) AS bn FROM v{k} WHERE {s} IS NOT NULL AND NOT fin GROUP BY ALL)",
             f"""l{k} AS (SELECT host, prefix, {s}, CASE WHEN count(*) OVER (PARTITION BY host, prefix) > {most_children} AND bn * 20 < sum(bn) OVER (PARTITION BY host, prefix)
   AND {s} NOT IN ('{{n}}', '{{h}}', '{{a}}') THEN '*' ELSE {s} END AS label FROM b{k})""",
             f"""n{k} AS (SELECT host, prefix, label, array_to_string(list_sort(list(DISTINCT {kind})), ',') AS kinds, sum(good) AS g, sum(bad) AS b
-  FROM t{k - 1} JOIN l{k} USING (host, prefix, {s}) GROUP BY host, prefix, label)""",
+  FROM v{k} JOIN l{k} USING (host, prefix, {s}) WHERE NOT fin GROUP BY host, prefix, label)""",
             f"p{k} AS (SELECT *, count(*) OVER own AS m, sum(g) OVER own - g AS rg, sum(b) OVER own - b AS rb FROM n{k} WINDOW own AS (PARTITION BY host, prefix, kinds))",
             f"r{k} AS (SELECT *, CAST(b + 1 AS DOUBLE) / (g + b + 2) AS r1, CAST(rb + 1 AS DOUBLE) / (rg + rb + 2) AS r2 FROM p{k})",
             f"""m{k} AS (SELECT host, prefix, label, CASE WHEN m > 1 AND abs(r1 - r2) <= 1.96 * sqrt(r1 * (1 - r1) / (g + b + 2) + r2 * (1 - r2) / (rg + rb + 2))
   THEN '~' || kinds ELSE label END AS merged FROM r{k})""",
             f"""t{k} AS (SELECT * EXCLUDE (prefix, label, merged), CASE WHEN merged IS NULL THEN prefix ELSE prefix || '/' || merged END AS prefix
-  FROM t{k - 1} LEFT JOIN l{k} USING (host, prefix, {s}) LEFT JOIN m{k} USING (host, prefix, label))""",
+  FROM v{k} LEFT JOIN l{k} USING (host, prefix, {s}) LEFT JOIN m{k} USING (host, prefix, label))""",
         ]
     out += [
         f"named AS (SELECT *, prefix AS template FROM t{levels})",
