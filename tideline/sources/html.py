@@ -49,7 +49,7 @@ def page_date(html: Column) -> Column:
     """First date among meta, time elements and printed text, in that order."""
     day = r"(20[0-9]{2}-[01][0-9]-[0-3][0-9])"
     tries = [rf'property="article:published_time" content="{day}', rf'"datePublished":"{day}', rf'<time[^>]*datetime="{day}', day]
-    return F.coalesce(*(F.try_to_date(F.regexp_extract(html, t, 1), F.lit("yyyy-MM-dd")) for t in tries))
+    return F.coalesce(*(F.try_to_date(F.regexp_extract(html, t, 1), "yyyy-MM-dd") for t in tries))
 
 
 def table_rows(html: Column) -> Column:
