@@ -26,4 +26,4 @@ def query(*covers: int, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tideline.plans import extras, feed, pairs, parsers, places, rules, scalars, series, similar, sources, stories, streams, summaries  # noqa: E402, F401
+from tideline.plans import desk, extras, feed, pairs, parsers, places, routes, rules, scalars, series, similar, sources, spelling, stories, streams, summaries  # noqa: E402, F401

@@ -45,10 +45,14 @@ def norm(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(F.lower(c), r"['’]", ""), r"[^\p{L}\p{Nd}]+", " "))
 
 
-def skeleton(w: Column) -> Column:
-    """A rough phonetic key: doubled letters once, vowels dropped but the first letter."""
-    flat = F.regexp_replace(F.regexp_replace(F.lower(w), r"ph", "f"), r"[ck]h|q", "k")
-    return F.concat(F.left(flat, F.lit(1)), F.regexp_replace(F.substr(flat, F.lit(2)), r"[aeiouy]", ""))
+def sound(w: Column) -> Column:
+    """A rough phonetic key: letters that sound alike are one, vowels and what hardly sounds are dropped, doubles are one."""
+    flat = F.lower(w)
+    for pattern, one in (("ph", "f"), ("[ckg]h|q|c", "k"), ("(?:ee|ou|oo)", "u"), ("[aeiouywh]", "")):
+        flat = F.regexp_replace(flat, pattern, one)
+    for x in "blnst":
+        flat = F.regexp_replace(flat, x + x, x)
+    return flat
 
 
 def content_key(c: Column, chars: int = 200, least: int = 40) -> Column:

@@ -41,8 +41,9 @@ def cell(lat: Column, lon: Column, degrees: float) -> Column:
     return F.struct(F.floor(lat / degrees).alias("y"), F.floor(lon / degrees).alias("x"))
 
 
-def near(left: DataFrame, right: DataFrame, most_km: float, suffix: str = "_r", most_lat: float = 80.0) -> DataFrame:
-    """Pairs of (lat, lon) rows within a distance, found in the cells around: no cross join. Cells are as high as the
+def near(left: DataFrame, right: DataFrame, most_km: float, suffix: str = "_r", most_lat: float = 80.0, keys: list[str] = [], at: str | None = None, back: int = 0, ahead: int = 0) -> DataFrame:
+    """Pairs of (lat, lon) rows within a distance, found in the cells around, no cross join; with `keys`, of rows with equal
+    keys, and with `at`, of rows whose right time is in [left time - back, left time + ahead]. Cells are as high as the
     distance, and as wide as it is at `most_lat`; pairs nearer to a pole than that may be missed. They go around the globe
     in whole cells, so pairs over the date line are found."""
     step = most_km / 110.57
@@ -51,8 +52,16 @@ def near(left: DataFrame, right: DataFrame, most_km: float, suffix: str = "_r",
     r = right.select(*(F.col(c).alias(c + suffix) for c in right.columns)).withColumns({"_y": F.floor(F.col("lat" + suffix) / step), "_x": x(F.col("lon" + suffix))})
     around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(x(F.col("lon")) + k, F.lit(turns))))
     l_ = left.withColumn("_y", F.explode(F.sequence(F.floor(F.col("lat") / step) - 1, F.floor(F.col("lat") / step) + 1))).withColumn("_x", F.explode(around))
+    on = ["_y", "_x", *(f"_k{i}" for i in range(len(keys)))]
+    r, l_ = (x.withColumns({f"_k{i}": F.col(k + end) for i, k in enumerate(keys)}) for x, end in ((r, suffix), (l_, "")))
+    if at:
+        size, then = max(1, back + ahead), F.col(at + (suffix or ""))
+        r = r.withColumn("_b", F.floor(then / size))
+        l_ = l_.withColumn("_b", F.explode(F.sequence(F.floor((F.col(at) - back) / size), F.floor((F.col(at) + ahead) / size))))
+        on.append("_b")
     away = km(F.col("lat"), F.col("lon"), F.col("lat" + suffix), F.col("lon" + suffix))
-    return l_.join(r, ["_y", "_x"]).drop("_y", "_x").withColumn("km", away).filter(F.col("km") <= most_km)
+    in_time = then.between(F.col(at) - back, F.col(at) + ahead) if at else F.lit(True)
+    return l_.join(r, on).filter(in_time).drop(*on).withColumn("km", away).filter(F.col("km") <= most_km)
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, most_km: float, name: str) -> DataFrame:

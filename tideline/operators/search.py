@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,16 +30,20 @@ def close(a: Column, b: Column) -> Column:
 
 
 def respelled(words: DataFrame, lexicon: DataFrame, most: int = 3) -> DataFrame:
-    """(word, candidate, df): lexicon words one edit away, the most frequent few of each word.  Words and candidates meet
-    on the forms that remain when a letter is dropped, so nothing is compared with the whole lexicon."""
-    def forms(c: str) -> Column:
-        drops = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1)))
-        return F.explode(F.array_distinct(F.concat(F.array(c), drops)))
-
-    from pyspark.sql import Window
-
-    w = words.select("word", forms("word").alias("form"))
-    x = lexicon.select(F.col("word").alias("candidate"), "df", forms("word").alias("form"))
-    pairs = w.join(x, "form").select("word", "candidate", "df").distinct().filter(F.levenshtein("word", "candidate").between(1, 1))
+    """(word, candidate, df): lexicon words that are close() and not equal, the most frequent few of each word.  Words and
+    candidates meet on the forms that remain when a letter is dropped, or two of long words, so nothing is compared with
+    the whole lexicon; words under four letters have no candidates."""
+    def drops(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))
+
+    def forms(c: Column) -> Column:
+        once = drops(c)
+        twice = F.when(F.length(c) >= 8, F.flatten(F.transform(once, drops))).otherwise(F.array().cast("array<string>"))
+        return F.explode(F.array_distinct(F.concat(F.array(c), once, twice)))
+
+    w = words.filter(F.length("word") >= 4).select("word", forms(F.col("word")).alias("form"))
+    x = lexicon.select(F.col("word").alias("candidate"), "df", forms(F.col("word")).alias("form"))
+    far = F.when(F.length("word") >= 9, 2).otherwise(1)
+    pairs = w.join(x, "form").select("word", "candidate", "df").distinct().filter((F.col("word") != F.col("candidate")) & (F.levenshtein("word", "candidate") <= far))
     order = Window.partitionBy("word").orderBy(F.desc("df"), "candidate")
     return pairs.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).drop("k")

@@ -12,7 +12,7 @@ from tideline.plans.places import ports
 from tideline.session import POSITIONS, REPORTS, positions, reports, table
 
 
-@query(91, 94, 181, 209, 230, sql="""
+@query(91, sql="""
 WITH k AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS host, page_id % 3 <> 0 AS derived, length(html) AS n FROM pages),
 g AS (SELECT *, count(*) OVER (PARTITION BY host) AS pins, bool_or(NOT derived) OVER (PARTITION BY host) AS named FROM k)
 SELECT page_id, host FROM g WHERE NOT (pins >= 2 AND derived AND named)""")
@@ -28,7 +28,7 @@ def close_ports(spark, sf_dir, apart=600.0):
     return joins.near(p, p, apart).filter("name_r < name").select(F.col("name_r").alias("early"), F.col("name").alias("late"))
 
 
-@query(274, 275, 415, 429, 222)
+@query(274, 415, 429, 222)
 def spaced_ports(spark, sf_dir):
     """Greedy spacing: in order of name, a port within 600 km of one that stays is left out."""
     pairs = close_ports(spark, sf_dir)
@@ -39,7 +39,7 @@ def spaced_ports(spark, sf_dir):
 _FIG = r"list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) <= 6), lambda x: CAST(x AS BIGINT))"
 
 
-@query(147, 157, 172, 173, 174, 176, 177, 178, 179, 420, 421, 104, sql=f"""
+@query(sql=f"""
 WITH {REPORTS}, f AS (SELECT fp, source, at_, {_FIG} AS n FROM reports), t AS (SELECT fp, source, at_, n[1] AS dead, n[2] AS hurt FROM f WHERE len(n) >= 1)
 SELECT a.fp AS early, b.fp AS late, CASE WHEN a.dead = b.dead THEN true WHEN a.dead >= 3 AND b.dead >= 3 THEN abs(a.dead - b.dead) <= 1 ELSE coalesce(a.hurt = b.hurt, false) END AS meet
 FROM t a JOIN t b ON a.source = b.source AND b.at_ > a.at_ AND b.at_ - a.at_ <= 43200""")
@@ -53,7 +53,7 @@ def tolls(spark, sf_dir):
     return both.select(F.col("fp_r").alias("early"), F.col("fp").alias("late"), meet.alias("meet"))
 
 
-@query(317, 407, 316, 193, 194, 211, 63, sql=rf"""
+@query(316, 194, sql=rf"""
 WITH {REPORTS}, w AS (SELECT DISTINCT fp, unnest(list_filter(regexp_split_to_array(lower(summary), '[^\p{{L}}\p{{Nd}}]+'), lambda x: length(x) >= 4)) AS word FROM reports),
 d AS (SELECT word, count(*) AS df FROM w GROUP BY word), r AS (SELECT fp, word, row_number() OVER (PARTITION BY fp ORDER BY df, word) AS k FROM w JOIN d USING (word))
 SELECT fp, string_agg(word, ' ' ORDER BY k) AS keys FROM r WHERE k <= 4 GROUP BY fp""")
@@ -65,7 +65,7 @@ def search_keys(spark, sf_dir):
     return keys.select("fp", F.array_join(F.col("s.word"), " ").alias("keys"))
 
 
-@query(352, 96, sql="""
+@query(352, sql="""
 WITH p AS (SELECT s_name AS name, s_suppkey % 100 - 50 + 0.5 AS lat, s_suppkey * 7 % 300 - 150 + 0.5 AS lon FROM supplier)
 SELECT name, CAST(lat + dy * 0.5 AS DOUBLE) AS lat, CAST(lon + dx * 0.5 + (dy % 2) * 0.25 AS DOUBLE) AS lon FROM p, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)""")
 def lattice(spark, sf_dir):
@@ -75,7 +75,7 @@ def lattice(spark, sf_dir):
     return p.select("name", (F.col("lat") + F.col("dy") * 0.5).cast("double").alias("lat"), (F.col("lon") + F.col("dx") * 0.5 + (F.col("dy") % 2) * 0.25).cast("double").alias("lon"))
 
 
-@query(425, 328, 320, 323, sql="""
+@query(sql="""
 SELECT o_orderkey, regexp_extract(s, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) AS from_day, regexp_extract(s, ' to ([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) AS to_day
 FROM (SELECT o_orderkey, 'from ' || strftime(o_orderdate, '%Y-%m-%d') || ' to ' || strftime(o_orderdate + INTERVAL 7 DAY, '%Y-%m-%d') AS s FROM orders)""")
 def date_ranges(spark, sf_dir):
@@ -95,7 +95,7 @@ def shaped_tracks(spark, sf_dir):
     return p.select("key", "day", F.size("s").alias("n"), F.size(shapes.simplified(0.5)(ring)).alias("n_simple"), F.size(shapes.clipped(box)(ring)).alias("n_inside"))
 
 
-@query(292, 386, sql=f"""WITH {POSITIONS}, u AS (SELECT key, t, event_id, 0 AS settled FROM positions WHERE event_id % 2 = 0 UNION ALL SELECT key, t, event_id, 1 FROM positions WHERE event_id % 6 = 0),
+@query(292, sql=f"""WITH {POSITIONS}, u AS (SELECT key, t, event_id, 0 AS settled FROM positions WHERE event_id % 2 = 0 UNION ALL SELECT key, t, event_id, 1 FROM positions WHERE event_id % 6 = 0),
 b AS (SELECT event_id, max(settled) AS settled, any_value(key) AS key, any_value(t) AS t FROM u GROUP BY event_id), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t DESC, event_id DESC) AS k FROM b)
 SELECT event_id, settled FROM r WHERE k <= 10""")
 def queue(spark, sf_dir):

@@ -5,6 +5,8 @@ figures, its speaker the first word of the headline.  Null headlines and texts h
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tideline.catalog import query
@@ -13,11 +15,6 @@ from tideline.operators.pairrules import Rule, homes, matches
 from tideline.plans.similar import _HEAD
 from tideline.session import REPORTS, reports
 
-_W, _V = F.col("w"), F.col("w_e")
-_SHARED, _OVERLAP = sets.shared(_W, _V), sets.overlap(_W, _V)
-_GAP = F.col("at") - F.col("at_e")
-
-
 def cards(spark, sf_dir):
     found = F.filter(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1)), lambda x: F.length(x) <= 6)
     r = reports(spark, sf_dir).select("fp", "at", "source", "desk", "summary", "text")
@@ -38,27 +35,48 @@ def _first(words, most):
     return F.slice(F.array_sort(words), 1, F.greatest(most, F.lit(0)))
 
 
-_DESK = F.col("desk") == F.col("desk_e")
-_OWN = _DESK & (F.col("source") == F.col("source_e"))
-EVENT_RULES = [
-    Rule("same_headline", 86_400, F.array(F.concat_ws("\x1f", "desk", "source", "norm")), _OWN & (F.col("norm") == F.col("norm_e")) & (F.length("norm") >= 20)),
-    Rule(
-        "own_retelling", 43_200, _under("desk", "source", each=_W),
-        _OWN & (F.size(F.array_except("figures", "figures_e")) == 0) & ((_OVERLAP >= 0.6) | ((_OVERLAP >= 0.5) & (_SHARED >= 5))),
-    ),
-    Rule("two_kinds", 5_400, _under("desk", each=_first(_W, F.size("w") - 3)), _DESK & (F.col("kind") != F.col("kind_e")) & (_SHARED >= 4) & (_OVERLAP >= 0.6)),
-]
-_COMMON = F.array_intersect("figures", "figures_e")
-_FIGURES = F.transform("figures", lambda x: x.cast("string"))
-LOOSE_RULES = [
-    Rule("rare_figure", 43_200, _under("desk", each=F.transform(F.filter("figures", lambda x: x >= 100), lambda x: x.cast("string"))), _DESK & F.exists(_COMMON, lambda x: x >= 100) & (_SHARED >= 2)),
-    Rule("same_count", 10_800, _under("desk", each=_FIGURES), _DESK & F.exists(_COMMON, lambda x: x >= 5) & (_SHARED >= 1)),
-]
-_SPEAKS = (F.col("speaker") == F.col("speaker_e")) & (F.col("speaker") != "")
-TALK_RULES = [
-    Rule("burst", 600, F.array(F.concat_ws("\x1f", "desk", "source", "speaker")), _OWN & _SPEAKS),
-    Rule("remarks", 86_400, F.array(F.concat_ws("\x1f", "desk", "speaker")), _DESK & _SPEAKS & (F.floor(F.col("at") / 86_400) == F.floor(F.col("at_e") / 86_400)) & ((_GAP <= 10_800) | (_SHARED >= 3))),
-]
+def _same(*names):
+    return reduce(lambda a, b: a & b, (F.col(n) == F.col(f"{n}_e") for n in names))
+
+
+def _speaks():
+    return _same("desk", "speaker") & (F.col("speaker") != "")
+
+
+def _shared():
+    return sets.shared(F.col("w"), F.col("w_e"))
+
+
+def _overlap():
+    return sets.overlap(F.col("w"), F.col("w_e"))
+
+
+def event():
+    no_news = F.size(F.array_except("figures", "figures_e")) == 0
+    alike = (_overlap() >= 0.6) | ((_overlap() >= 0.5) & (_shared() >= 5))
+    return [
+        Rule("same_headline", 86_400, F.array(F.concat_ws("\x1f", "desk", "source", "norm")), _same("desk", "source", "norm") & (F.length("norm") >= 20)),
+        Rule("own_retelling", 43_200, _under("desk", "source", each=F.col("w")), _same("desk", "source") & no_news & alike),
+        Rule("two_kinds", 5_400, _under("desk", each=_first(F.col("w"), F.size("w") - 3)), _same("desk") & (F.col("kind") != F.col("kind_e")) & (_shared() >= 4) & (_overlap() >= 0.6)),
+    ]
+
+
+def loose():
+    common, texts = F.array_intersect("figures", "figures_e"), lambda x: x.cast("string")
+    return [
+        Rule("rare_figure", 43_200, _under("desk", each=F.transform(F.filter("figures", lambda x: x >= 100), texts)), _same("desk") & F.exists(common, lambda x: x >= 100) & (_shared() >= 2)),
+        Rule("same_count", 10_800, _under("desk", each=F.transform("figures", texts)), _same("desk") & F.exists(common, lambda x: x >= 5) & (_shared() >= 1)),
+    ]
+
+
+def talk():
+    same_day = F.floor(F.col("at") / 86_400) == F.floor(F.col("at_e") / 86_400)
+    return [
+        Rule("burst", 600, F.array(F.concat_ws("\x1f", "desk", "source", "speaker")), _same("source") & _speaks()),
+        Rule("remarks", 86_400, F.array(F.concat_ws("\x1f", "desk", "speaker")), _speaks() & same_day & ((F.col("at") - F.col("at_e") <= 10_800) | (_shared() >= 3))),
+    ]
+
+
 _CARDS = rf"""{REPORTS}, c AS (SELECT fp, at_, source, desk, coalesce(trim(regexp_replace(regexp_replace(lower(summary), '[''’]', '', 'g'), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')), '') AS norm,
   coalesce({_HEAD}, []) AS w, coalesce(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) <= 6), lambda x: CAST(x AS BIGINT))), []) AS f,
   coalesce(regexp_extract(lower(summary), '^([\p{{L}}]+)', 1), '') AS speaker FROM reports),
@@ -83,21 +101,21 @@ def _sql(rule):
 def event_rules(spark, sf_dir):
     """Pairs of a desk by the first event rule: the outlet's same headline within a day, its own retelling without a new
     figure within 12 hours, one event told in two kinds within 90 minutes."""
-    return matches(cards(spark, sf_dir), EVENT_RULES).drop("place")
+    return matches(cards(spark, sf_dir), event()).drop("place")
 
 
 @query(101, 156, 167, sql=_sql(_LOOSE))
 def loose_rules(spark, sf_dir):
     """Pairs of a desk by a figure: a rare one with two words in common within 12 hours, any from five on with one word
     within three."""
-    return matches(cards(spark, sf_dir), LOOSE_RULES).drop("place")
+    return matches(cards(spark, sf_dir), loose()).drop("place")
 
 
 @query(102, 168, 169, sql=_sql(_TALK))
 def talk_rules(spark, sf_dir):
     """Pairs of one speaker: of one outlet within ten minutes, else of a day within three hours or with three words in
     common."""
-    return matches(cards(spark, sf_dir), TALK_RULES).drop("place")
+    return matches(cards(spark, sf_dir), talk()).drop("place")
 
 
 @query(99, sql=f"""WITH {_CARDS}, e AS (SELECT *, {_EVENT} AS r1, {_LOOSE} AS r2, {_TALK} AS r3 FROM p),
@@ -107,7 +125,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY late ORDER BY place, t, early) A
 def told_before(spark, sf_dir):
     """Where each report goes: the earlier report that the first of all rules finds, of several the earliest."""
     c = cards(spark, sf_dir)
-    return homes(matches(c, EVENT_RULES + LOOSE_RULES + TALK_RULES), c)
+    return homes(matches(c, event() + loose() + talk()), c)
 
 
 @query(147, 148, 205, 206, sql=f"""WITH {_CARDS}, told AS (SELECT p.early, p.late FROM p WHERE speaks AND gap <= 43200),
@@ -119,7 +137,7 @@ def brings_news(spark, sf_dir):
     """Beside all earlier reports of its speaker within 12 hours: does a report repeat one (70 % of its words), and what
     figures and words does it add that none of them has."""
     c = cards(spark, sf_dir).select("fp", "at", "desk", "speaker", "w", "figures")
-    rule = Rule("speaker", 43_200, F.array(F.concat_ws("\x1f", "desk", "speaker")), _DESK & _SPEAKS)
+    rule = Rule("speaker", 43_200, F.array(F.concat_ws("\x1f", "desk", "speaker")), _speaks())
     told = matches(c, [rule]).select("early", "late")
     both = told.join(c.select(F.col("fp").alias("early"), F.col("w").alias("aw"), F.col("figures").alias("af")), "early")
     both = both.join(c.select(F.col("fp").alias("late"), F.col("w").alias("lw"), F.col("figures").alias("lf")), "late")

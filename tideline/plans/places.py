@@ -20,7 +20,7 @@ def ports(spark, sf_dir):
     return s.select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 100 - 50 + 0.5).alias("lat"), (F.col("s_suppkey") * 7 % 300 - 150 + 0.5).alias("lon"))
 
 
-@query(117, 119, 232, 427, sql=f"""WITH {POSITIONS}, {_PORTS}, d AS (SELECT event_id, name, round({_KM.format('p.lat', 'p.lon', 'q.lat', 'q.lon')}, 6) AS km FROM positions p JOIN ports q ON abs(p.lat - q.lat) < 2),
+@query(117, 119, 232, sql=f"""WITH {POSITIONS}, {_PORTS}, d AS (SELECT event_id, name, round({_KM.format('p.lat', 'p.lon', 'q.lat', 'q.lon')}, 6) AS km FROM positions p JOIN ports q ON abs(p.lat - q.lat) < 2),
 b AS (SELECT event_id, arg_min(name, (km, name)) AS name, min(km) AS km FROM d WHERE km <= 100 GROUP BY event_id)
 SELECT p.event_id, b.name, round(b.km, 3) AS km FROM positions p LEFT JOIN b USING (event_id)""")
 def nearest_port(spark, sf_dir):
@@ -33,20 +33,19 @@ def near_any(spark, sf_dir):
     return joins.near(positions(spark, sf_dir).select("event_id", "lat", "lon"), ports(spark, sf_dir), 40).select("event_id").distinct()
 
 
-@query(105, 106, 113, 149, 207, 208, 380, sql=f"""WITH {POSITIONS} SELECT a.event_id AS early, b.event_id AS late FROM positions a JOIN positions b ON a.event_type = b.event_type AND b.t - a.t BETWEEN 0 AND 3600 AND a.event_id < b.event_id
+@query(106, sql=f"""WITH {POSITIONS} SELECT a.event_id AS early, b.event_id AS late FROM positions a JOIN positions b ON a.event_type = b.event_type AND b.t - a.t BETWEEN 0 AND 3600 AND a.event_id < b.event_id
 AND {_KM.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 500""")
 def spatial_twins(spark, sf_dir):
     """Events of a kind within an hour and 500 km of each other."""
     p = positions(spark, sf_dir).select("event_id", "event_type", "t", "lat", "lon")
-    both = joins.interval_join(p, p, ["event_type"], "t", 3600).filter("event_id_r < event_id")
-    away = geo.km(F.col("lat_r"), F.col("lon_r"), F.col("lat"), F.col("lon"))
-    return both.filter(away <= 500).select(F.col("event_id_r").alias("early"), F.col("event_id").alias("late"))
+    both = joins.near(p, p, 500, keys=["event_type"], at="t", back=3600).filter("event_id_r < event_id")
+    return both.select(F.col("event_id_r").alias("early"), F.col("event_id").alias("late"))
 
 
 _SQUARE = [(-50.0, -40.0), (50.0, -40.0), (0.0, 40.0)]
 
 
-@query(120, 121, 122, 158, 360, 361, 416, sql=f"""WITH {POSITIONS} SELECT event_id,
+@query(120, 121, 122, 360, 416, sql=f"""WITH {POSITIONS} SELECT event_id,
   (CASE WHEN (-40.0 > lat) <> (40.0 > lat) AND lon < (0.0 - -50.0) * (lat + 40.0) / 80.0 + -50.0 THEN 1 ELSE 0 END + CASE WHEN (-40.0 > lat) <> (40.0 > lat) AND lon < (0.0 - 50.0) * (lat + 40.0) / 80.0 + 50.0 THEN 1 ELSE 0 END) % 2 = 1 AS inside, CAST(4000.0 AS DOUBLE) AS area FROM positions""")
 def inside_polygon(spark, sf_dir):
     """Which fixes lie in a triangle; boxes are cut first, then corners are counted."""
@@ -55,7 +54,7 @@ def inside_polygon(spark, sf_dir):
     return positions(spark, sf_dir).select("event_id", (boxed & geo.within_ring(F.col("lon"), F.col("lat"), ring)).alias("inside"), F.round(geo.ring_area(ring), 6).alias("area"))
 
 
-@query(114, 115, 116, 118, 150, 161, 171, 399, 403, 419, sql=r"""
+@query(114, 115, 116, sql=r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda x: x <> '') AS w FROM documents),
 r AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM w, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n),
 runs AS (SELECT doc_id, p - 1 AS at_, n, array_to_string(w[p:p + n - 1], ' ') AS run FROM r),
@@ -75,7 +74,7 @@ def single_match(spark, sf_dir):
     return joins.only_match(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
 
 
-@query(222, 223, 224, 225, 358, 426, sql=f"""WITH {POSITIONS}, c AS (SELECT floor(lat / 20) AS y, floor(lon / 40) AS x, count(*) AS n, count(DISTINCT key) AS tellers, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, max(t) AS latest FROM positions GROUP BY 1, 2)
+@query(222, 223, 426, sql=f"""WITH {POSITIONS}, c AS (SELECT floor(lat / 20) AS y, floor(lon / 40) AS x, count(*) AS n, count(DISTINCT key) AS tellers, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, max(t) AS latest FROM positions GROUP BY 1, 2)
 SELECT CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, n, tellers, lat, lon, latest FROM c WHERE n >= 4 AND tellers >= 2""")
 def fronts(spark, sf_dir):
     """Clusters of fixes by cell with centre, tellers and latest time, where four fixes of two keys agree."""
@@ -84,14 +83,14 @@ def fronts(spark, sf_dir):
     return c.filter("n >= 4 and tellers >= 2")
 
 
-@query(355, 252, 401, 112, sql=f"""WITH {POSITIONS}, v AS (SELECT key, event_type, count(*) AS n FROM positions GROUP BY 1, 2) SELECT key, arg_max(event_type, (n, event_type)) AS usual, max(n) AS votes FROM v GROUP BY key""")
+@query(355, 252, sql=f"""WITH {POSITIONS}, v AS (SELECT key, event_type, count(*) AS n FROM positions GROUP BY 1, 2) SELECT key, arg_max(event_type, (n, event_type)) AS usual, max(n) AS votes FROM v GROUP BY key""")
 def usual(spark, sf_dir):
     """The value that most rows of a key have."""
     v = positions(spark, sf_dir).groupBy("key", "event_type").agg(F.count("*").alias("n"))
     return v.groupBy("key").agg(F.max(F.struct("n", "event_type")).alias("b")).select("key", F.col("b.event_type").alias("usual"), F.col("b.n").alias("votes"))
 
 
-@query(92, 356, 60, 192, sql="""SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_nationkey % 5 = n_regionkey % 5""")
+@query(92, sql="""SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_nationkey % 5 = n_regionkey % 5""")
 def admissible(spark, sf_dir):
     """Rows whose pair of attributes an admissibility table allows."""
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))

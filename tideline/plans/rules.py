@@ -41,7 +41,7 @@ def gated(spark, sf_dir):
     return r.withColumn("verdict", verdict(F.col("score"), level, level - 20))
 
 
-@query(59, 60, 62, 64, 66, 70, 71, 72, 77, 79, 80, 279, 280, sql=f"{_GATE} SELECT fp, CAST(score AS INTEGER) AS score, verdict FROM gated")
+@query(59, 62, 64, 66, 70, 71, 72, 77, 79, 80, 279, 280, sql=f"{_GATE} SELECT fp, CAST(score AS INTEGER) AS score, verdict FROM gated")
 def gate(spark, sf_dir):
     return gated(spark, sf_dir).select("fp", "score", "verdict")
 
@@ -56,12 +56,12 @@ def gate_report(spark, sf_dir):
     return evaluate(judged.select((F.col("toxic") == 1).alias("truth"), (F.col("verdict") == "feed").alias("said")), "truth", "said")
 
 
-@query(67, 68, 69, 83, 84, 85, 87, 88, 89, 90, 93, 163, 170, 268, sql=f"WITH {REPORTS} SELECT fp, {_first_sql(KINDS, 'lower(text)', chr(39) + 'other' + chr(39))} AS kind, {_first_sql(REJECTS, 'summary')} AS reject FROM reports")
+@query(68, 83, 84, 85, 87, 88, 89, 90, 268, sql=f"WITH {REPORTS} SELECT fp, {_first_sql(KINDS, 'lower(text)', chr(39) + 'other' + chr(39))} AS kind, {_first_sql(REJECTS, 'summary')} AS reject FROM reports")
 def kinds(spark, sf_dir):
     return reports(spark, sf_dir).select("fp", first_match(F.lower("text"), KINDS, "other").alias("kind"), first_match(F.col("summary"), REJECTS).alias("reject"))
 
 
-@query(73, 74, 75, 76, 151, 210, sql=f"""
+@query(73, 74, 75, 76, sql=f"""
 WITH {REPORTS}, d AS (SELECT fp, list_filter([{', '.join(f"CASE WHEN {m} THEN '{r.name}' END" for r, m in _matches(DESKS, 'text'))}], lambda x: x IS NOT NULL) AS f FROM reports)
 SELECT fp, unnest(CASE WHEN len(f) > 0 THEN f ELSE ['main'] END) AS desk FROM d""")
 def routing(spark, sf_dir):
@@ -78,7 +78,7 @@ def turned_away(spark, sf_dir):
     return gated(spark, sf_dir).filter("verdict <> 'feed'").withColumn("k", F.row_number().over(w)).filter("k <= 3").select("fp", "source")
 
 
-@query(65, 385, 417, sql=f"""WITH {REPORTS} SELECT fp, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 25) AS BIGINT) AS batch FROM reports""")
+@query(65, 385, sql=f"""WITH {REPORTS} SELECT fp, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 25) AS BIGINT) AS batch FROM reports""")
 def reading_batches(spark, sf_dir):
     """Batches of 25 a source, as a model would be asked."""
     from pyspark.sql import Window

@@ -13,7 +13,7 @@ _NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[''’]', '', 'g'), '[
 _SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 
-@query(138, 143, 144, 152, 195, 196, 199, 299, 311, 318, 324, 325, 326, 327, sql=rf"""
+@query(138, 143, 144, 152, 195, 196, 199, 299, 311, 325, 326, 327, sql=rf"""
 WITH {REPORTS}, k AS (
   SELECT fp, summary, {_NORM.format('summary')} AS norm, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, 'https?://[^\s]+|@[A-Za-z0-9_]+', ' ', 'g')), '[''’]', '', 'g'), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')) AS bare,
     regexp_replace({_SQUEEZE.format('summary')}, '[.;, ]+$', '') AS one, {_W.format('summary')} AS w
@@ -33,7 +33,7 @@ def text_keys(spark, sf_dir):
     )
 
 
-@query(86, 153, 155, 167, 319, 418, sql=rf"""
+@query(86, 155, 319, 418, sql=rf"""
 WITH {REPORTS}, f AS (
   SELECT fp, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '([0-9]),([0-9]{{3}})', '\1\2', 'g'), '[0-9]+'), lambda x: TRY_CAST(x AS BIGINT)),
     lambda n: n IS NOT NULL AND NOT n BETWEEN 1900 AND 2100) AS n FROM reports
@@ -51,7 +51,7 @@ _LINK = r"""lower(regexp_replace(regexp_replace(split_part(regexp_replace(url, '
 _ARGS = r"""list_sort(list_filter(string_split(split_part(regexp_replace(url, '#.*$', ''), '?', 2), '&'), lambda a: a <> '' AND NOT regexp_matches(a, '^(utm_[a-z]+|ref|fbclid|gclid)=')))"""
 
 
-@query(7, 81, 82, 180, 197, 198, 312, 313, 314, 315, sql=rf"""
+@query(81, 82, 180, 198, 312, 314, sql=rf"""
 SELECT page_id, {_LINK} || CASE WHEN len({_ARGS}) > 0 THEN '?' || array_to_string({_ARGS}, '&') ELSE '' END AS link_key,
   regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\.', '') AS domain,
   regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^/[^/]+/[^/]+') OR regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^/([^/]{{25,}}|[^/]*[0-9][^/]*)/?$') AS article
@@ -61,7 +61,7 @@ def link_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.link_key(u).alias("link_key"), text.domain(u).alias("domain"), text.has_article_path(u).alias("article"))
 
 
-@query(14, 16, 22, 110, 109, 329, 330, 331, sql="""
+@query(110, 109, 329, 331, sql="""
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(regexp_extract(replace('$' || CAST(event_id * 1000 AS VARCHAR) || ',5%', ',', ''), '(-?[0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) AS cell,
   '{"type":"' || event_type || '","user":' || CAST(user_id AS VARCHAR) || '}' AS encoded FROM events""")
 def json_cells(spark, sf_dir):
@@ -82,7 +82,7 @@ def post_times(spark, sf_dir):
 _UTC = "to_timestamp({0}) AT TIME ZONE 'UTC'"
 
 
-@query(97, 332, 333, 334, 335, 336, 337, 338, 339, 346, sql=f"""
+@query(97, 332, 333, 334, 335, 336, 339, sql=f"""
 WITH {POSITIONS}
 SELECT event_id, CAST(to_timestamp(t) AT TIME ZONE 'Asia/Jerusalem' AS DATE) AS local_day, CAST({_UTC.format('t + 10800')} AS DATE) AS fixed_day, CAST({_UTC.format('t - 7200')} AS DATE) AS night_day,
   CAST(floor((t + 10800) / 10800.0) * 10800 - 10800 AS BIGINT) AS window_3h, CAST(floor((t + 10800) / 3600.0) AS BIGINT) % 24 % 6 = 0 AS six_hour_mark, t - 1704067200 >= 3600 AS due
@@ -110,7 +110,7 @@ _KM = "2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians({2} - {0}) / 2), 2) +
 _BRG = "degrees(atan2(sin(radians({3} - {1})) * cos(radians({2})), cos(radians({0})) * sin(radians({2})) - sin(radians({0})) * cos(radians({2})) * cos(radians({3} - {1})))) + 360"
 
 
-@query(146, 347, 348, 349, 350, 351, 353, 354, 357, 359, sql=f"""
+@query(146, 347, 348, 349, 351, 359, sql=f"""
 WITH {POSITIONS}, g AS (
   SELECT event_id, lat, lon, speed, {_KM.format('lat', 'lon', '15.0', '43.0')} AS km, fmod({_BRG.format('lat', 'lon', '15.0', '43.0')}, 360) AS brg FROM positions
 )
@@ -126,7 +126,7 @@ def sphere(spark, sf_dir):
     )
 
 
-@query(340, 341, 342, 343, sql="""
+@query(340, 341, sql="""
 WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), n AS (SELECT day, date_diff('day', DATE '1970-01-01', day) + 1075195 AS n FROM d),
 r AS (SELECT day, n, n % 12053 AS r, n % 12053 % 1461 AS q FROM n), k AS (SELECT *, CASE WHEN q > 365 THEN (q - 1) % 365 ELSE q END AS k FROM r)
 SELECT day, CAST(-1595 + 33 * (n // 12053) + 4 * (r // 1461) + CASE WHEN q > 365 THEN (q - 1) // 365 ELSE 0 END AS INTEGER) AS y,

@@ -45,7 +45,7 @@ def high_since(spark, sf_dir):
     return ordered.previous_greater(m, ["series"], "month", "v")
 
 
-@query(239, 236, 271, sql="""WITH m AS (SELECT o_orderpriority AS series, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1, 2) SELECT series, month, n, round(CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY series), 6) AS bar FROM m""")
+@query(239, 236, sql="""WITH m AS (SELECT o_orderpriority AS series, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1, 2) SELECT series, month, n, round(CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY series), 6) AS bar FROM m""")
 def month_bars(spark, sf_dir):
     m = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
     return m.withColumn("bar", F.round(F.col("n") / F.max("n").over(Window.partitionBy("series")), 6))

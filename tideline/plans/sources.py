@@ -19,7 +19,7 @@ def _plain(c: str) -> str:
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-@query(1, 24, 25, 6, 21, 23, 17, sql=rf"""
+@query(1, 24, 25, sql=rf"""
 WITH c AS (SELECT page_id, html, {_CODE} AS h FROM pages), b AS (SELECT *, regexp_extract(h, '(?s)<article[^>]*>(.*?)</article>', 1) AS a FROM c),
 p AS (SELECT page_id, html, list_transform(regexp_extract_all(CASE WHEN a <> '' THEN a ELSE h END, '(?s)<p[^>]*>(.*?)(?:</p>|<p>|$)', 1), lambda x: {_plain('x')}) AS parts FROM b),
 t AS (SELECT page_id, html, trim(regexp_replace(array_to_string(parts, ' '), '\s+', ' ', 'g')) AS body FROM p)
@@ -38,7 +38,7 @@ def page_links(spark, sf_dir):
     return html.links(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query(10, 11, 12, 13, 309, sql="""
+@query(10, sql="""
 SELECT page_id, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INTEGER) AS paragraphs, CAST(len(regexp_extract_all(html, '<li[ >]')) AS INTEGER) AS items, CAST(len(regexp_extract_all(html, '<div[ >]')) AS INTEGER) AS blocks FROM pages""")
 def page_counts(spark, sf_dir):
     """Counts of parts of a page."""
@@ -46,7 +46,7 @@ def page_counts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", *(F.regexp_count(h, F.lit(f"<{t}[ >]")).alias(n) for t, n in (("p", "paragraphs"), ("li", "items"), ("div", "blocks"))))
 
 
-@query(2, 3, 4, 8, 15, 18, 19, 20, 27, 50, 53, sql="""
+@query(3, 4, 20, sql="""
 SELECT event_id, 'No. ' || CAST(event_id AS VARCHAR) AS title, 'https://example.com/' || event_type || '/' || CAST(user_id AS VARCHAR) AS link, CAST(event_id * 60 + 1704067200 AS BIGINT) AS at FROM events""")
 def feed_rows(spark, sf_dir):
     """Items of feeds that Spark writes from events, read back by the feed parser."""
@@ -59,7 +59,7 @@ def feed_rows(spark, sf_dir):
     return items.select("event_id", "i.title", "i.link", F.unix_timestamp(F.to_timestamp("i.published")).alias("at"))
 
 
-@query(61, 306, 307, 308, 310, 321, 136, 137, sql=r"""
+@query(61, 137, sql=r"""
 SELECT doc_id, translate(regexp_replace(text, 'é', 'إ', 'g'), 'أإآٱ', 'اااا') <> text AS folded, length(translate(text, 'éèêçñóáíúäöüß', 'eeecnoaiuaous')) AS n FROM documents""")
 def folded_letters(spark, sf_dir):
     d = F.regexp_replace("text", "é", "إ")

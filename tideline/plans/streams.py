@@ -16,13 +16,13 @@ def events(spark, sf_dir):
     return rows.withColumn("at", F.timestamp_seconds(seconds(F.col("ts"))))
 
 
-@query(363, 365, 367, 368, 378, 381, sql=f"""WITH {POSITIONS} SELECT CAST(floor(t / 10800.0) AS BIGINT) * 10800 AS w, event_type, count(*) AS n FROM positions GROUP BY 1, 2""")
+@query(365, 378, 381, sql=f"""WITH {POSITIONS} SELECT CAST(floor(t / 10800.0) AS BIGINT) * 10800 AS w, event_type, count(*) AS n FROM positions GROUP BY 1, 2""")
 def stream_windows(spark, sf_dir):
     out = stateful.drained(spark, stateful.windowed_counts(events(spark, sf_dir), "at", "event_type"), "complete", "windows")
     return out.select(F.unix_timestamp("window.start").alias("w"), "event_type", "n")
 
 
-@query(369, 370, 371, 364, 382, sql="""SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events""")
+@query(369, 370, 371, 364, sql="""SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events""")
 def stream_first_seen(spark, sf_dir):
     """Keys met for the first time; every event day is within the time that keys are kept in this run."""
     e = events(spark, sf_dir).withColumn("day", F.to_date("ts")).withWatermark("at", "60 days")
@@ -30,7 +30,7 @@ def stream_first_seen(spark, sf_dir):
     return stateful.drained(spark, seen.select("user_id", "event_type", "day"), "append", "seen")
 
 
-@query(372, 373, 374, 375, 376, 377)
+@query(372, 373, 376)
 def stream_positions(spark, sf_dir):
     """Fixes accepted or held back as jumps, with state per key."""
     e = events(spark, sf_dir)

@@ -12,7 +12,7 @@ from tideline.session import POSITIONS, REPORTS, positions, reports, table
 _PRIOR, _WEIGHT = 3.5, 5.0
 
 
-@query(212, 213, 215, 216, 217, 411, 412, sql=f"""WITH s AS (SELECT l_suppkey, 1 + 4 * (1 - l_discount * 10 / 2) AS score, 1 + l_quantity / 50 AS w FROM lineitem)
+@query(212, 213, 215, 216, 217, sql=f"""WITH s AS (SELECT l_suppkey, 1 + 4 * (1 - l_discount * 10 / 2) AS score, 1 + l_quantity / 50 AS w FROM lineitem)
 SELECT l_suppkey, count(*) AS n, round(({_PRIOR} * {_WEIGHT} + sum(score * w)) / ({_WEIGHT} + sum(w)), 4) AS rating FROM s GROUP BY 1 HAVING count(*) >= 3""")
 def ratings(spark, sf_dir):
     """Weighted means with a prior, for those rated three times or more."""
@@ -21,7 +21,7 @@ def ratings(spark, sf_dir):
     return s.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(blend, 4).alias("rating")).filter("n >= 3")
 
 
-@query(214, 215, 225, 278, 281, sql="""SELECT l_orderkey, count(DISTINCT l_returnflag) AS sides, count(DISTINCT l_suppkey) AS tellers, round(CAST(least(5.0, 2.0 + count(DISTINCT l_returnflag) * 0.5 + count(DISTINCT l_suppkey) * 0.25) AS DOUBLE), 2) AS credibility,
+@query(214, 215, 278, 281, sql="""SELECT l_orderkey, count(DISTINCT l_returnflag) AS sides, count(DISTINCT l_suppkey) AS tellers, round(CAST(least(5.0, 2.0 + count(DISTINCT l_returnflag) * 0.5 + count(DISTINCT l_suppkey) * 0.25) AS DOUBLE), 2) AS credibility,
   arg_max(l_linenumber, (l_extendedprice, -l_linenumber, l_partkey)) AS lead FROM lineitem GROUP BY 1""")
 def confirmation(spark, sf_dir):
     """How many sides and tellers confirm, the score that gives, and the lead (largest, then first)."""
@@ -64,7 +64,7 @@ def meter(spark, sf_dir):
     return c.crossJoin(F.broadcast(last)).filter("day > last - 7").drop("last")  # one row
 
 
-@query(250, 248, 302, sql=f"""WITH {REPORTS}, w AS (SELECT DISTINCT fp, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '')) AS word FROM reports)
+@query(250, sql=f"""WITH {REPORTS}, w AS (SELECT DISTINCT fp, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '')) AS word FROM reports)
 SELECT word, count(*) AS df FROM w GROUP BY word HAVING count(*) >= 3""")
 def lexicon(spark, sf_dir):
     """Words by how many reports have them."""
@@ -72,13 +72,13 @@ def lexicon(spark, sf_dir):
     return w.groupBy("word").agg(F.count("*").alias("df")).filter("df >= 3")
 
 
-@query(251, 313, sql="""SELECT n_name AS name, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS titles FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+@query(251, sql="""SELECT n_name AS name, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS titles FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def names_and_titles(spark, sf_dir):
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.groupBy(F.col("n_name").alias("name")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("titles"))
 
 
-@query(258, 257, sql=f"""WITH {POSITIONS}, d AS (SELECT DISTINCT key, CAST(floor(t / 86400.0) AS BIGINT) AS day FROM positions), g AS (SELECT key, day, day - row_number() OVER (PARTITION BY key ORDER BY day) AS run FROM d)
+@query(258, sql=f"""WITH {POSITIONS}, d AS (SELECT DISTINCT key, CAST(floor(t / 86400.0) AS BIGINT) AS day FROM positions), g AS (SELECT key, day, day - row_number() OVER (PARTITION BY key ORDER BY day) AS run FROM d)
 SELECT key, min(day) AS from_day, count(*) AS days FROM g GROUP BY key, run""")
 def streaks(spark, sf_dir):
     """Runs of days on which a key was active."""
@@ -87,7 +87,7 @@ def streaks(spark, sf_dir):
     return d.groupBy("key", "run").agg(F.min("day").alias("from_day"), F.count("*").alias("days")).drop("run")
 
 
-@query(243, 245, 322, sql="""WITH r AS (SELECT l_orderkey, l_shipmode_rank, l_extendedprice, l_linenumber, l_partkey FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END AS l_shipmode_rank FROM lineitem))
+@query(243, 245, sql="""WITH r AS (SELECT l_orderkey, l_shipmode_rank, l_extendedprice, l_linenumber, l_partkey FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END AS l_shipmode_rank FROM lineitem))
 SELECT l_orderkey, arg_max(l_extendedprice, (l_shipmode_rank, l_extendedprice, l_linenumber)) AS figure, max(l_shipmode_rank) AS rank FROM r GROUP BY 1""")
 def best_source(spark, sf_dir):
     """The figure of the best ranked source, the larger one among equals."""
@@ -96,7 +96,7 @@ def best_source(spark, sf_dir):
     return b.select("l_orderkey", F.col("b.l_extendedprice").alias("figure"), F.col("b.rank").alias("rank"))
 
 
-@query(277, 303, 304, 305, 300, 301, sql=f"""WITH {REPORTS}, s AS (SELECT fp, at_, CASE WHEN contains(lower(summary), 'the') THEN 3 WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(summary), 'ing') OR contains(lower(summary), 'ent') THEN 3 WHEN contains(lower(text), 'ing') OR contains(lower(text), 'ent') THEN 1 ELSE 0 END AS score,
+@query(277, 305, sql=f"""WITH {REPORTS}, s AS (SELECT fp, at_, CASE WHEN contains(lower(summary), 'the') THEN 3 WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(summary), 'ing') OR contains(lower(summary), 'ent') THEN 3 WHEN contains(lower(text), 'ing') OR contains(lower(text), 'ent') THEN 1 ELSE 0 END AS score,
   CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'ing') OR contains(lower(text), 'ent') THEN 1 ELSE 0 END AS met FROM reports)
 SELECT fp, CAST(score AS INTEGER) AS score FROM s WHERE met = 2 ORDER BY score DESC, at_ DESC LIMIT 300""")
 def search(spark, sf_dir):
