@@ -5,7 +5,8 @@ text each feature gets its log-count ratio r = ln((p / |p|) / (q / |q|)) from sm
 (Wang and Manning, 2012); a text is the vector of r over its features, and logistic regression on these vectors gives the
 weights.  Features whose ratio is within `least_z` standard errors of 0 are left out, so the many n-grams that say
 nothing do not add up in long texts; all others stay, however many.  The regression is Spark ML's: gradients are summed on
-executors over the rows of the sample, the driver holds one number for each bucket.
+executors over the rows of the sample, the driver holds a few numbers for each feature that stays, of
+which there are no more than buckets.
 
 Fitting takes at most `rows` labelled documents that are not held out, half of them of either label (those with the
 smallest hash of their id; the ids are broadcast, two longs a row), with weights that restore the labels' shares;
@@ -92,10 +93,12 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
     return found.groupBy("id", "toxic", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic", "weight")
 
 
-def ratios(counts: np.ndarray, smoothing: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-count ratios of features and their standard errors, of counts (clean, toxic) of each."""
-    q, p = counts.astype(float) + smoothing
-    return np.log(p / p.sum()) - np.log(q / q.sum()), np.sqrt(1 / p + 1 / q)
+def clear_features(counts: DataFrame, smoothing: float, least_z: float) -> DataFrame:
+    """(bucket, ratio): the log-count ratios of counts (bucket, clean, toxic) that are least_z standard errors from 0."""
+    p, q = F.col("toxic") + smoothing, F.col("clean") + smoothing
+    total = counts.agg(F.sum(p).alias("all_p"), F.sum(q).alias("all_q"))  # one row
+    both = counts.crossJoin(F.broadcast(total)).withColumn("ratio", F.log(p / F.col("all_p")) - F.log(q / F.col("all_q")))
+    return both.filter(F.abs("ratio") >= least_z * F.sqrt(1 / p + 1 / q)).select("bucket", "ratio")
 
 
 def fit(
@@ -104,12 +107,13 @@ def fit(
 ) -> Toxicity:
     """The classifier; docs and labels are rows that may be learned from."""
     small_batches(spark)
-    chosen = Scratch(spark, "toxicity").put(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows))
-    counts = chosen.select("text", "toxic").mapInArrow(_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    ratio, error = ratios(counts[["clean", "toxic"]].to_numpy().T, smoothing)
-    kept = np.flatnonzero(np.abs(ratio) >= least_z * error)
-    slot, value = np.full(BUCKETS, len(kept), np.int32), ratio[kept]
-    slot[counts["bucket"].to_numpy()[kept]] = np.arange(len(kept))
+    scratch = Scratch(spark, "toxicity")
+    chosen = scratch.put(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, rows=rows))
+    counts = chosen.select("text", "toxic").mapInArrow(_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    clear = clear_features(scratch.put(counts), smoothing, least_z).toPandas().sort_values("bucket")
+    kept, value = clear["bucket"].to_numpy(np.int64), clear["ratio"].to_numpy(float)
+    slot = np.full(BUCKETS, len(kept), np.int32)
+    slot[kept] = np.arange(len(kept))
     share = {r["toxic"]: r["w"] for r in chosen.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
     prior = np.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1))
     if len(share) < 2 or not len(kept):
