@@ -5,8 +5,8 @@ text each feature gets its log-count ratio r = ln((p / |p|) / (q / |q|)) from sm
 (Wang and Manning, 2012); a text is the vector of r over its features, and logistic regression on these vectors gives the
 weights.  Features whose ratio is within `least_z` standard errors of 0 are left out, so the many n-grams that say
 nothing do not add up in long texts; all others stay, however many.  The regression is Spark ML's: gradients are summed on
-executors over the rows of the sample, the driver holds a few numbers for each feature that stays, of
-which there are no more than buckets.
+executors over the rows of the sample, the driver holds a few numbers for each feature that stays, of which there are no
+more than buckets.
 
 Fitting takes at most `rows` labelled documents that are not held out, half of them of either label (those with the
 smallest hash of their id; the ids are broadcast, two longs a row), with weights that restore the labels' shares;
@@ -129,7 +129,7 @@ def fit(
     vector = F.udf(lambda found: Vectors.sparse(nothing, found, shared.value[1][found]), VectorUDT())
     train = chosen.select("text", F.col("toxic").cast("double").alias("toxic"), "weight").mapInArrow(features, "found array<int>, toxic double, weight double")
     regression = LogisticRegression(featuresCol="x", labelCol="toxic", weightCol="weight", regParam=l2, standardization=False, maxIter=steps)
-    model = regression.fit(train.select(vector("found").alias("x"), "toxic", "weight"))
+    model = regression.fit(scratch.put(train.select(vector("found").alias("x"), "toxic", "weight")))
     return Toxicity(slot, np.append(model.coefficients.toArray() * value, 0.0), float(model.intercept))
 
 
