@@ -6,7 +6,9 @@ hashes make a pair of each later document and the first document that has the ru
 as many as shared lines at most, however often a run occurs.  The lines that a pair shares are aligned with patience diff
 (lines unique on both sides, longest increasing run of them, then the gaps between), and aligned runs with enough words are
 deleted from the later document.  So are, next, runs that the pair has in another order or in gaps without unique lines;
-each run of the earlier document takes one of the later away.
+each run of the earlier document takes one of the later away.  For documents in which no line repeats this deletes just what
+an alignment with every earlier document would; of a passage that a document repeats, as many stay as no one earlier document
+has, where alignments with several earlier documents, added up, could take more.
 
 Defined results: order is by id, then by a hash of the text; rows with a null id or null or empty text stay as they are;
 rows that repeat id and text are one document and are edited alike; lines are compared without blanks at their ends;
