@@ -3,6 +3,7 @@ dictionary lookups by word run, overlays."""
 
 from __future__ import annotations
 
+from functools import reduce
 from math import cos, radians
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,25 +71,22 @@ def nearest(left: DataFrame, right: DataFrame, key: str, most_km: float, name: s
     return left.join(best, key, "left").select(*left.columns, F.col(f"best.{name}").alias(name), F.col("best.km").alias("km"))
 
 
-def word_runs(words: Column, most: int) -> Column:
-    """All runs of 1 to most words, as structs (run, at, n)."""
-    runs = [
-        F.transform(
-            F.filter(F.transform(words, lambda _, i: i), lambda i: i + n <= F.size(words)),
-            lambda i: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("run"), i.alias("at"), F.lit(n).alias("n")),
-        )
-        for n in range(1, most + 1)
-    ]
-    return F.flatten(F.array(*runs))
-
-
 def dictionary_matches(texts: DataFrame, key: str, words: Column, dictionary: DataFrame, alias: str, most: int = 4) -> DataFrame:
-    """(key, at, n, and the dictionary's columns) of aliases found as word runs; a run inside a longer match is dropped."""
-    runs = texts.select(key, F.explode(word_runs(words, most)).alias("r")).select(key, "r.*")
-    hit = runs.join(dictionary, runs["run"] == dictionary[alias])
+    """(key, at, n, and the dictionary's columns) of aliases of up to `most` words found as word runs; a run inside a longer
+    match is dropped.
+
+    Every word becomes one row with those that follow it, and meets the aliases that begin with it; only hits go on to the
+    window. Texts that are null or without words match nothing, nor do null aliases."""
+    ahead = [f"_w{i}" for i in range(most)]
+    own = texts.select(key, words.alias("_w0"))
+    own = own.select("*", *(F.slice("_w0", i + 1, F.size("_w0")).alias(w) for i, w in enumerate(ahead) if i))
+    runs = own.select(key, F.posexplode(F.arrays_zip(*ahead)).alias("at", "z")).select(key, "at", *(F.col(f"z.{w}") for w in ahead))
+    names = dictionary.withColumns({"_first": F.split_part(alias, F.lit(" "), F.lit(1)), "n": F.size(F.split(alias, " "))}).filter(F.col("n") <= most)
+    run = reduce(lambda other, n: F.when(F.col("n") == n, F.concat_ws(" ", *ahead[:n])).otherwise(other), range(2, most + 1), F.col("_w0"))
+    hit = runs.join(names, (runs["_w0"] == names["_first"]) & (run == F.col(alias))).drop("_first", *ahead)
     order = Window.partitionBy(key).orderBy("at", F.desc("n"))
     reach = F.max(F.col("at") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return hit.withColumn("_reach", reach).filter(F.col("_reach").isNull() | (F.col("at") + F.col("n") > F.col("_reach"))).drop("_reach", "run")
+    return hit.withColumn("_reach", reach).filter(F.col("_reach").isNull() | (F.col("at") + F.col("n") > F.col("_reach"))).drop("_reach")
 
 
 def overlay(base: DataFrame, over: DataFrame, keys: list[str]) -> DataFrame:
