@@ -95,13 +95,13 @@ def shaped_tracks(spark, sf_dir):
     return p.select("key", "day", F.size("s").alias("n"), F.size(shapes.simplified(0.5)(ring)).alias("n_simple"), F.size(shapes.clipped(box)(ring)).alias("n_inside"))
 
 
-@query(292, sql=f"""WITH {POSITIONS}, u AS (SELECT key, t, event_id, 0 AS settled FROM positions WHERE event_id % 2 = 0 UNION ALL SELECT key, t, event_id, 1 FROM positions WHERE event_id % 6 = 0),
+@query(292, sql=f"""WITH {POSITIONS}, u AS (SELECT key, t, event_id, 0 AS settled FROM positions WHERE event_type <> 'error' UNION ALL SELECT key, t, event_id, 1 FROM positions WHERE event_type IN ('error', 'purchase')),
 b AS (SELECT event_id, max(settled) AS settled, any_value(key) AS key, any_value(t) AS t FROM u GROUP BY event_id), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t DESC, event_id DESC) AS k FROM b)
 SELECT event_id, settled FROM r WHERE k <= 10""")
 def queue(spark, sf_dir):
-    """Settled rows replace waiting ones of the same number; the last ten of a key stay (the limit is the feature)."""
-    p = positions(spark, sf_dir).select("key", "t", "event_id")
-    u = p.filter("event_id % 2 = 0").withColumn("settled", F.lit(0)).unionByName(p.filter("event_id % 6 = 0").withColumn("settled", F.lit(1)))
+    """Settled rows (purchases, errors) replace waiting ones (all but errors) of the same number; the last ten of a key stay (the limit is the feature)."""
+    p = positions(spark, sf_dir).select("key", "t", "event_id", "event_type")
+    u = p.filter("event_type <> 'error'").withColumn("settled", F.lit(0)).unionByName(p.filter("event_type in ('error', 'purchase')").withColumn("settled", F.lit(1)))
     b = u.groupBy("event_id", "key", "t").agg(F.max("settled").alias("settled"))
     w = Window.partitionBy("key").orderBy(F.desc("t"), F.desc("event_id"))
     return b.withColumn("k", F.row_number().over(w)).filter("k <= 10").select("event_id", "settled")

@@ -21,18 +21,19 @@ def feed_page(spark, sf_dir):
 
 
 @query(31, 32, 33, 34, 36, 41, 46, 135, 231, 291, 296, sql="""
-WITH base AS (SELECT c_custkey AS k, c_mktsegment AS v, [c_mktsegment] AS desks, c_acctbal AS first_seen, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS media FROM customer WHERE c_custkey % 2 = 0),
-fresh AS (SELECT c_custkey AS k, 'NEW' AS v, ['NEW', c_mktsegment] AS desks, c_acctbal - 5 AS first_seen, c_name AS media FROM customer WHERE c_custkey % 5 = 0),
-gone AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 35 = 0)
+WITH base AS (SELECT c_custkey AS k, c_mktsegment AS v, [c_mktsegment] AS desks, c_acctbal AS first_seen, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS media FROM customer WHERE c_acctbal >= 0),
+fresh AS (SELECT c_custkey AS k, 'NEW' AS v, ['NEW', c_mktsegment] AS desks, c_acctbal - 5 AS first_seen, c_name AS media FROM customer WHERE c_acctbal < 5000),
+gone AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal >= 4000 AND c_mktsegment = 'BUILDING')
 SELECT coalesce(b.k, f.k) AS k, coalesce(f.v, b.v) AS v, array_to_string(list_sort(list_distinct(list_concat(coalesce(b.desks, []), coalesce(f.desks, [])))), ',') AS desks,
   round(CASE WHEN b.first_seen IS NULL THEN f.first_seen WHEN f.first_seen IS NULL THEN b.first_seen ELSE least(b.first_seen, f.first_seen) END, 2) AS first_seen, coalesce(b.media, f.media) AS media
 FROM base b FULL JOIN fresh f ON b.k = f.k WHERE coalesce(b.k, f.k) NOT IN (SELECT k FROM gone)""")
 def upsert(spark, sf_dir):
-    """New values win, arrays unite, first times only move back, media only fill gaps, tombstones stay away."""
+    """Customers in credit, and anew those under 5000 (every customer is one or both): new values win, arrays unite, first
+    times only move back, media only fill gaps, tombstones stay away."""
     c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "k")
-    base = c.filter("k % 2 = 0").select("k", F.col("c_mktsegment").alias("v"), F.array("c_mktsegment").alias("desks"), F.col("c_acctbal").alias("first_seen"), F.when(F.col("k") % 3 == 0, F.col("c_name")).alias("media"))
-    fresh = c.filter("k % 5 = 0").select("k", F.lit("NEW").alias("v"), F.array(F.lit("NEW"), "c_mktsegment").alias("desks"), (F.col("c_acctbal") - 5).alias("first_seen"), F.col("c_name").alias("media"))
-    out = store.merge(base, fresh, c.filter("k % 35 = 0").select("k"), key="k", replace=["v"], unite=["desks"], least=["first_seen"], fill=["media"])
+    base = c.filter("c_acctbal >= 0").select("k", F.col("c_mktsegment").alias("v"), F.array("c_mktsegment").alias("desks"), F.col("c_acctbal").alias("first_seen"), F.when(F.col("k") % 3 == 0, F.col("c_name")).alias("media"))
+    fresh = c.filter("c_acctbal < 5000").select("k", F.lit("NEW").alias("v"), F.array(F.lit("NEW"), "c_mktsegment").alias("desks"), (F.col("c_acctbal") - 5).alias("first_seen"), F.col("c_name").alias("media"))
+    out = store.merge(base, fresh, c.filter("c_acctbal >= 4000 and c_mktsegment = 'BUILDING'").select("k"), key="k", replace=["v"], unite=["desks"], least=["first_seen"], fill=["media"])
     return out.select("k", "v", F.array_join(F.array_sort("desks"), ",").alias("desks"), F.round("first_seen", 2).alias("first_seen"), "media")
 
 
