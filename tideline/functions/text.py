@@ -55,6 +55,35 @@ def sound(w: Column) -> Column:
     return flat
 
 
+def consonants(c: Column) -> Column:
+    """A name's first letter and its consonants, doubles once, without an article al-: spellings of one place meet."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(c), r"^al[- ]", ""), r"[^a-z]", "")
+    rest = F.regexp_replace(F.substr(bare, F.lit(2)), r"[aeiouy]", "")
+    return F.concat(F.left(bare, F.lit(1)), F.regexp_replace(rest, r"(.)\1+", "$1"))
+
+
+def latin_digits(c: Column) -> Column:
+    """Lower case with Latin digits, Persian letters as Arabic ones, no vowel marks or tatweel."""
+    return F.lower(F.regexp_replace(F.translate(western_digits(c), "یىک", "ييك"), "[ًٌٍَُِّْـ]", ""))
+
+
+def states(c: Column, n: Column) -> Column:
+    """Does a text write a whole number, with or without commas, that is no part of another one? Null texts state nothing."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?<=\d),(?=\d{3}\b)", "")
+    return F.rlike(plain, F.concat(F.lit(r"(?<![\d.])"), n.cast("string"), F.lit(r"(?!\d|\.\d)")))
+
+
+def qualifier_of(c: Column, n: Column) -> Column:
+    """at least, more than or about, as a text puts it before a number; null if it does not."""
+    def near(words: str) -> Column:
+        return F.rlike(F.lower(F.coalesce(c, F.lit(""))), F.concat(F.lit(rf"(?:{words})\s+(?:some\s+)?"), n.cast("string"), F.lit(r"(?!\d)")))
+
+    return (
+        F.when(near("at least|no fewer than"), "at least").when(near("more than|over|upwards of"), "more than")
+        .when(near("about|around|nearly|almost|approximately|some|roughly"), "about")
+    )
+
+
 def content_key(c: Column, chars: int = 200, least: int = 40) -> Column:
     """A fingerprint of the first characters without links and handles; empty for short texts."""
     bare = norm(F.regexp_replace(c, r"https?://[^\s]+|@[A-Za-z0-9_]+", " "))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.catalog import query
 from tideline.functions import geo
-from tideline.operators import joins
+from tideline.operators import fold, joins
 from tideline.plans.places import _KM
 from tideline.session import POSITIONS, positions
 
@@ -44,3 +44,95 @@ def route_fits(spark, sf_dir):
     od, op, pd = geo.km(*col(*o, *d)), geo.km(*col(*o, *at)), geo.km(*col(*at, *d))
     bad = (F.col("off") > F.greatest(F.lit(50.0), 0.2 * F.col("od"))) | (F.col("op") + F.col("pd") > 1.5 * F.col("od") + 50)
     return w.select("event_id", off.alias("off"), od.alias("od"), op.alias("op"), pd.alias("pd")).select("event_id", F.round("off", 3).alias("off_line_km"), (~bad).alias("fits"))
+
+
+#: A coast for the fixes, as a line of (lon, lat) corners.
+_COAST = [(-150.0, -20.0), (-60.0, 10.0), (20.0, -30.0), (90.0, 25.0), (150.0, 0.0)]
+_KX = "cos(radians(lat)) * 111.32"
+
+
+def _segment(p, q):
+    ax, ay, bx, by = f"(({p[0]} - lon) * {_KX})", f"(({p[1]} - lat) * 110.57)", f"(({q[0]} - lon) * {_KX})", f"(({q[1]} - lat) * 110.57)"
+    dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
+    t = f"greatest(0.0, least(1.0, -({ax} * {dx} + {ay} * {dy}) / ({dx} * {dx} + {dy} * {dy})))"
+    return f"sqrt(({ax} + {t} * {dx}) ** 2 + ({ay} + {t} * {dy}) ** 2)"
+
+
+@query(358, 361, sql=f"""WITH {POSITIONS}, k AS (SELECT event_id, lat, least({', '.join(_segment(*pair) for pair in zip(_COAST, _COAST[1:]))}) AS km,
+  CASE {' '.join(f'WHEN lon < {q[0]} THEN {p[1]} + (lon - {p[0]}) * {q[1] - p[1]} / {q[0] - p[0]}' for p, q in zip(_COAST, _COAST[1:]))} ELSE {_COAST[-1][1]} END AS shore FROM positions)
+SELECT event_id, round(km, 3) AS coast_km, lat > shore AND km > 8 AS inland FROM k""")
+def inland(spark, sf_dir):
+    """How far each fix is from the coast, and whether it is more than 8 km inland (north of it)."""
+    line = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _COAST))
+    shore = F.lit(_COAST[-1][1])
+    for p, q in reversed(list(zip(_COAST, _COAST[1:]))):
+        shore = F.when(F.col("lon") < q[0], p[1] + (F.col("lon") - p[0]) * (q[1] - p[1]) / (q[0] - p[0])).otherwise(shore)
+    k = positions(spark, sf_dir).select("event_id", "lat", geo.to_line_km(F.col("lat"), F.col("lon"), line).alias("km"), shore.alias("shore"))
+    return k.select("event_id", F.round("km", 3).alias("coast_km"), ((F.col("lat") > F.col("shore")) & (F.col("km") > 8)).alias("inland"))
+
+
+@query(149, sql=f"""WITH {POSITIONS} SELECT a.event_id AS early, b.event_id AS late FROM positions a JOIN positions b ON a.event_type = b.event_type AND a.event_id < b.event_id
+AND a.value >= 8 AND b.value >= 8 AND abs(a.value - b.value) <= 1 AND {_KM.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200""")
+def same_footage(spark, sf_dir):
+    """Events of a kind and place (200 km) whose values, as the length of what was filmed, are 8 or more and 1 apart at most."""
+    p = positions(spark, sf_dir).select("event_id", "event_type", "value", "lat", "lon").filter("value >= 8")
+    both = joins.near(p, p, 200, keys=["event_type"], at="value", back=1, ahead=1).filter("event_id_r < event_id and abs(value - value_r) <= 1")
+    return both.select(F.col("event_id_r").alias("early"), F.col("event_id").alias("late"))
+
+
+@query(427, sql=f"""WITH {POSITIONS}, k AS (SELECT a.event_id AS untimed, b.event_id AS timed, {_KM.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM positions a JOIN positions b
+  ON a.event_type = 'view' AND b.event_type = 'click' AND a.t // 86400 = b.t // 86400), o AS (SELECT *, row_number() OVER (PARTITION BY untimed ORDER BY round(km, 6), timed) AS k FROM k WHERE km < 900)
+SELECT untimed, timed FROM o WHERE k = 1""")
+def day_twins(spark, sf_dir):
+    """Each view, as an event of which only the day counts, beside the nearest click of that day (within 900 km, as the
+    tables' fixes are thin)."""
+    p = positions(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86_400)).select("event_id", "event_type", "day", "lat", "lon")
+    a, b = (p.filter(F.col("event_type") == kind).drop("event_type") for kind in ("view", "click"))
+    both = joins.near(a, b, 900, keys=["day"]).filter("km < 900")
+    best = both.groupBy(F.col("event_id").alias("untimed")).agg(F.min(F.struct(F.round("km", 6), "event_id_r")).alias("b"))
+    return best.select("untimed", F.col("b.event_id_r").alias("timed"))
+
+
+_DAY = "PARTITION BY key, t // 86400 ORDER BY t, event_id"
+
+
+@query(353, sql=f"""WITH {POSITIONS}, w AS (SELECT event_id, lat, lon, speed, lead(t) OVER d - t AS dt, last_value(lat) OVER e AS dlat, last_value(lon) OVER e AS dlon FROM positions
+  WINDOW d AS ({_DAY}), e AS ({_DAY} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+k AS (SELECT *, speed * 1.852 * dt / 3600 AS dist, {_KM.format('lat', 'lon', 'dlat', 'dlon')} AS total, radians({_BEARING.format('lat', 'lon', 'dlat', 'dlon')}) AS b FROM w WHERE dt IS NOT NULL),
+q AS (SELECT *, asin(sin(radians(lat)) * cos(dist / 6371) + cos(radians(lat)) * sin(dist / 6371) * cos(b)) AS q FROM k),
+s AS (SELECT *, total - dist <= 40 AS here, lon + degrees(atan2(sin(b) * sin(dist / 6371) * cos(radians(lat)), cos(dist / 6371) - sin(radians(lat)) * sin(q))) + 540 AS x FROM q)
+SELECT event_id, round(CASE WHEN here THEN dlat ELSE degrees(q) END, 3) AS lat, round(CASE WHEN here THEN dlon ELSE x - floor(x / 360) * 360 - 180 END, 3) AS lon,
+  CASE WHEN here THEN 'arrived' WHEN dt > 10800 THEN 'too-long' END AS done FROM s""")
+def projected(spark, sf_dir):
+    """Where each fix would be by the key's next fix of the day, on the great circle to the day's last one at its own speed;
+    arrived within 40 km of that, given up after three hours."""
+    day = Window.partitionBy("key", F.floor(F.col("t") / 86_400)).orderBy("t", "event_id")
+    last = F.last(F.struct("lat", "lon")).over(day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    w = positions(spark, sf_dir).select("event_id", "lat", "lon", "speed", (F.lead("t").over(day) - F.col("t")).alias("dt"), last.alias("d")).filter("dt is not null")
+    own, d = (F.col("lat"), F.col("lon")), (F.col("d.lat"), F.col("d.lon"))
+    w = w.withColumns({"dist": F.col("speed") * 1.852 * F.col("dt") / 3600, "course": geo.bearing(*own, *d)})
+    here = geo.km(*own, *d) - F.col("dist") <= 40
+    lat, lon = geo.moved(*own, F.col("course"), F.col("dist"))
+    done = F.when(here, "arrived").when(F.col("dt") > 10_800, "too-long")
+    return w.select("event_id", F.round(F.when(here, d[0]).otherwise(lat), 3).alias("lat"), F.round(F.when(here, d[1]).otherwise(lon), 3).alias("lon"), done.alias("done"))
+
+
+@query(96, sql=f"""WITH {POSITIONS}, g AS (SELECT event_id, t - lag(t) OVER (PARTITION BY key ORDER BY t, event_id) AS gap FROM positions)
+SELECT event_id, CAST(CASE WHEN gap > 4500 THEN least(24, ceil(gap / 3600.0) + 1) ELSE 1 END AS BIGINT) AS hours FROM g""")
+def read_back(spark, sf_dir):
+    """Hours that a reading reaches back, with one an hour: one, or after a gap as long as it and one more, a day at most."""
+    gap = F.col("t") - F.lag("t").over(Window.partitionBy("key").orderBy("t", "event_id"))
+    g = positions(spark, sf_dir).select("event_id", gap.alias("gap"))
+    return g.select("event_id", F.when(F.col("gap") > 4500, F.least(F.lit(24), F.ceil(F.col("gap") / 3600) + 1)).otherwise(1).cast("long").alias("hours"))
+
+
+@query(103)
+def one_pin(spark, sf_dir):
+    """One pin for each event: of a kind's fixes within an hour and 500 km of each other the first stays, by time, with how
+    many it takes; a pin that another took takes none."""
+    p = positions(spark, sf_dir).select("event_id", "event_type", "t", "lat", "lon")
+    both = joins.near(p, p, 500, keys=["event_type"], at="t", back=3600).filter("struct(t_r, event_id_r) < struct(t, event_id)")
+    found = fold.first_homes(both.select(F.col("event_id_r").alias("early"), F.col("event_id").alias("late")), p, "event_id", "t")
+    taken = found.groupBy(F.col("home").alias("event_id")).agg(F.count("*").alias("n"))
+    rest = p.select("event_id").join(found.select(F.col("copy").alias("event_id")), "event_id", "left_anti")
+    return rest.join(taken, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n"))
