@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.sets import jaccard, overlap
+from tideline.functions.sets import overlap
 from tideline.lineage import cut
 
 
@@ -23,19 +23,23 @@ def jaccard_pairs(items: DataFrame, *, key: str, block: list[str], at: str, word
     """(early, late, similarity) of items of a block, within seconds of each other, whose word sets are that similar.
 
     Words are ordered rare first; two sets that similar share a word of their prefixes, so only those words are joined on,
-    with the time bucket."""
-    own = items.select(F.col(key).alias("k"), *block, F.col(at).alias("t"), F.array_distinct(words).alias("w")).filter(F.size("w") > 0)
-    exploded = own.select("k", *block, "t", F.size("w").alias("n"), F.explode("w").alias("word"))
-    often = exploded.groupBy("word").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("k").orderBy("df", "word")
-    prefix = exploded.join(often, "word").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    late = prefix.select(*block, "word", F.col("k").alias("late"), F.col("t").alias("lt"), F.explode(F.sequence(F.floor((F.col("t") - within) / within), F.floor(F.col("t") / within))).alias("b"))
-    early = prefix.select(*block, "word", F.col("k").alias("early"), F.col("t").alias("et"), F.floor(F.col("t") / within).alias("b"))
+    with the time bucket. The sets ride along, so a pair is judged where it meets, and only similar ones are made distinct."""
+    own = items.select(F.col(key).alias("k"), *block, F.col(at).alias("t"), F.explode(F.array_distinct(words)).alias("word"))
+    often = own.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = own.join(often, "word").groupBy("k", *block, "t").agg(F.array_sort(F.collect_set(F.struct("df", "word"))).alias("r"))
+    sets = ranked.select("k", *block, "t", F.transform("r", lambda x: x["word"]).alias("w"), F.size("r").alias("n"))
+    # As many words as leave fewer than the least part of the set; the product may be a hair above a whole number.
+    leading = F.slice("w", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
+    prefix = sets.select("*", F.posexplode(leading).alias("i", "word")).withColumn("rest", F.col("n") - F.col("i"))
+    late = prefix.select(*block, "word", F.col("k").alias("late"), F.col("t").alias("lt"), F.col("w").alias("wl"), F.col("n").alias("nl"), F.col("rest").alias("rl"), F.explode(F.sequence(F.floor((F.col("t") - within) / within), F.floor(F.col("t") / within))).alias("b"))
+    early = prefix.select(*block, "word", F.col("k").alias("early"), F.col("t").alias("et"), F.col("w").alias("we"), F.col("n").alias("ne"), F.col("rest").alias("re"), F.floor(F.col("t") / within).alias("b"))
     first = F.struct(F.col("et"), F.col("early")) < F.struct(F.col("lt"), F.col("late"))
-    cand = late.join(early, [*block, "word", "b"]).filter(first & (F.col("lt") - F.col("et") <= within)).select("early", "late").distinct()
-    sets = own.select("k", "w")
-    both = cand.join(sets.toDF("early", "we"), "early").join(sets.toDF("late", "wl"), "late")
-    return both.withColumn("similarity", jaccard(F.col("we"), F.col("wl"))).filter(F.col("similarity") >= least).select("early", "late", "similarity")
+    # At its first shared word a pair has at most the rest of either set in common, that word included.
+    enough = F.least("re", "rl") >= (F.col("ne") + F.col("nl")) * (least / (1 + least)) - 1e-9
+    both = late.join(early, [*block, "word", "b"]).filter(first & (F.col("lt") - F.col("et") <= within) & enough)
+    common = F.size(F.array_intersect("we", "wl"))
+    similar = both.select("early", "late", (common / (F.col("ne") + F.col("nl") - common)).alias("similarity"))
+    return similar.filter(F.col("similarity") >= least).distinct()
 
 
 def _settle(batches):
