@@ -34,7 +34,8 @@ _REST = "string_split(regexp_replace(substr(k, 2), '[aeiouy]', '', 'g'), '')"
 
 
 @query(310, 405, sql=f"""WITH {REPORTS}, k AS (SELECT fp, summary, {_BARE} AS k FROM reports),
-c AS (SELECT fp, left(k, 1) || array_to_string(list_filter({_REST}, lambda x, i: i = 1 OR x <> {_REST}[i - 1]), '') AS sound FROM k),
+l AS (SELECT fp, left(k, 1) AS one, {_REST} AS r FROM k),
+c AS (SELECT fp, one || array_to_string(list_transform(list_filter(list_zip(r, list_concat([''], r[:-2])), lambda x: x[1] <> x[2]), lambda x: x[1]), '') AS sound FROM l),
 f AS (SELECT fp, lower(regexp_replace(translate(coalesce(summary, ''), '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩یىک', '01234567890123456789ييك'), '[ًٌٍَُِّْـ]', '', 'g')) AS folded FROM reports)
 SELECT sound, count(*) AS n, min(folded) AS one FROM c JOIN f USING (fp) GROUP BY sound""")
 def spellings(spark, sf_dir):
