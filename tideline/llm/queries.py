@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import imatch, language_id, token_counts, toxicity, url_templates, warc
+from tideline.llm import imatch, language_id, periodic_runs, quality_rules, token_alignment, token_counts, toxicity, url_templates, warc
 from tideline.llm.decontaminate import decontaminate
 from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.mixing import mix
@@ -213,5 +213,61 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.with_next(spark, docs, imatch.lexicon(spark, docs)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_imatch": op2_imatch, "op3_line_dedup": op3_line_dedup, "op4_url_templates": op4_url_templates, "op5_token_counts": op5_token_counts, "op6_decontaminate": op6_decontaminate, "op7_toxicity": op7_toxicity, "op8_language_id": op8_language_id, "op9_revisits": op9_revisits, "op10_mixing": op10_mixing}
-ORACLES = {"op4_url_templates": url_templates.sql(URL_RULES), "op1_ngram_join": OP1_SQL, "op6_decontaminate": OP6_SQL, "op9_revisits": OP9_SQL, "op10_mixing": OP10_SQL}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every document, and whether the cascade of quality rules keeps it."""
+    docs, always = table(spark, sf_dir, "documents").select("doc_id", "text"), quality_rules.BASE
+    own = quality_rules.plan(spark, docs, always=always)
+    judged = quality_rules.judge(spark, docs, own, always=always)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select("doc_id", *always, failed.alias("base_failed"), "kept")
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM words WHERE len(w) > 3
+), again AS (
+  SELECT doc_id, unnest(places) AS i FROM (SELECT doc_id, list(i) AS places FROM windows GROUP BY doc_id, g HAVING count(*) > 1)
+), covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM again) GROUP BY doc_id
+), measured AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_lettered,
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut, len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*([-*]|•)'))) AS n_list
+  FROM words LEFT JOIN covered USING (doc_id)
+), failed AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 12 * n_words
+  OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 5 * n_lines OR 10 * n_lettered < 7 * n_words OR 10 * n_cut > 3 * n_lines OR 10 * n_list > 9 * n_lines) AS kept
+FROM failed
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of two public tokenizers' tokens, and how common each document's are in the corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_alignment.cross_align(spark, docs, keep=["doc_id"], digest=True)
+    return found.documents.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of which get a periodic tail first."""
+    docs = table(spark, sf_dir, "documents")
+    edited = docs.select("doc_id", periodic_runs.with_planted_runs(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.detect_runs(spark, edited, least_length=6, exponent=4)
+    first = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    longest = F.when(F.size("runs") > 0, first)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), longest["start"].alias("start"), (-longest["n"]).alias("length"), longest["period"].alias("period"),
+        F.floor(-1000 * longest["n"] / longest["period"]).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_imatch": op2_imatch, "op3_line_dedup": op3_line_dedup, "op4_url_templates": op4_url_templates, "op5_token_counts": op5_token_counts, "op6_decontaminate": op6_decontaminate, "op7_toxicity": op7_toxicity, "op8_language_id": op8_language_id, "op9_revisits": op9_revisits, "op10_mixing": op10_mixing, "op11_quality_rules": op11_quality_rules, "op12_token_alignment": op12_token_alignment, "op13_periodic_runs": op13_periodic_runs}
+ORACLES = {"op4_url_templates": url_templates.sql(URL_RULES), "op1_ngram_join": OP1_SQL, "op6_decontaminate": OP6_SQL, "op9_revisits": OP9_SQL, "op10_mixing": OP10_SQL, "op11_quality_rules": OP11_SQL}
