@@ -25,7 +25,9 @@ def duck(sf_dir):
 def test_against_sql(spark, sf_dir, duck, name):
     out = duck.execute(queries.ORACLES[name])
     columns = [c[0] for c in out.description]
-    got = queries.QUERIES[name](spark, sf_dir).select(columns).collect()
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(df.columns) == sorted(columns)
+    got = df.select(columns).collect()
     assert sorted(repr(plain(tuple(r))) for r in got) == sorted(repr(plain(r)) for r in out.fetchall())
 
 

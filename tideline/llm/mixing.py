@@ -1,19 +1,20 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-Every source is a queue of its documents in shuffled order; a source that its target needs more than once starts over, up
-to `most_repeats` times, and its last copy is served in part where the target ends.  The virtual finish time of a copy is
-what its source has served by the copy's end over the source's target.  The copies of all sources are sorted by range of
-virtual finish time, and the mix is cut where their running total reaches the budget, the sum of all sizes; the copy that
-the cut falls into is taken in part.
+Every source is a queue of its documents in shuffled order, which starts over at its end, up to `most_repeats` times.  The
+virtual finish time of a copy is what its source has served by the copy's end over the source's target.  The copies of all
+sources are served in the order of virtual finish time until their running total reaches the budget, the sum of all sizes:
+the mix is cut there, and the copy that the cut falls into is taken in part.  At virtual time 1 every source has served
+its target but for the copy it has not finished, so a source's words come within a document of its target.
 
-Running sums never gather a source or the mix: the shuffle key deals a source's documents into blocks, virtual time deals
-the copies into stretches of about `block_rows`, and a row's place is its block's start plus its place in the block.  A
-source serves evenly over virtual time, so stretches are as even.
+Nothing gathers a source or the mix: the shuffle key deals a source's documents into blocks, and a document's place in its
+queue is its block's start plus its place in the block.  Virtual time deals the copies into stretches; stretches are summed
+where the copies are, all stretches before the one with the cut are taken whole, and only that one is sorted by finish time.
+The result is sorted by range of virtual finish time.
 
 Targets: source k by code point (null last) has weight `weights[k mod len]`; targets share the sum of all sizes by
 weight, stop at most_repeats times their source's size, and pass the excess on by weight until none is above.
 
-Defined results: a null or blank text has size 0 and nothing of it is taken; a null source is a source of its own; rows
+Defined results: a null or blank text has size 0 and nothing of it is taken, where all are blank the mix is empty; a null source is a source of its own; rows
 that repeat an id are documents of their own (order: hash of id and text, so rows of one id or without an id are dealt out
 like all others); an empty table gives no rows; other columns pass through, and ones named like the added columns are
 replaced.
@@ -85,23 +86,24 @@ def mix(
         .withColumn("_from", F.col("_start") + F.col("_inside")).drop("_start", "_inside")
     )
     placed = scratch.put(placed)
-    # Copies, each with what its source's target leaves of it.
     copy = F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("copy")
-    copies = placed.select("_queue", "_block", "_n", "_key", "size", "target", (F.col("_from")).alias("first"), "source_size", copy)
-    begin = F.col("first") + F.col("source_size") * F.col("copy")
-    copies = copies.select("_queue", "_block", "_n", "_key", "copy", "target", begin.alias("begin"), F.least("size", F.floor("target").cast("long") - begin).alias("words")).filter("words > 0")
-    copies = copies.withColumn("finish", (F.col("begin") + F.col("words")) / F.col("target"))
-    budget = sums.agg(F.coalesce(F.sum("block_size"), F.lit(0)).alias("budget"))  # one row
-    stretch = F.least(F.floor(F.col("finish") * blocks).cast("int"), F.lit(blocks - 1))
-    served = copies.select("_queue", "_block", "_n", "_key", "copy", "words", "finish", stretch.alias("stretch"))
+    own = ["_queue", "_block", "_n", "_key"]
+    copies = placed.filter("size > 0").select(*own, "size", "target", "_from", "source_size", copy)
+    finish = (F.col("_from") + F.col("source_size") * F.col("copy") + F.col("size")) / F.col("target")
+    copies = copies.select(*own, "copy", "size", finish.alias("finish"), F.floor(finish * blocks).alias("stretch"))
+    # A row a stretch, then one row: the first stretch in which the running total reaches the budget, and what is left for it.
+    budget = sums.agg(F.coalesce(F.sum("block_size"), F.lit(0)).alias("budget"))
+    sofar = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    served = copies.groupBy("stretch").agg(F.sum("size").alias("w")).withColumn("upto", F.sum("w").over(sofar)).crossJoin(F.broadcast(budget))
+    cut = scratch.put(served.filter("upto >= budget").agg(F.min(F.struct("stretch", (F.col("budget") - (F.col("upto") - F.col("w"))).alias("left"))).alias("m")).select("m.stretch", "m.left"))
     in_order = Window.partitionBy("stretch").orderBy("finish", "_queue", "_key", "_n", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = served.groupBy("stretch").agg(F.sum("words").alias("w"))
-    totals = totals.select("stretch", (F.sum("w").over(all_before) - F.col("w")).alias("base")).crossJoin(F.broadcast(budget))
-    cut = served.withColumn("upto", F.sum("words").over(in_order)).join(totals, "stretch")
-    left = F.col("budget") - (F.col("base") + F.col("upto") - F.col("words"))
-    taken = cut.select("_queue", "_block", "_n", F.greatest(F.lit(0).cast("long"), F.least("words", left)).alias("w")).groupBy("_queue", "_block", "_n").agg(F.sum("w").alias("taken"))
-    return placed.join(taken.hint("merge"), ["_queue", "_block", "_n"], "left").select(
-        *(F.col(f"`{c}`") for c in names), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+    last = copies.join(F.broadcast(cut), "stretch").withColumn("upto", F.sum("size").over(in_order))
+    last = last.select("_queue", "_block", "_n", F.greatest(F.lit(0), F.least("size", F.col("left") - (F.col("upto") - F.col("size")))).alias("w"))
+    last = last.groupBy("_queue", "_block", "_n").agg(F.sum("w").alias("_last"))  # as many documents as a stretch has
+    begun = F.transform(F.sequence(F.lit(0), F.lit(most_repeats - 1)), lambda c: F.floor((F.col("_from") + F.col("source_size") * c + F.col("size")) / F.col("target") * blocks))
+    whole = F.size(F.filter(begun, lambda x: x < F.col("_cut"))) * F.col("size")
+    out = placed.crossJoin(F.broadcast(cut.select(F.col("stretch").alias("_cut")))).join(last, ["_queue", "_block", "_n"], "left")
+    return out.select(
+        *(F.col(f"`{c}`") for c in names), "size", "source_size", "target", F.coalesce(F.when(F.col("size") > 0, whole) + F.coalesce("_last", F.lit(0)), F.lit(0)).cast("long").alias("taken"),
         F.when(F.col("target") > 0, (F.col("_from") + F.col("size")) / F.col("target")).alias("virtual_finish"),
     ).sort("virtual_finish", F.col(f"`{id_col}`"))

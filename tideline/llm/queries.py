@@ -38,8 +38,8 @@ WITH RECURSIVE words AS (
 ), reach AS (
   SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
 )
-SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, r.component_id
-FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, r.component_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = d.doc_id
 JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
@@ -181,7 +181,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS name, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR), md5(text))) AS k FROM documents
+    md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR), md5(text))) AS k, row_number() OVER () AS i FROM documents
 ), sizes AS (
   SELECT none, name, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY none, name
 ), weighed AS (
@@ -198,13 +198,16 @@ WITH docs AS (
     (CAST(total - coalesce(sum(CASE WHEN reached THEN most END) OVER (), 0) AS DOUBLE) / CAST(sum(CASE WHEN NOT reached THEN weight END) OVER () AS DOUBLE)) END AS target
   FROM filled
 ), placed AS (
-  SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS budget,
-    CAST(sum(d.size) OVER (PARTITION BY d.none, d.name ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS BIGINT) AS start
+  SELECT d.*, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.none, d.name ORDER BY d.k, d.size, d.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS done
   FROM docs d JOIN goals g ON g.none = d.none AND g.name = d.name
+), copies AS (
+  SELECT *, CAST(done + copy * source_size AS DOUBLE) / target AS finish FROM placed, (SELECT unnest([0, 1, 2]) AS copy) WHERE size > 0
+), queue AS (
+  SELECT i, least(size, (SELECT sum(size) FROM docs) - (sum(size) OVER (ORDER BY finish, none, name, k, size, i, copy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)) AS w FROM copies
+), served AS (
+  SELECT i, sum(w) AS taken FROM queue WHERE w > 0 GROUP BY i
 )
-SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, budget - start)) + greatest(0, least(size, budget - start - source_size))
-  + greatest(0, least(size, budget - start - 2 * source_size)) AS BIGINT) AS taken
-FROM placed
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM placed LEFT JOIN served USING (i)
 """
 
 
