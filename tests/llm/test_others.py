@@ -79,7 +79,28 @@ def test_fingerprints_against_plain_sets(spark):
             if sets[a] & band and sets[b] & band:
                 used = [k for k, x in enumerate(subsets) if (sets[a] | sets[b]) & x]
                 same = sum((sets[a] & subsets[k]) == (sets[b] & subsets[k]) for k in used)
-                assert imatch.likeness(prints[a], prints[b]) == (same / len(used) if used else 1.0)
+                assert imatch.likeness(prints[a], prints[b]) == (same / len(used) if used else float(sets[a] & band == sets[b] & band))
+                assert (prints[a] == prints[b]) == (sets[a] & band == sets[b] & band)
+
+
+def test_fingerprints_of_few_terms_differ(spark):
+    """Texts of one to five terms, in the lexicon or not: equal prints just for equal sets, whatever subsets hold them."""
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(700)]
+    texts = [" ".join(rng.sample(words, rng.randint(1, 5))) for _ in range(1500)] + words + ["", " ", "\n", None, "only here", "here only", "ONLY  here", "other one"]
+    texts += [" ".join(words), " ".join(words[::-1])]
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    own = imatch.lexicon(spark, docs, least_idf=0.5, most_idf=7.0)
+    prints = {r.doc_id: r.fingerprint for r in imatch.fingerprints(spark, docs, own).collect()}
+    sets = [frozenset((t or "").lower().split()) for t in texts]
+    assert len(own.terms) == 700
+    by_set, by_print = defaultdict(set), defaultdict(set)
+    for i, x in enumerate(sets):
+        by_set[x].add(prints[i])
+        by_print[prints[i]].add(x)
+    assert all(len(x) == 1 for x in by_set.values()) and all(len(x) == 1 for x in by_print.values())
+    few = [i for i, x in enumerate(sets) if len(x) == 1]
+    assert all(imatch.likeness(prints[i], prints[j]) == float(sets[i] == sets[j]) for i in few[:60] for j in few)
 
 
 # URL templates
@@ -302,8 +323,9 @@ def test_mix_meets_targets_whole_documents_and_repeats(spark):
         taken[r.source] += r.taken
         target[r.source] = r.target
         assert r.size == len((r.text or "").split()) and 0 <= r.taken <= 3 * r.size
-    want = fill(sizes, (5, 2, 1))
-    assert len(out) == len(rows) and all(abs(want[k] - target[k]) < 1e-6 and abs(taken[k] - want[k]) <= 1 for k in want)
+    want, largest = fill(sizes, (5, 2, 1)), max(r.size for r in out)
+    assert len(out) == len(rows) and sum(taken.values()) == sum(sizes.values())
+    assert all(abs(want[k] - target[k]) < 1e-6 and abs(taken[k] - want[k]) <= largest for k in want)
     assert sorted(map(repr, mixing.mix(spark, docs.repartition(3), block_rows=1000).collect())) == sorted(map(repr, out))
 
 
@@ -320,10 +342,8 @@ def test_mix_goes_by_virtual_finish_time(spark):
         at = 0
         for turn in range(3):
             for k, r in enumerate(own):
-                part = min(r.size, int(goal[source]) - at)
-                if part > 0:
-                    copies.append(((at + part) / goal[source], source, turn, k, part))
                 at += r.size
+                copies.append((at / goal[source], source, turn, k, r.size))
         assert all(a.virtual_finish < b.virtual_finish for a, b in zip(own, own[1:]))
     left, want = sum(r.size for r in out), defaultdict(int)
     for _, source, _, k, part in sorted(copies):
@@ -336,6 +356,18 @@ def test_mix_goes_by_virtual_finish_time(spark):
     assert got == {k: want[k] for k in got}
 
 
+def test_the_cut_decides_what_is_taken(spark):
+    """Three sources of equal weight: words one by one, two documents of 30, one of 90. The budget ends inside the last."""
+    rows = [(k, "a", "w") for k in range(60)] + [(100, "b", "w " * 30), (101, "b", "w " * 30)] + [(200, "c", "w " * 90)]
+    out = mixing.mix(spark, frame(spark, rows, "doc_id long, source string, text string"), weights=(1, 1, 1)).collect()
+    by = defaultdict(int)
+    for r in out:
+        by[r.source] += r.taken
+    # Each target is 70. b's third copy finishes at 90 / 70, c's first too; a's words finish in between, one by one.
+    assert {r.target for r in out} == {70.0} and by["a"] == 90 and by["b"] == 90 and by["c"] == 30
+    assert sum(by.values()) == 210
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark, frame(spark, [], "doc_id long, source string, text string")).collect() == []
     empty = mixing.mix(spark, frame(spark, [(1, "a", None), (None, None, "")], "doc_id long, source string, text string")).collect()
