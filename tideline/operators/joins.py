@@ -4,7 +4,6 @@ dictionary lookups by word run, overlays."""
 from __future__ import annotations
 
 from functools import reduce
-from math import cos, radians
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,17 +41,25 @@ def cell(lat: Column, lon: Column, degrees: float) -> Column:
     return F.struct(F.floor(lat / degrees).alias("y"), F.floor(lon / degrees).alias("x"))
 
 
-def near(left: DataFrame, right: DataFrame, most_km: float, suffix: str = "_r", most_lat: float = 80.0, keys: list[str] = [], at: str | None = None, back: int = 0, ahead: int = 0) -> DataFrame:
+def near(left: DataFrame, right: DataFrame, most_km: float, suffix: str = "_r", keys: list[str] = [], at: str | None = None, back: int = 0, ahead: int = 0) -> DataFrame:
     """Pairs of (lat, lon) rows within a distance, found in the cells around, no cross join; with `keys`, of rows with equal
-    keys, and with `at`, of rows whose right time is in [left time - back, left time + ahead]. Cells are as high as the
-    distance, and as wide as it is at `most_lat`; pairs nearer to a pole than that may be missed. They go around the globe
-    in whole cells, so pairs over the date line are found."""
+    keys, and with `at`, of rows whose right time is in [left time - back, left time + ahead].
+
+    Cells are bands of latitude as high as the distance, each cut around the globe into as many cells as keep the distance's
+    width at the band's far side (one near the poles), so a row's pairs are in three cells of three bands, over the date
+    line and the poles too. Rows without a place pair with nothing."""
     step = most_km / 110.57
-    turns = max(1, int(360 * cos(radians(most_lat)) / step))
-    x = lambda lon: F.floor(F.pmod(lon + 180, F.lit(360.0)) * (turns / 360)).cast("int")
-    r = right.select(*(F.col(c).alias(c + suffix) for c in right.columns)).withColumns({"_y": F.floor(F.col("lat" + suffix) / step), "_x": x(F.col("lon" + suffix))})
-    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(x(F.col("lon")) + k, F.lit(turns))))
-    l_ = left.withColumn("_y", F.explode(F.sequence(F.floor(F.col("lat") / step) - 1, F.floor(F.col("lat") / step) + 1))).withColumn("_x", F.explode(around))
+
+    def turns(y: Column) -> Column:
+        edge = F.least(F.lit(90.0), (F.greatest(F.abs(y), F.abs(y + 1)) + 1) * step)
+        return F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge)) * (0.99 * 360 / step)).cast("int"))
+
+    x = lambda lon, y: F.floor(F.pmod(lon + 180, F.lit(360.0)) * turns(y) / 360).cast("int")
+    r = right.select(*(F.col(c).alias(c + suffix) for c in right.columns)).withColumn("_y", F.floor(F.col("lat" + suffix) / step))
+    r = r.withColumn("_x", x(F.col("lon" + suffix), F.col("_y")))
+    l_ = left.withColumn("_y", F.explode(F.sequence(F.floor(F.col("lat") / step) - 1, F.floor(F.col("lat") / step) + 1)))
+    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(x(F.col("lon"), F.col("_y")) + k, turns(F.col("_y")))))
+    l_ = l_.withColumn("_x", F.explode(around))
     on = ["_y", "_x", *(f"_k{i}" for i in range(len(keys)))]
     r, l_ = (x.withColumns({f"_k{i}": F.col(k + end) for i, k in enumerate(keys)}) for x, end in ((r, suffix), (l_, "")))
     if at:

@@ -188,3 +188,30 @@ def incident_ledger(reports: DataFrame, keys: list[str], order: list[str], *, da
     """reports (keys, order, day as a number, harm, rank, source, flag, weapon) with the incident each belongs to and what is
     known of it after the report."""
     return fold_in_order(reports, keys, order, ledger_step(days, HARMS, SOFT_HARMS), LEDGER, block_rows=block_rows)
+
+
+# One-to-one absorption
+
+
+def absorbing(apart: int) -> Step:
+    """Unnamed incidents are absorbed by named ones of the key, one by one: rows come by day and id, and a row takes the
+    oldest one of the other sort that is not taken yet and at most `apart` days older."""
+
+    def step(state, row):
+        mine, others = ("named", "unnamed") if row["is_named"] else ("unnamed", "named")
+        day = row["day"]
+        if day is None:
+            return state, {"partner": None}
+        state = {k: [w for w in (state or {}).get(k, []) if day - w[0] <= apart] for k in ("named", "unnamed")}
+        taken = state[others].pop(0) if state[others] else None
+        if taken is None:
+            state[mine].append([day, row["id"]])
+        return state, {"partner": taken and taken[1]}
+
+    return step
+
+
+def absorb(incidents: DataFrame, key: str, *, apart: int = 1, block_rows: int = 100_000) -> DataFrame:
+    """incidents (key, id, day as a number, is_named) with the partner that the later row of a pair takes. Rows without a
+    key or day have none."""
+    return fold_in_order(incidents, [key], ["day", "id"], absorbing(apart), "partner long", block_rows=block_rows).drop("_state")
