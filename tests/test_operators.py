@@ -142,17 +142,6 @@ def test_jump_waits_for_a_second_fix():
     assert (ok, held, agreed) == (True, False, True)
 
 
-def test_paged_source_pushes_filters(spark, tmp_path):
-    from tideline.sources.paged import PagedSource
-
-    for n in range(3):
-        (tmp_path / f"{n}.json").write_text("".join(json.dumps({"id": n * 10 + k, "name": str(k)}) + "\n" for k in range(10)))
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(PagedSource)
-    df = spark.read.format("paged").schema("id long, name string").option("path", str(tmp_path)).load()
-    assert df.count() == 30 and sorted(r.id for r in df.filter("id >= 25").collect()) == [25, 26, 27, 28, 29]
-
-
 def test_rest_does_not_import_the_optional_subpackage():
     code = "import sys; import tideline.catalog as c; assert c.QUERIES; assert not [m for m in sys.modules if m.startswith('tideline.llm')]"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)

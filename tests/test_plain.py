@@ -129,22 +129,19 @@ def test_shaped_tracks(spark, sf_dir, rows):
 
 def test_dictionary_matches_odd_input(spark):
     texts = spark.createDataFrame([(1, ["a", "b", "c", "a", "b"]), (2, None), (3, []), (4, ["b"]), (5, ["b", "c", "d"])], "id long, w array<string>")
-    names = spark.createDataFrame([("a b", 1), ("b", 2), ("b c d", 3), (None, 4), ("a b c d e", 5)], "alias string, place long")
-    got = {tuple(r) for r in joins.dictionary_matches(texts, "id", F.col("w"), names, "alias", 3).select("id", "at", "n", "alias", "place").collect()}
-    assert got == {(1, 0, 2, "a b", 1), (1, 3, 2, "a b", 1), (4, 0, 1, "b", 2), (5, 0, 3, "b c d", 3)}
+    names = spark.createDataFrame([("a b", 1), ("b", 2), ("b c d", 3), (None, 4), ("c a b", 6), ("a b c a b x", 5), ("a b c a b", 7)], "alias string, place long")
+    got = {tuple(r) for r in joins.dictionary_matches(texts, "id", F.col("w"), names, "alias").select("id", "at", "n", "alias", "place").collect()}
+    assert got == {(1, 0, 5, "a b c a b", 7), (4, 0, 1, "b", 2), (5, 0, 3, "b c d", 3)}
     assert joins.dictionary_matches(texts.limit(0), "id", F.col("w"), names, "alias").count() == 0
 
 
-def test_states_a_figure(spark):
-    says = lambda t, n: one(spark, x=text.states(F.lit(t), F.lit(n))).x
-    assert says("1,200,000 barrels", 1200000) and says("31 hit.", 31) and says("in 31, of", 31)
-    assert not says("1,282 hit", 128) and not says("12.5 hit", 12) and not says("0.31", 31) and not says(None, 3) and not says("", 0)
-
-
-def test_qualifier_of_a_figure(spark):
-    how = lambda t, n: one(spark, x=text.qualifier_of(F.lit(t), F.lit(n))).x
-    assert (how("At least 12 hurt", 12), how("more than some 40", 40), how("nearly 7 km", 7)) == ("at least", "more than", "about")
-    assert how("at least 120", 12) is None and how("12 at least", 12) is None and how(None, 1) is None
+def test_numbers_by_value(spark):
+    cases = [("1,200,000 barrels", 1.2e6, True, None), ("31 hit.", 31, True, None), ("in 31, of", 31, True, None), ("1,282 hit", 128, False, None), ("12.5 hit", 12, False, None), ("1.2.3.31", 31, False, None), (None, 3, False, None), ("", 0, False, None),
+             ("At least 12 hurt", 12, True, "at least"), ("more than 1.2 million", 1.2e6, True, "more than"), ("nearly 7 km", 7, True, "about"), ("at least 120", 12, False, None), ("12 at least", 12, True, None), ("3 thousand, about 12345678901", 12345678901, True, "about"),
+             ("roughly 5 thousand", 5000, True, "about"), ("12,34", 1234, False, None), ("x" * 60_000 + " above 9", 9, True, "more than")]
+    df = spark.createDataFrame([(t, float(n)) for t, n, *_ in cases], "t string, n double").withColumn("x", text.told_numbers(F.col("t")))
+    got = [tuple(r) for r in df.select(text.states(F.col("x"), F.col("n")), text.qualifier_of(F.col("x"), F.col("n"))).collect()]
+    assert got == [(a, b) for *_, a, b in cases]
 
 
 def test_spellings_meet(spark):

@@ -67,21 +67,40 @@ def latin_digits(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.translate(western_digits(c), "یىک", "ييك"), "[ًٌٍَُِّْـ]", ""))
 
 
-def states(c: Column, n: Column) -> Column:
-    """Does a text write a whole number, with or without commas, that is no part of another one? Null texts state nothing."""
-    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?<=\d),(?=\d{3}\b)", "")
-    return F.rlike(plain, F.concat(F.lit(r"(?<![\d.])"), n.cast("string"), F.lit(r"(?!\d|\.\d)")))
+#: A number with up to three words before it and a scale behind it.
+TOLD = r"((?:[a-z]+ ){0,3})([0-9][0-9,.]*)( (?:thousand|million|billion))?"
+_SCALE = {" thousand": 1e3, " million": 1e6, " billion": 1e9}
+#: How a text may put a number: words right before it, and what they say of it.
+QUALIFIERS = {"no less than": "at least", "at least": "at least", "a minimum of": "at least", "more than": "more than", "in excess of": "more than", "above": "more than", "about": "about", "around": "about", "roughly": "about", "close to": "about", "nearly": "about"}
 
 
-def qualifier_of(c: Column, n: Column) -> Column:
-    """at least, more than or about, as a text puts it before a number; null if it does not."""
-    def near(words: str) -> Column:
-        return F.rlike(F.lower(F.coalesce(c, F.lit(""))), F.concat(F.lit(rf"(?:{words})\s+(?:some\s+)?"), n.cast("string"), F.lit(r"(?!\d)")))
+def told_numbers(c: Column) -> Column:
+    """[{value, before}] of the numbers of a text: commas between thousands and a scale word count into the value, what looks
+    like no single number (1.2.3, 12,34) is left out; before: the words right before it. Null texts tell none."""
+    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[ \t\n]+", " ")
+    parts = [F.regexp_extract_all(t, F.lit(TOLD), F.lit(k)) for k in (1, 2, 3)]
 
-    return (
-        F.when(near("at least|no fewer than"), "at least").when(near("more than|over|upwards of"), "more than")
-        .when(near("about|around|nearly|almost|approximately|some|roughly"), "about")
-    )
+    def read(x: Column) -> Column:
+        bare = F.regexp_replace(x["n"], "[.,]+$", "")
+        value = F.when(bare.rlike(r"^([0-9]+|[0-9]{1,3}(,[0-9]{3})+)([.][0-9]+)?$"), F.replace(bare, F.lit(","), F.lit("")).try_cast("double"))
+        scale = F.lit(1.0)
+        for word, times in _SCALE.items():
+            scale = F.when((x["s"] == word) & (bare == x["n"]), F.lit(times)).otherwise(scale)
+        return F.struct((value * scale).alias("value"), F.trim(x["w"]).alias("before"))
+
+    zipped = F.transform(F.arrays_zip(*(p.alias(k) for p, k in zip(parts, "wns"))), lambda z: F.struct(z["w"].alias("w"), z["n"].alias("n"), z["s"].alias("s")))
+    return F.filter(F.transform(zipped, read), lambda x: x["value"].isNotNull())
+
+
+def states(told: Column, n: Column) -> Column:
+    """Is a value among the numbers told?"""
+    return F.exists(told, lambda x: x["value"] == n)
+
+
+def qualifier_of(told: Column, n: Column, qualifiers: dict[str, str] = QUALIFIERS) -> Column:
+    """What the first of the numbers told that has this value is said to be; null if nothing is said of it."""
+    first = F.get(F.filter(told, lambda x: x["value"] == n), F.lit(0))["before"]
+    return F.coalesce(*(F.when(F.concat(F.lit(" "), first).endswith(" " + words), said) for words, said in qualifiers.items()))
 
 
 def content_key(c: Column, chars: int = 200, least: int = 40) -> Column:
@@ -158,9 +177,6 @@ def unglue(c: Column) -> Column:
     return F.regexp_replace(c, r"([a-z])([A-Z])", "$1 $2")
 
 
-def storable(c: Column) -> Column:
-    return F.regexp_replace(c, "\x00", "")
-
 
 def quantity(c: Column) -> Column:
     """Number of a formatted cell such as `1,234.5%`."""

@@ -78,17 +78,18 @@ def nearest(left: DataFrame, right: DataFrame, key: str, most_km: float, name: s
     return left.join(best, key, "left").select(*left.columns, F.col(f"best.{name}").alias(name), F.col("best.km").alias("km"))
 
 
-def dictionary_matches(texts: DataFrame, key: str, words: Column, dictionary: DataFrame, alias: str, most: int = 4) -> DataFrame:
-    """(key, at, n, and the dictionary's columns) of aliases of up to `most` words found as word runs; a run inside a longer
+def dictionary_matches(texts: DataFrame, key: str, words: Column, dictionary: DataFrame, alias: str) -> DataFrame:
+    """(key, at, n, and the dictionary's columns) of aliases found as word runs, as many words as the longest alias has; a run inside a longer
     match is dropped.
 
     Every word becomes one row with those that follow it, and meets the aliases that begin with it; only hits go on to the
     window. Texts that are null or without words match nothing, nor do null aliases."""
+    names = dictionary.filter(F.col(alias).isNotNull()).withColumns({"_first": F.split_part(alias, F.lit(" "), F.lit(1)), "n": F.size(F.split(alias, " "))})
+    most = names.agg(F.max("n")).first()[0] or 1
     ahead = [f"_w{i}" for i in range(most)]
     own = texts.select(key, words.alias("_w0"))
     own = own.select("*", *(F.slice("_w0", i + 1, F.size("_w0")).alias(w) for i, w in enumerate(ahead) if i))
     runs = own.select(key, F.posexplode(F.arrays_zip(*ahead)).alias("at", "z")).select(key, "at", *(F.col(f"z.{w}") for w in ahead))
-    names = dictionary.withColumns({"_first": F.split_part(alias, F.lit(" "), F.lit(1)), "n": F.size(F.split(alias, " "))}).filter(F.col("n") <= most)
     run = reduce(lambda other, n: F.when(F.col("n") == n, F.concat_ws(" ", *ahead[:n])).otherwise(other), range(2, most + 1), F.col("_w0"))
     hit = runs.join(names, (runs["_w0"] == names["_first"]) & (run == F.col(alias))).drop("_first", *ahead)
     order = Window.partitionBy(key).orderBy("at", F.desc("n"))

@@ -43,9 +43,19 @@ def thinned(rows: DataFrame, keys: list[str], at: str, tie: str, least_gap: int,
     return counted.filter((F.col("_n") <= most) | F.col("_next").isNull() | (F.col("_next") != F.col("_slot"))).drop("_i", "_n", "_slot", "_next")
 
 
-def previous_greater(series: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """series with the last earlier time at which the value was greater. Values are unique per key and time, so the
-    answer is the maximum over earlier rows of the time where greater: a range join on ranks in blocks of value."""
-    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    pairs = F.filter(F.collect_list(F.struct(F.col(at).alias("t"), F.col(value).alias("v"))).over(w), lambda p: p["v"] > F.col(value))
-    return series.withColumn("since", F.array_max(F.transform(pairs, lambda p: p["t"])))
+def previous_greater(series: DataFrame, keys: list[str], at: str, value: str, width: int) -> DataFrame:
+    """series with `since`, the last earlier time at which the value was greater (null if there was none).
+
+    Time is cut into blocks of `width`. A row looks among the earlier rows of its own block, else for the last earlier block
+    whose maximum is greater, and then only into that one. So what comes together is a block, or a key's maxima by block: a
+    width near the square root of a key's times keeps both small. Null values and times have no answer and are none."""
+    known = series.filter(F.col(at).isNotNull() & F.col(value).isNotNull())
+    blocks = known.groupBy(*keys, F.floor(F.col(at) / width).alias("_b")).agg(F.collect_list(F.struct(F.col(at).alias("t"), F.col(value).alias("v"))).alias("_l"), F.max(value).alias("_m"))
+    maxima = blocks.groupBy(*keys).agg(F.collect_list(F.struct("_b", "_m")).alias("_ms"))
+    last = lambda l_, fits: F.array_max(F.transform(F.filter(l_, fits), lambda p: p["t"]))
+    here = series.withColumn("_b", F.floor(F.col(at) / width)).join(blocks.drop("_m"), [*keys, "_b"], "left")
+    here = here.withColumn("_near", last("_l", lambda p: (p["t"] < F.col(at)) & (p["v"] > F.col(value)))).drop("_l").join(maxima, keys, "left")
+    far = F.array_max(F.transform(F.filter("_ms", lambda m: (m["_b"] < F.col("_b")) & (m["_m"] > F.col(value))), lambda m: m["_b"]))
+    asked = here.withColumn("_b", F.when(F.col("_near").isNull(), far)).drop("_ms")
+    out = asked.join(blocks.drop("_m"), [*keys, "_b"], "left")
+    return out.select(*series.columns, F.coalesce("_near", last("_l", lambda p: p["v"] > F.col(value))).alias("since"))

@@ -36,7 +36,7 @@ def spaced_ports(spark, sf_dir):
     return ports(spark, sf_dir).join(gone, "name", "left_anti")
 
 
-_FIG = r"list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) <= 6), lambda x: CAST(x AS BIGINT))"
+_FIG = r"list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: TRY_CAST(x AS DECIMAL(38, 0)))"
 
 
 @query(sql=f"""
@@ -46,8 +46,8 @@ FROM t a JOIN t b ON a.source = b.source AND b.at_ > a.at_ AND b.at_ - a.at_ <=
 def tolls(spark, sf_dir):
     """Do two reports of a source within 12 hours give the same toll: first figures equal, or one apart from three on, or
     second figures equal."""
-    found = F.filter(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1)), lambda x: F.length(x) <= 6)
-    t = reports(spark, sf_dir).select("fp", "source", "at", F.get(found, F.lit(0)).cast("long").alias("dead"), F.get(found, F.lit(1)).cast("long").alias("hurt")).filter("dead is not null")
+    found = F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1))
+    t = reports(spark, sf_dir).select("fp", "source", "at", F.get(found, F.lit(0)).try_cast("decimal(38,0)").alias("dead"), F.get(found, F.lit(1)).try_cast("decimal(38,0)").alias("hurt")).filter("dead is not null")
     both = joins.interval_join(t, t, ["source"], "at", 43200).filter("at_r < at")
     meet = F.when(F.col("dead") == F.col("dead_r"), True).when((F.col("dead") >= 3) & (F.col("dead_r") >= 3), F.abs(F.col("dead") - F.col("dead_r")) <= 1).otherwise(F.coalesce(F.col("hurt") == F.col("hurt_r"), F.lit(False)))
     return both.select(F.col("fp_r").alias("early"), F.col("fp").alias("late"), meet.alias("meet"))

@@ -16,12 +16,12 @@ from tideline.plans.similar import _HEAD
 from tideline.session import REPORTS, reports
 
 def cards(spark, sf_dir):
-    found = F.filter(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1)), lambda x: F.length(x) <= 6)
+    found = F.regexp_extract_all("text", F.lit("0*([0-9]+)"), F.lit(1))  # as they are written: of any length
     r = reports(spark, sf_dir).select("fp", "at", "source", "desk", "summary", "text")
     none = F.array().cast("array<string>")
     return r.select(
         "fp", "at", "source", "desk", F.coalesce(text.norm(F.col("summary")), F.lit("")).alias("norm"), F.coalesce(text.head_words(F.col("summary")), none).alias("w"),
-        F.coalesce(F.array_distinct(F.transform(found, lambda x: x.cast("long"))), F.array().cast("array<long>")).alias("figures"),
+        F.coalesce(F.array_distinct(found), none).alias("figures"),
         F.regexp_extract(F.lower("summary"), r"^([\p{L}]+)", 1).alias("speaker"),
     ).withColumn("kind", F.size("figures") > 0)
 
@@ -64,8 +64,8 @@ def event():
 def loose():
     common, texts = F.array_intersect("figures", "figures_e"), lambda x: x.cast("string")
     return [
-        Rule("rare_figure", 43_200, _under("desk", each=F.transform(F.filter("figures", lambda x: x >= 100), texts)), _same("desk") & F.exists(common, lambda x: x >= 100) & (_shared() >= 2)),
-        Rule("same_count", 10_800, _under("desk", each=F.transform("figures", texts)), _same("desk") & F.exists(common, lambda x: x >= 5) & (_shared() >= 1)),
+        Rule("rare_figure", 43_200, _under("desk", each=F.transform(F.filter("figures", lambda x: F.length(x) >= 3), texts)), _same("desk") & F.exists(common, lambda x: F.length(x) >= 3) & (_shared() >= 2)),
+        Rule("same_count", 10_800, _under("desk", each=F.transform("figures", texts)), _same("desk") & F.exists(common, lambda x: (F.length(x) > 1) | (x >= "5")) & (_shared() >= 1)),
     ]
 
 
@@ -78,7 +78,7 @@ def talk():
 
 
 _CARDS = rf"""{REPORTS}, c AS (SELECT fp, at_, source, desk, coalesce(trim(regexp_replace(regexp_replace(lower(summary), '[''’]', '', 'g'), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')), '') AS norm,
-  coalesce({_HEAD}, []) AS w, coalesce(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) <= 6), lambda x: CAST(x AS BIGINT))), []) AS f,
+  coalesce({_HEAD}, []) AS w, coalesce(list_distinct(regexp_extract_all(text, '0*([0-9]+)', 1)), []) AS f,
   coalesce(regexp_extract(lower(summary), '^([\p{{L}}]+)', 1), '') AS speaker FROM reports),
 p AS (SELECT a.fp AS early, b.fp AS late, a.at_ AS t, b.at_ - a.at_ AS gap, a.source = b.source AS own, a.norm AS na, b.norm AS nb, len(list_intersect(a.w, b.w)) AS shared,
   CASE WHEN least(len(a.w), len(b.w)) > 0 THEN CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / least(len(a.w), len(b.w)) ELSE 0 END AS overlap,
@@ -88,8 +88,8 @@ p AS (SELECT a.fp AS early, b.fp AS late, a.at_ AS t, b.at_ - a.at_ AS gap, a.so
 _EVENT = """CASE WHEN own AND na = nb AND length(na) >= 20 THEN 'same_headline'
   WHEN gap <= 43200 AND own AND new_figures = 0 AND (overlap >= 0.6 OR overlap >= 0.5 AND shared >= 5) THEN 'own_retelling'
   WHEN gap <= 5400 AND kinds AND shared >= 4 AND overlap >= 0.6 THEN 'two_kinds' END"""
-_LOOSE = """CASE WHEN gap <= 43200 AND len(list_filter(common, lambda x: x >= 100)) > 0 AND shared >= 2 THEN 'rare_figure'
-  WHEN gap <= 10800 AND len(list_filter(common, lambda x: x >= 5)) > 0 AND shared >= 1 THEN 'same_count' END"""
+_LOOSE = """CASE WHEN gap <= 43200 AND len(list_filter(common, lambda x: length(x) >= 3)) > 0 AND shared >= 2 THEN 'rare_figure'
+  WHEN gap <= 10800 AND len(list_filter(common, lambda x: length(x) > 1 OR x >= '5')) > 0 AND shared >= 1 THEN 'same_count' END"""
 _TALK = "CASE WHEN gap <= 600 AND own AND speaks THEN 'burst' WHEN speaks AND same_day AND (gap <= 10800 OR shared >= 3) THEN 'remarks' END"
 
 

@@ -65,7 +65,7 @@ def dictionary(spark, sf_dir):
     """Names of a dictionary in whole texts, the longest run where one lies in another, with first mention and count."""
     names = spark.createDataFrame([(a,) for a in ("of the", "the", "de la", "la", "der", "and the")], "alias string")
     d = table(spark, sf_dir, "documents")
-    hit = joins.dictionary_matches(d.select("doc_id", text.words(F.col("text")).alias("w")), "doc_id", F.col("w"), names, "alias", 3)
+    hit = joins.dictionary_matches(d.select("doc_id", text.words(F.col("text")).alias("w")), "doc_id", F.col("w"), names, "alias")
     return hit.groupBy("doc_id", "alias").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
 
 

@@ -42,7 +42,7 @@ SELECT a.series, a.month, a.v, max(b.month) AS since FROM m a LEFT JOIN m b ON b
 def high_since(spark, sf_dir):
     """The last earlier month with a greater maximum."""
     m = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("month")).agg(F.round(F.max("o_totalprice"), 2).alias("v"))
-    return ordered.previous_greater(m, ["series"], "month", "v")
+    return ordered.previous_greater(m, ["series"], "month", "v", width=12)
 
 
 @query(239, 236, sql="""WITH m AS (SELECT o_orderpriority AS series, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1, 2) SELECT series, month, n, round(CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY series), 6) AS bar FROM m""")

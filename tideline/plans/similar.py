@@ -68,11 +68,11 @@ def news_only(spark, sf_dir):
     return reports(spark, sf_dir).filter(F.col("at") >= 1704067200 + 43200).select("fp").join(told, "fp", "left_anti")
 
 
-@query(154, 175, 414, sql=f"""WITH {REPORTS}, f AS (SELECT fp, source, at_, list_distinct(list_transform(regexp_extract_all(summary, '[0-9]+'), lambda x: CAST(left(x, 9) AS BIGINT))) AS n FROM reports)
+@query(154, 175, 414, sql=f"""WITH {REPORTS}, f AS (SELECT fp, source, at_, list_distinct(regexp_extract_all(summary, '0*([0-9]+)', 1)) AS n FROM reports)
 SELECT a.fp AS early, b.fp AS late, len(list_intersect(a.n, b.n)) = 0 AS clash FROM f a JOIN f b ON a.source = b.source AND b.at_ > a.at_ AND b.at_ - a.at_ <= 86400 WHERE len(a.n) > 0 AND len(b.n) > 0""")
 def figure_clash(spark, sf_dir):
     """Reports of a source within a day that both give figures: do they share one?"""
-    n = F.array_distinct(F.transform(F.regexp_extract_all("summary", F.lit("([0-9]+)"), F.lit(1)), lambda x: F.left(x, F.lit(9)).cast("long")))
+    n = F.array_distinct(F.regexp_extract_all("summary", F.lit("0*([0-9]+)"), F.lit(1)))
     f = reports(spark, sf_dir).select("fp", "source", "at", n.alias("n")).filter(F.size("n") > 0)
     both = joins.interval_join(f, f, ["source"], "at", 86400).filter("at_r < at")
     return both.select(F.col("fp_r").alias("early"), F.col("fp").alias("late"), (~F.arrays_overlap("n", "n_r")).alias("clash"))

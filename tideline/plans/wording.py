@@ -44,21 +44,29 @@ def spellings(spark, sf_dir):
     return r.groupBy("sound").agg(F.count("*").alias("n"), F.min("folded").alias("one"))
 
 
-_ASIDE = "regexp_replace(regexp_replace(coalesce(b.text, ''), ',([0-9]{3})\\b', '\\1', 'g'), ',([0-9]{3})\\b', '\\1', 'g')"
-_NEAR = r"regexp_matches(lower(coalesce(b.text, '')), '(?:{0})\s+(?:some\s+)?' || n || '($|[^0-9])')"
+def _told_sql(c: str) -> str:
+    t = f"regexp_replace(lower(coalesce({c}, '')), '[ \\t\\n]+', ' ', 'g')"
+    part = lambda k: f"regexp_extract_all({t}, '{text.TOLD}', {k})"
+    bare = "regexp_replace(x.n, '[.,]+$', '')"
+    scale = "CASE WHEN " + bare + " <> x.n THEN 1.0 WHEN x.s = ' thousand' THEN 1e3 WHEN x.s = ' million' THEN 1e6 WHEN x.s = ' billion' THEN 1e9 ELSE 1.0 END"
+    value = f"CASE WHEN regexp_matches({bare}, '^([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)([.][0-9]+)?$') THEN TRY_CAST(replace({bare}, ',', '') AS DOUBLE) END"
+    zipped = f"list_transform(list_zip({part(1)}, {part(2)}, {part(3)}), lambda z: {{'w': z[1], 'n': z[2], 's': z[3]}})"
+    return f"list_filter(list_transform({zipped}, lambda x: {{'value': {value} * CAST({scale} AS DOUBLE), 'before': trim(x.w)}}), lambda x: x.value IS NOT NULL)"
 
 
-@query(320, 321, 322, sql=rf"""WITH p AS (SELECT b.doc_id, v.n, regexp_matches({_ASIDE}, '(^|[^0-9.])' || n || '($|[^0-9.]|\.($|[^0-9]))') AS stated,
-  CASE WHEN {_NEAR.format('at least|no fewer than')} THEN 'at least' WHEN {_NEAR.format('more than|over|upwards of')} THEN 'more than' WHEN {_NEAR.format('about|around|nearly|almost|approximately|some|roughly')} THEN 'about' END AS qualifier
-  FROM documents b JOIN (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: CAST(left(x, 9) AS BIGINT))) AS n FROM documents) v ON v.doc_id + 1 = b.doc_id)
-SELECT doc_id, n, stated, qualifier FROM p""")
+_SAID = "CASE " + " ".join(f"WHEN ends_with(' ' || b, ' {words}') THEN '{said}'" for words, said in text.QUALIFIERS.items()) + " END"
+
+
+@query(320, 321, 322, sql=f"""WITH d AS (SELECT doc_id, {_told_sql('text')} AS told FROM documents),
+asked AS (SELECT DISTINCT doc_id + 1 AS doc_id, x.value AS n FROM (SELECT doc_id, unnest(told) AS x FROM d)),
+f AS (SELECT doc_id, n, list_filter(told, lambda x: x.value = n) AS same FROM asked JOIN d USING (doc_id)), g AS (SELECT doc_id, n, len(same) > 0 AS stated, same[1].before AS b FROM f)
+SELECT doc_id, n, stated, {_SAID} AS qualifier FROM g""")
 def stated_figures(spark, sf_dir):
-    """Which figures of the document before it a text states, too, as numbers of their own, and with which qualifier. Null
-    texts state nothing; figures are cut to nine digits."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = F.transform(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1)), lambda x: F.left(x, F.lit(9)).cast("long"))
-    asked = d.select((F.col("doc_id") + 1).alias("doc_id"), F.explode(F.array_distinct(found)).alias("n")).distinct()
-    return d.join(asked, "doc_id").select("doc_id", "n", text.states(F.col("text"), F.col("n")).alias("stated"), text.qualifier_of(F.col("text"), F.col("n")).alias("qualifier"))
+    """Which numbers of the document before it a text tells, too, by their value, and what it says of them. Null texts tell
+    nothing."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.told_numbers(F.col("text")).alias("told"))
+    asked = d.select((F.col("doc_id") + 1).alias("doc_id"), F.explode(F.transform("told", lambda x: x["value"])).alias("n")).distinct()
+    return d.join(asked, "doc_id").select("doc_id", "n", text.states(F.col("told"), F.col("n")).alias("stated"), text.qualifier_of(F.col("told"), F.col("n")).alias("qualifier"))
 
 
 @query(382, sql=f"""WITH {_CARDS}, r AS (SELECT early, late, gap, shared, coalesce({_EVENT}, {_LOOSE}, {_TALK}) AS rule FROM p)
