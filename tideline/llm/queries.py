@@ -18,7 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out():
+    """Rows that nothing is learned from; without an id they are held out, too."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the shingle sets of all documents, the group each is in, and how many it is linked with."""
     found = ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), n=5, percent=80)
     return found.documents.select(F.col("id").alias("doc_id"), F.col("n_tokens").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
 
@@ -48,17 +54,20 @@ URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net"
 
 
 def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, fitting rule and verdict, and the template that its path falls under."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).alias("good"))
     return url_templates.judge(spark, pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What suffix sums over the exact histogram of encoded lengths answer, for every length that occurs."""
     lengths = token_counts.with_length(spark, table(spark, sf_dir, "documents").select("text"))
     return token_counts.answers(token_counts.histogram(lengths))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold windows of benchmark items, of which, and over how many words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(spark, docs, table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -94,22 +103,24 @@ FROM words w LEFT JOIN hit h ON h.doc_id = w.doc_id LEFT JOIN named n ON n.doc_i
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a classifier learned outside the held-out fifth."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     learn = language_id.training_rows
     model = toxicity.fit(spark, learn(docs), learn(labels))
     judged = toxicity.score(spark, docs, model)
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    return judged.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return judged.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by compressors fitted outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(language_id.training_rows(docs))
     judged = language_id.identify(docs.select("doc_id", "text"), model)
-    return judged.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score", "rejected")
+    return judged.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and removed lines of every document, and a digest of what is left."""
     out = dedup_lines(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
 
@@ -136,6 +147,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits among the archive records of pages, with the response that each stands for."""
     found = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     return found.select("record_id", "canonical_url", "response_id", "outcome", F.array_join(lines, "; ").alias("headers"), F.md5("payload").alias("payload_md5"))
@@ -174,6 +186,7 @@ FROM judged
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(spark, docs, weights=(5, 2, 1), most_repeats=3, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -212,6 +225,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(
 
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and how alike neighbours are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return imatch.with_next(spark, docs, imatch.lexicon(spark, docs)).withColumnRenamed("id", "doc_id")
 
