@@ -26,4 +26,4 @@ def query(*covers: int, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tideline.plans import dates, desk, extras, feed, incidents, ledgers, matching, pairs, parsers, places, rewriting, routes, rules, scalars, series, similar, sources, spelling, states, stories, streams, summaries, wording  # noqa: E402, F401
+from tideline.plans import dates, desk, extras, feed, incidents, ledgers, marks, matching, pairs, parsers, places, rewriting, routes, rules, scalars, series, similar, sources, spelling, states, stories, streams, summaries, wording  # noqa: E402, F401

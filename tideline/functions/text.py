@@ -139,7 +139,7 @@ def has_article_path(url: Column) -> Column:
 
 
 def url_day(url: Column) -> Column:
-    return F.try_to_date(F.regexp_extract(url, r"(20[0-9]{2}[/-][01]?[0-9][/-][0-3]?[0-9])", 1), "yyyy/M/d")
+    return F.try_to_date(F.replace(F.regexp_extract(url, r"(20[0-9]{2}[/-][01]?[0-9][/-][0-3]?[0-9])", 1), F.lit("-"), F.lit("/")), "yyyy/M/d")
 
 
 def numbers(c: Column) -> Column:

@@ -61,7 +61,7 @@ def fnv1a(c):
     return F.lower(F.conv(h.cast("string"), 10, 36))
 
 
-@query(197, 209, 313, sql=r"""
+@query(197, 313, sql=r"""
 WITH h AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\.', '') AS host, regexp_replace(url, '[#].*$', '') AS bare FROM pages),
 n AS (SELECT *, regexp_replace(regexp_extract(host, '^(?:m\.|blog\.)?(.*?)\.[a-z]+\.[a-z]+$', 1), '-', ' ', 'g') AS name FROM h),
 o AS (SELECT *, upper(left(name, 1)) || substr(name, 2) AS outlet, list_reduce([CAST(2166136261 AS BIGINT)] || list_transform(list_filter(regexp_split_to_array(bare, ''), lambda x: x <> ''), lambda x: CAST(ascii(x) AS BIGINT)),

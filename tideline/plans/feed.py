@@ -46,7 +46,7 @@ def with_archive(spark, sf_dir):
     return store.with_archive(p.filter("page_id % 2 = 0"), p.filter("page_id % 2 = 1"), ["page_id", "link"])
 
 
-@query(26, 39, 55, 125, 263, sql=f"""WITH {REPORTS}, l AS (
+@query(26, 39, 55, 125, sql=f"""WITH {REPORTS}, l AS (
   SELECT fp, unnest(string_split(text, chr(10))) AS label, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM reports)
 SELECT fp || CASE WHEN k = 1 THEN '' ELSE '-pin-' || CAST(k AS VARCHAR) END AS pin, fp AS parent, md5(label) AS label FROM l WHERE length(trim(label)) > 0""")
 def pins(spark, sf_dir):

@@ -12,7 +12,7 @@ from tideline.plans.places import _KM
 from tideline.session import POSITIONS, positions
 
 
-@query(113, 207, 208, sql=f"""WITH {POSITIONS}, k AS (SELECT a.event_id AS card, b.event_id AS later, b.t AS bt FROM positions a JOIN positions b ON a.event_type = b.event_type AND a.key <> b.key
+@query(113, sql=f"""WITH {POSITIONS}, k AS (SELECT a.event_id AS card, b.event_id AS later, b.t AS bt FROM positions a JOIN positions b ON a.event_type = b.event_type AND a.key <> b.key
   AND b.t - a.t BETWEEN -86400 AND 604800 AND abs(a.lat - b.lat) < 9 AND {_KM.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 900), o AS (SELECT *, row_number() OVER (PARTITION BY card ORDER BY bt, later) AS k FROM k)
 SELECT card, later FROM o WHERE k = 1""")
 def later_candidates(spark, sf_dir):

@@ -77,7 +77,7 @@ def ranked_points(spark, sf_dir):
     return b.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 8").select("source", "fp", "band", "place")
 
 
-@query(396, 379, sql=f"""WITH {POSITIONS}, c AS (SELECT event_id, key, t, sum(speed) OVER (PARTITION BY key ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM positions) SELECT event_id, spent FROM c WHERE spent <= 100""")
+@query(396, sql=f"""WITH {POSITIONS}, c AS (SELECT event_id, key, t, sum(speed) OVER (PARTITION BY key ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS spent FROM positions) SELECT event_id, spent FROM c WHERE spent <= 100""")
 def within_budget(spark, sf_dir):
     """Rows served before a key's budget is spent."""
     w = Window.partitionBy("key").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -72,7 +72,7 @@ def lexicon(spark, sf_dir):
     return w.groupBy("word").agg(F.count("*").alias("df")).filter("df >= 3")
 
 
-@query(251, sql="""SELECT n_name AS name, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS titles FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+@query(sql="""SELECT n_name AS name, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS titles FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def names_and_titles(spark, sf_dir):
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.groupBy(F.col("n_name").alias("name")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("titles"))
