@@ -175,3 +175,18 @@ def test_shapes():
 def test_persian_new_year(spark):
     r = one(spark, p=clock.persian(F.to_date(F.lit("2024-03-20"))), d=clock.from_persian(F.lit(1403), F.lit(1), F.lit(1)))
     assert tuple(r.p) == (1403, 1, 1) and str(r.d) == "2024-03-20"
+
+
+def test_latest_of_others_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab"), rng.randrange(300), rng.randrange(3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, k string, t long, o int")
+    want = {}
+    for i, k, t, o in rows:
+        early = [(u, j) for j, q, u, p in rows if q == k and p != o and t - 40 <= u < t]
+        if early:
+            want[i] = max(early)[1]
+    assert {r.id: r.parent for r in joins.latest_of_others(df, ["k"], "t", "id", "o", 40).collect()} == want and len(want) > 100
+    assert joins.latest_of_others(df.limit(0), ["k"], "t", "id", "o", 40).count() == 0

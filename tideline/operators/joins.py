@@ -37,6 +37,29 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
     return out.withColumns({f"{value}_asof": F.when(fresh, F.col("_s.v")), f"{at}_asof": F.when(fresh, F.col("_s.t"))}).drop("_v", "_t", "_left", "_o", "_s")
 
 
+def latest_of_others(rows: DataFrame, keys: list[str], at: str, id_: str, other: str, within: int) -> DataFrame:
+    """(id, parent): of each row the latest earlier row (by time, then id) of its keys whose `other` differs, at most `within`
+    seconds before, strictly earlier in time. Rows without one are left out.
+
+    No pairs are made. Rows are summed up by second: the last row of a second, and the last whose `other` differs from
+    that one's. Going over the seconds, the latest row is that of the second before; where it is of the row's own kind, the
+    answer is the latest of another kind, which is the second's own second-best or else handed on from the second before.
+    Stretches of time as long as the window keep a busy key from being one sort; a second stands in its own and the next."""
+    per = rows.groupBy(*keys, at, other).agg(F.max(id_).alias(id_)).groupBy(*keys, at).agg(F.array_sort(F.collect_list(F.struct(F.col(id_).alias("id"), F.col(other).alias("o")))).alias("l"))
+    told = lambda x: F.struct(F.col(at).alias("t"), x["id"].alias("id"), x["o"].alias("o"))
+    seconds = per.select(*keys, at, told(F.element_at("l", -1)).alias("b1"), F.when(F.size("l") > 1, told(F.element_at("l", -2))).alias("b2"))
+    b = F.floor(F.col(at) / within)
+    seconds = seconds.withColumn("_b", F.explode(F.array(b, b + 1)))
+    by = Window.partitionBy(*keys, "_b").orderBy(at)
+    last = F.lag("b1").over(by)
+    other_kind = F.coalesce("b2", F.when(last["o"] != F.col("b1.o"), last))
+    seconds = seconds.withColumn("_alt", other_kind).withColumn("alt", F.last("_alt", True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    before = seconds.withColumns({"p1": F.lag("b1").over(by), "p2": F.lag("alt").over(by)}).filter(F.col("_b") == b).select(*keys, at, "p1", "p2")
+    asked = rows.select(id_, at, *keys, other).join(before, [*keys, at])
+    parent = F.when(F.col("p1.o") != F.col(other), F.col("p1")).otherwise(F.col("p2"))
+    return asked.withColumn("_p", parent).filter(F.col(at) - F.col("_p.t") <= within).select(id_, F.col("_p.id").alias("parent"))
+
+
 def cell(lat: Column, lon: Column, degrees: float) -> Column:
     return F.struct(F.floor(lat / degrees).alias("y"), F.floor(lon / degrees).alias("x"))
 

@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 
 from tideline.catalog import query
 from tideline.functions import sets, text
+from tideline.lineage import cut
 from tideline.operators.pairrules import Rule, homes, matches
 from tideline.plans.similar import _HEAD
 from tideline.session import REPORTS, reports
 
+
 def cards(spark, sf_dir):
+    """Reports as slim rows (words, figures, speaker), written once: rules that read them again do not read the texts again."""
     found = F.regexp_extract_all("text", F.lit("0*([0-9]+)"), F.lit(1))  # as they are written: of any length
     r = reports(spark, sf_dir).select("fp", "at", "source", "desk", "summary", "text")
     none = F.array().cast("array<string>")
-    return r.select(
+    slim = r.select(
         "fp", "at", "source", "desk", F.coalesce(text.norm(F.col("summary")), F.lit("")).alias("norm"), F.coalesce(text.head_words(F.col("summary")), none).alias("w"),
         F.coalesce(F.array_distinct(found), none).alias("figures"),
         F.regexp_extract(F.lower("summary"), r"^([\p{L}]+)", 1).alias("speaker"),
     ).withColumn("kind", F.size("figures") > 0)
+    return cut(slim)
 
 
 def _under(*parts, each):

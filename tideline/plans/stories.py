@@ -23,8 +23,7 @@ SELECT event_id, parent FROM b""")
 def follow_ups(spark, sf_dir):
     """The latest earlier row of another key, same kind, within 15 minutes."""
     p = positions(spark, sf_dir).select("event_id", "event_type", "t", "key")
-    both = joins.interval_join(p, p, ["event_type"], "t", 900).filter("t_r < t and key_r <> key")
-    return both.groupBy("event_id").agg(F.max_by("event_id_r", F.struct("t_r", "event_id_r")).alias("parent"))
+    return joins.latest_of_others(p, ["event_type"], "t", "event_id", "key", 900)
 
 
 @query(276, sql=f"""WITH {POSITIONS}, l AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 21600 THEN 0 ELSE 1 END AS new FROM positions WINDOW w AS (PARTITION BY key ORDER BY t, event_id)),
