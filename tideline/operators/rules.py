@@ -1,7 +1,8 @@
 """Ordered rule tables as column expressions: first match, additive scores, multi-label routing, and their evaluation.
 
-A rule table is a list on the driver (tens to hundreds of rules); it compiles to one expression inside whole-stage code, so
-classifying never joins or leaves the JVM.
+A rule table of patterns is a list on the driver (tens to hundreds of rules); it compiles to one expression inside
+whole-stage code, so classifying never joins or leaves the JVM.  A rule table of words is a DataFrame of any size: it meets
+the distinct words of each text by an equi-join (word_rules).
 """
 
 from __future__ import annotations
@@ -48,3 +49,18 @@ def evaluate(judged: DataFrame, truth: str, predicted: str, *by: str) -> DataFra
         F.count("*").alias("n"), share(t & p, t).alias("recall"), share(t & p, p).alias("precision"),
         share(~t & ~p, ~t).alias("specificity"), F.round(F.count_if(t == p) / F.count("*"), 6).alias("exact"),
     )
+
+
+def word_rules(texts: DataFrame, key: str, words: Column, rules: DataFrame) -> DataFrame:
+    """(key, points, kind, labels, n_rules) by a table of rules (word, weight, kind, label, priority): points are the sum of
+    the weights of all rules whose word a text has, each once; kind is that of the first by priority, then word; labels are
+    all their labels, in order. Texts that no rule fits have 0 points, no kind and no labels.
+
+    Texts shuffle by word once; a word that very many texts have is split by AQE, or the table broadcast if its size at run
+    time allows. A key must be unique; null words match nothing, of equal rules of a word each counts."""
+    own = texts.select(key, F.explode(F.array_distinct(words)).alias("word"))
+    hit = own.join(rules.filter("word is not null"), "word").groupBy(key).agg(
+        F.sum("weight").alias("points"), F.min(F.struct("priority", "word", "kind")).alias("m"), F.array_sort(F.array_distinct(F.array_compact(F.collect_list("label")))).alias("labels"), F.count("*").alias("n_rules")
+    )
+    out = texts.select(key).join(hit, key, "left")
+    return out.select(key, F.coalesce("points", F.lit(0)).alias("points"), F.col("m.kind").alias("kind"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"))

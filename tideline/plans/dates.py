@@ -109,3 +109,13 @@ def days_told(spark, sf_dir):
     month, k = F.date_format("then", "MMMM"), F.col("o_orderkey") % 4
     said = F.when(k == 0, F.concat(F.lit("hit on "), F.dayofmonth("then"), F.lit(" "), month)).when(k == 1, F.concat(F.lit("Hit on "), F.upper(month), F.lit(" "), F.dayofmonth("then"), F.lit("th again"))).when(k == 2, "told on 30 February").otherwise("upon 3 May")
     return o.select("o_orderkey", dates.told_day(said, F.col("at")).alias("told"), dates.long_ago(said, F.col("at")).alias("long_ago"))
+
+
+@query(340, 341, sql=f"""WITH {_hijri_sql()}, {_PERSIAN_SQL}
+SELECT p.day, p.y, p.m, p.d, p.day AS back, h.y AS hijri_y, h.m AS hijri_m, CAST(date_diff('day', DATE '1970-01-01', p.day) - h.s + 1 AS INTEGER) AS hijri_d
+FROM persian p JOIN hijri h ON date_diff('day', DATE '1970-01-01', p.day) >= h.s AND date_diff('day', DATE '1970-01-01', p.day) < h.s + h.n""")
+def calendars(spark, sf_dir):
+    """Order days in the Persian calendar, and back again, and in the Umm al-Qura calendar by its table of days."""
+    p = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().withColumn("p", clock.persian(F.col("day")))
+    hijri = dates.calendar_days(spark).filter("cal = 'hijri'").select("day", F.col("y").alias("hijri_y"), F.col("m").alias("hijri_m"), F.col("d").alias("hijri_d"))
+    return p.select("day", "p.*", clock.from_persian(F.col("p.y"), F.col("p.m"), F.col("p.d")).alias("back")).join(hijri, "day")

@@ -60,7 +60,7 @@ def tolls_told(spark, sf_dir):
 _HALF_DAY = 12 * 3600
 
 
-@query(176, 186, 187, sql=f"""WITH {POSITIONS}, c AS (
+@query(176, 187, sql=f"""WITH {POSITIONS}, c AS (
   SELECT event_id, t, key % 40 AS place, {_figures_sql(0)} AS total, {_figures_sql(1)} AS dead, {_figures_sql(2)} AS hurt FROM (SELECT *, key AS user_id FROM positions)
 ), s AS (SELECT *, CASE WHEN len(dead) > 0 AND len(hurt) > 0 THEN list_append(total, dead[1] + hurt[1]) ELSE total END AS sums FROM c)
 SELECT b.event_id, arg_min(a.event_id, (a.t, a.event_id)) AS first, min(a.t) AS first_at FROM s b JOIN s a ON a.place = b.place AND b.t - a.t BETWEEN 0 AND {_HALF_DAY} AND (a.t < b.t OR a.event_id < b.event_id)

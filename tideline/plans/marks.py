@@ -107,7 +107,7 @@ def citations(spark, sf_dir):
 _WITHIN = 24 * 3600
 
 
-@query(413, 419, 421, 181, sql=rf"""WITH {REPORTS}, h AS (SELECT doc_id, at_, desk, list_distinct(list_filter(regexp_split_to_array(lower(summary), '[^\p{{L}}\p{{Nd}}]+'), lambda x: length(x) >= 5)) AS w FROM reports)
+@query(413, 419, 421, sql=rf"""WITH {REPORTS}, h AS (SELECT doc_id, at_, desk, list_distinct(list_filter(regexp_split_to_array(lower(summary), '[^\p{{L}}\p{{Nd}}]+'), lambda x: length(x) >= 5)) AS w FROM reports)
 SELECT b.doc_id, arg_min(a.doc_id, (a.at_, a.doc_id)) AS first, min(a.at_) AS first_at FROM h b JOIN h a ON a.desk = b.desk AND b.at_ - a.at_ BETWEEN 0 AND {_WITHIN} AND (a.at_ < b.at_ OR a.doc_id < b.doc_id) AND len(list_intersect(a.w, b.w)) >= 2 GROUP BY 1""")
 def same_targets(spark, sf_dir):
     """Of each headline the first one of the desk within a day that shares two words of five letters or more with it: the

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.catalog import query
-from tideline.operators.rules import Rule, evaluate, first_match, labels, score, verdict
+from tideline.functions import text
+from tideline.operators.rules import Rule, evaluate, first_match, labels, score, verdict, word_rules
 from tideline.session import REPORTS, reports, table
 
 #: Tables of this engine's own, for the synthetic reports; a deployment brings its own patterns.
@@ -85,3 +86,24 @@ def reading_batches(spark, sf_dir):
 
     w = Window.partitionBy("source").orderBy("doc_id")
     return reports(spark, sf_dir).select("fp", F.floor((F.row_number().over(w) - 1) / 25).alias("batch"))
+
+
+_KIND_OF = "['report', 'claim', 'aside', 'alert', 'tally'][length(word) % 5 + 1]"
+
+
+@query(59, 73, 83, 84, sql=rf"""WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '')) AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word FROM d), r AS (SELECT word, count(*) AS n FROM x GROUP BY word HAVING count(*) BETWEEN 2 AND 60),
+rules AS (SELECT word, CASE WHEN n % 3 = 0 THEN -n ELSE n END AS weight, {_KIND_OF} AS kind, CASE WHEN n % 4 <> 1 THEN 'desk' || (length(word) % 4) END AS label, n AS priority FROM r),
+h AS (SELECT doc_id, CAST(sum(weight) AS BIGINT) AS points, min(struct_pack(p := priority, w := word, k := kind)).k AS kind, list_sort(list_distinct(list(label))) AS labels, count(*) AS n_rules FROM x JOIN rules USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(points, 0) AS points, kind, array_to_string(coalesce(labels, []), ',') AS labels, coalesce(n_rules, 0) AS n_rules FROM d LEFT JOIN h USING (doc_id)""")
+def ruled_by_words(spark, sf_dir):
+    """Points, kind and labels by a table of thousands of word rules, read off the corpus: every word that 2 to 60 documents
+    have is a rule, its weight, kind, label and priority follow from the word and its count."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
+    r = d.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter("n between 2 and 60")
+    kinds = F.array(*(F.lit(k) for k in ("report", "claim", "aside", "alert", "tally")))
+    rules_ = r.select(
+        "word", F.when(F.col("n") % 3 == 0, -F.col("n")).otherwise(F.col("n")).alias("weight"), F.element_at(kinds, (F.length("word") % 5 + 1).cast("int")).alias("kind"),
+        F.when(F.col("n") % 4 != 1, F.concat(F.lit("desk"), F.length("word") % 4)).alias("label"), F.col("n").alias("priority"),
+    )
+    return word_rules(d, "doc_id", F.col("w"), rules_).withColumn("labels", F.array_join("labels", ","))

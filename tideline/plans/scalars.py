@@ -124,14 +124,3 @@ def sphere(spark, sf_dir):
         "event_id", F.round(away, 4).alias("km"), F.round(brg, 4).alias("bearing"), F.round(geo.angle_between(brg, F.lit(90.0)), 4).alias("off_east"),
         F.round(geo.moved(lat, lon, brg, F.col("speed"))[0], 4).alias("moved_lat"), (away < 700).alias("near"),
     )
-
-
-@query(340, 341, sql="""
-WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), n AS (SELECT day, date_diff('day', DATE '1970-01-01', day) + 1075195 AS n FROM d),
-r AS (SELECT day, n, n % 12053 AS r, n % 12053 % 1461 AS q FROM n), k AS (SELECT *, CASE WHEN q > 365 THEN (q - 1) % 365 ELSE q END AS k FROM r)
-SELECT day, CAST(-1595 + 33 * (n // 12053) + 4 * (r // 1461) + CASE WHEN q > 365 THEN (q - 1) // 365 ELSE 0 END AS INTEGER) AS y,
-  CAST(CASE WHEN k < 186 THEN 1 + k // 31 ELSE 7 + (k - 186) // 30 END AS INTEGER) AS m, CAST(CASE WHEN k < 186 THEN 1 + k % 31 ELSE 1 + (k - 186) % 30 END AS INTEGER) AS d, day AS back FROM k""")
-def calendars(spark, sf_dir):
-    """Order days in the Persian calendar, and back again."""
-    p = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct().withColumn("p", clock.persian(F.col("day")))
-    return p.select("day", "p.*", clock.from_persian(F.col("p.y"), F.col("p.m"), F.col("p.d")).alias("back"))

@@ -62,7 +62,7 @@ def control_live(spark, sf_dir):
     return state
 
 
-@query(222, 426)
+@query(222)
 def moving_fronts(spark, sf_dir):
     """Clusters of events after runs at the end of three stretches of two days, a week and two days apart."""
     p = positions(spark, sf_dir).select("lat", "lon", "t", (F.col("event_id") % 7).cast("string").alias("source"), "event_type")
@@ -86,7 +86,7 @@ def tidied_ships(spark, sf_dir):
 _KEYS = [("copy", "md5(text)"), ("title", "nullif(trim(lower(split_part(text, chr(10), 1))), '')"), ("ending", "nullif(trim(lower(split_part(text, chr(10), -1))), '')"), ("source and beginning", "source || left(text, 3)")]
 
 
-@query(397, 398, 402, 407, sql=f"""WITH k AS (SELECT doc_id, {", ".join(f"{sql} AS k{n}" for n, (_, sql) in enumerate(_KEYS))} FROM documents),
+@query(397, 398, 407, sql=f"""WITH k AS (SELECT doc_id, {", ".join(f"{sql} AS k{n}" for n, (_, sql) in enumerate(_KEYS))} FROM documents),
 {", ".join(f"c{n} AS (SELECT k{n}, min(doc_id) AS a{n} FROM k WHERE k{n} IS NOT NULL GROUP BY 1)" for n in range(len(_KEYS)))},
 j AS (SELECT k.*, {", ".join(f"CASE WHEN a{n} < doc_id THEN a{n} END AS f{n}" for n in range(len(_KEYS)))} FROM k {" ".join(f"LEFT JOIN c{n} USING (k{n})" for n in range(len(_KEYS)))})
 SELECT doc_id, coalesce({", ".join(f"f{n}" for n in range(len(_KEYS)))}) AS answer, CASE {" ".join(f"WHEN f{n} IS NOT NULL THEN '{name}'" for n, (name, _) in enumerate(_KEYS))} END AS answered_by,

@@ -70,7 +70,7 @@ def live_positions(spark, sf_dir):
 _WAIT = 3 * 3600
 
 
-@query(379, 384, sql=f"""WITH {POSITIONS}, items AS (SELECT key, event_id AS id, t FROM positions WHERE event_id % 5 <> 0), answers AS (SELECT key, event_id AS id, t FROM positions WHERE event_id % 5 = 0),
+@query(379, sql=f"""WITH {POSITIONS}, items AS (SELECT key, event_id AS id, t FROM positions WHERE event_id % 5 <> 0), answers AS (SELECT key, event_id AS id, t FROM positions WHERE event_id % 5 = 0),
   met AS (SELECT i.key, i.id, i.t, min(struct_pack(t := a.t, id := a.id)) AS first FROM items i LEFT JOIN answers a ON a.key = i.key AND a.t BETWEEN i.t AND i.t + {_WAIT} GROUP BY 1, 2, 3)
   SELECT key, id, t, first.id AS answer, first.t AS answered_at FROM met WHERE t + {_WAIT} + 1 <= (SELECT max(t) FROM positions) - {_LATE}""")
 def wait_queue(spark, sf_dir):
