@@ -112,3 +112,48 @@ def test_merging_fold(spark, block_rows):
     assert {k: (a, b) for k, a in got.items() if a != (b := want[k])} == {}
     assert sum(v[1] for v in want.values()) > 100
     assert merging.merge_cards(df.limit(0), ["g"], within=10).collect() == []
+
+
+def km(a, b):
+    from math import asin, cos, radians, sin, sqrt
+
+    s = sin(radians(b["lat"] - a["lat"]) / 2) ** 2 + cos(radians(a["lat"])) * cos(radians(b["lat"])) * sin(radians(b["lon"] - a["lon"]) / 2) ** 2
+    return 2 * 6371.0 * asin(min(1.0, sqrt(s)))
+
+
+def test_pins(spark):
+    rng = random.Random(14)
+    pins = [{"name": rng.choice(["x", "x", "y"]), "id": i, "day": rng.choice([None, *range(6), *range(6)]), "t": rng.choice([None, rng.randrange(20000)]), "lat": rng.choice([10.0, 10.05, 10.2, None]), "lon": rng.choice([20.0, 20.05]),
+             "link": rng.choice([None, "u", "v"]), "source": rng.choice(["s", "t", "r", None]), "actor": rng.choice([None, "", "a", "b"])} for i in range(220)]
+    df = spark.createDataFrame([tuple(p.values()) for p in pins], "name string, id long, day int, t long, lat double, lon double, link string, source string, actor string").repartition(3)
+    got = {r.id: (r.pin, r.joined, r.lead, set(r.also), r.actor_now) for r in merging.merge_pins(df, "name", block_rows=25).collect()}
+    score = lambda p: (4 if p["t"] is not None else 0) + (2 if p["actor"] else 0)
+    open_, want = [], {}
+
+    def view(members):
+        """A pin by its members in order: its lead, whose place and time count, and the first actor named by lead or others."""
+        lead, actor = members[0], members[0]["actor"] or ""
+        for m in members[1:]:
+            better = score(m) > score(lead) if m is not lead else False
+            actor = (m["actor"] or actor) if better else (actor or m["actor"] or "")
+            lead = m if better else lead
+        return lead, actor
+
+    for p in sorted(pins, key=lambda p: (p["day"] is not None, p["day"] or 0, p["id"])):
+        mine = None
+        if None not in (p["day"], p["lat"], p["lon"]):
+            for m in open_:
+                lead, actor = view(m)
+                if m[0]["name"] != p["name"] or p["day"] - lead["day"] > 1 or (actor and p["actor"] and actor != p["actor"]) or (lead["t"] is not None and p["t"] is not None and abs(lead["t"] - p["t"]) > 10800):
+                    continue
+                if (lead["day"] == p["day"] and km(lead, p) < 15) or (lead["day"] != p["day"] and p["link"] and lead["link"] == p["link"] and km(lead, p) < 10):
+                    mine = m
+                    break
+            if mine is None:
+                open_.append([p])
+            else:
+                mine.append(p)
+        lead, actor = view(mine or [p])
+        want[p["id"]] = ((mine or [p])[0]["id"], mine is not None, lead["id"], actor or None)
+    assert {k: (v[0], v[1], v[2], v[4]) for k, v in got.items()} == want and sum(v[1] for v in want.values()) > 30
+    assert all(s is not None for v in got.values() for s in v[3])

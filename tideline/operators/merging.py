@@ -71,3 +71,62 @@ def merging(within: int, neighbours: frozenset[tuple[str, str]], general: str, m
 def merge_cards(cards: DataFrame, group: list[str], *, within: int, neighbours: frozenset[tuple[str, str]] = frozenset(), general: str = "ship", most_also: int = 12, block_rows: int = 50_000) -> DataFrame:
     """cards with the home each makes or joins, and the home as it is after that."""
     return fold_in_order(cards, group, ["t", "id"], merging(within, neighbours, general, most_also), MERGED, block_rows=block_rows).drop("_state")
+
+
+# Pins
+
+PINNED = "pin long, joined boolean, lead long, also array<string>, actor_now string, score_now int"
+
+
+def pinning(km_one_day: float, km_one_link: float, seconds: int) -> Step:
+    """Pins of one place name: a pin joins the first open one of its day within km_one_day, or of the day before with the same
+    link within km_one_link; not if both are timed and further apart than `seconds`, nor if both name different actors."""
+    from math import asin, cos, radians, sin, sqrt
+
+    def away(a: dict, b: dict) -> float:
+        x, y = sin(radians(b["lat"] - a["lat"]) / 2), sin(radians(b["lon"] - a["lon"]) / 2)
+        return 2 * 6371.0 * asin(min(1.0, sqrt(x * x + cos(radians(a["lat"])) * cos(radians(b["lat"])) * y * y)))
+
+    def fits(p: dict, q: dict) -> bool:
+        if p["actor"] and q["actor"] and p["actor"] != q["actor"]:
+            return False
+        if p["t"] is not None and q["t"] is not None and abs(p["t"] - q["t"]) > seconds:
+            return False
+        d = away(p, q)
+        return (p["day"] == q["day"] and d < km_one_day) or (p["day"] != q["day"] and p["link"] is not None and p["link"] == q["link"] and d < km_one_link)
+
+    def step(state, row):
+        own = {k: row[k] for k in ("id", "day", "t", "lat", "lon", "link", "source")} | {"actor": row["actor"] or "", "also": []}
+        own["score"] = (4 if row["t"] is not None else 0) + (2 if own["actor"] else 0)
+        own["pin"] = row["id"]
+        if None in (row["day"], row["lat"], row["lon"]):
+            return state, {"pin": row["id"], "joined": False, "lead": row["id"], "also": [], "actor_now": own["actor"] or None, "score_now": own["score"]}
+        open_ = [p for p in state or [] if row["day"] - p["day"] <= 1]
+        at = next((k for k, p in enumerate(open_) if fits(p, own)), None)
+        if at is None:
+            open_.append(own)
+            now = own
+        else:
+            was = open_[at]
+            keep, drop = (own, was) if own["score"] > was["score"] else (was, own)
+            told = [s for s in [*was["also"], drop["source"]] if s is not None and s != keep["source"]]
+            now = {**keep, "pin": was["pin"], "also": list(dict.fromkeys(told)), "actor": keep["actor"] or drop["actor"]}
+            open_ = [*open_[:at], now, *open_[at + 1 :]]
+        return open_, {"pin": now["pin"], "joined": at is not None, "lead": now["id"], "also": now["also"], "actor_now": now["actor"] or None, "score_now": now["score"]}
+
+    return step
+
+
+def merge_pins(pins: DataFrame, name: str, *, km_one_day: float = 15.0, km_one_link: float = 10.0, seconds: int = 3 * 3600, block_rows: int = 50_000) -> DataFrame:
+    """pins (name, id, day as a number, t or null, lat, lon, link, source, actor) with the pin each makes or joins, and that pin
+    as it is then: the row that leads it (timed rows and such that name an actor go before others), the other sources, the
+    actor. Pins come by day and id; a pin without day or place stands for itself."""
+    return fold_in_order(pins, [name], ["day", "id"], pinning(km_one_day, km_one_link, seconds), PINNED, block_rows=block_rows).drop("_state")
+
+
+def merge_groups(groups: DataFrame, other: DataFrame) -> DataFrame:
+    """(id, term): of each group (rows id, term) its own terms and all terms of the groups of `other` that share one with it.
+    Equi-joins on terms; null terms are none; a term counts once."""
+    own, more = groups.select("id", "term").filter("term is not null").distinct(), other.select("id", "term").filter("term is not null").distinct()
+    met = own.join(more.toDF("other", "term"), "term").select("id", "other").distinct()
+    return own.unionByName(met.join(more.toDF("other", "term"), "other").select("id", "term")).distinct()

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.catalog import query
-from tideline.operators.merging import merge_cards
+from tideline.functions import text
+from tideline.operators.merging import merge_cards, merge_groups, merge_pins
 from tideline.operators.ordered_fold import incident_ledger, running_figures
-from tideline.session import reports, table
+from tideline.session import positions, reports, table
 
 _VALUE = "CAST(floor(o_totalprice / CASE o_orderkey % 4 WHEN 0 THEN 1000 WHEN 1 THEN 100 WHEN 2 THEN 10 ELSE 1 END) AS BIGINT)"
 
@@ -105,3 +106,24 @@ def cards(spark, sf_dir):
 def merged_cards(spark, sf_dir):
     """Cards folded into homes that change as copies join."""
     return merge_cards(cards(spark, sf_dir), ["desk"], within=12 * 3600, neighbours=NEIGHBOURS).withColumnRenamed("id", "doc_id").select("doc_id", "home", "joined", "lead", "also", "kind_now", "sea_now", "name_now", "cause_now")
+
+
+@query(422)
+def merged_pins(spark, sf_dir):
+    """Events as pins of places: one pin an event told several times, with its best row in the lead."""
+    i = F.col("event_id")
+    p = positions(spark, sf_dir).select(
+        i.alias("id"), F.concat(F.lit("Place "), F.col("key") % 40).alias("name"), F.floor(F.col("t") / 86400).alias("day"), F.when(i % 4 != 0, F.col("t")).alias("t"),
+        (F.col("key") % 40 + i % 7 * 0.03).alias("lat"), (F.col("key") % 40 * 2.0 + i % 5 * 0.02).alias("lon"), F.concat(F.lit("u"), i % 9).alias("link"), F.concat(F.lit("s"), i % 6).alias("source"), F.when(i % 3 == 0, F.concat(F.lit("a"), i % 2)).alias("actor"),
+    )
+    return merge_pins(p, "name").withColumnRenamed("id", "event_id").select("event_id", "pin", "joined", "lead", "also", "actor_now", "score_now")
+
+
+@query(293, sql=r"""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(summary), '[^\p{L}\p{Nd}]+'), lambda x: length(x) >= 7))) AS term FROM (SELECT doc_id, split_part(text, chr(10), 1) AS summary FROM documents)),
+v AS (SELECT DISTINCT left(term, 5) || right(term, 1) AS id, term FROM w), m AS (SELECT DISTINCT w.doc_id, v.id FROM w JOIN v USING (term))
+SELECT doc_id, term FROM w UNION SELECT doc_id, v.term FROM m JOIN v USING (id)""")
+def widened_ideas(spark, sf_dir):
+    """Words of a headline with all words that are grouped with one of them: same beginning, same end."""
+    w = reports(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode(F.filter(text.words(F.col("summary")), lambda x: F.length(x) >= 7)).alias("term"))
+    groups = w.select(F.concat(F.left("term", F.lit(5)), F.right("term", F.lit(1))).alias("id"), "term")
+    return merge_groups(w, groups).withColumnRenamed("id", "doc_id")
