@@ -190,3 +190,27 @@ def test_latest_of_others_against_all_pairs(spark):
             want[i] = max(early)[1]
     assert {r.id: r.parent for r in joins.latest_of_others(df, ["k"], "t", "id", "o", 40).collect()} == want and len(want) > 100
     assert joins.latest_of_others(df.limit(0), ["k"], "t", "id", "o", 40).count() == 0
+
+
+def test_numbers_by_stretches(spark):
+    from tideline.operators import ordered
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice([None, rng.randrange(-50, 200)])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, k string, at long")
+    for falling in (False, True):
+        order = sorted(rows, key=lambda r: ((r[2] is not None) != falling, (-1 if falling else 1) * (r[2] or 0), r[0]))
+        seen, want = {}, {}
+        for i, k, _ in order:
+            want[i] = seen[k] = seen.get(k, 0) + 1
+        assert {r.id: r.n for r in ordered.numbered(df, ["k"], "at", ["id"], "n", width=30, falling=falling).collect()} == want
+
+
+def test_last_greater(spark):
+    from tideline.operators import ordered
+
+    rng = random.Random(3)
+    rows = [(k, t, rng.choice([None, rng.randrange(30)])) for k in "ab" for t in rng.sample(range(300), 80)]
+    out = ordered.previous_greater(spark.createDataFrame(rows, "k string, t long, v long"), ["k"], "t", "v", width=20)
+    want = {(k, t): max((u for q, u, w in rows if q == k and u < t and w is not None and v is not None and w > v), default=None) for k, t, v in rows}
+    assert {(r.k, r.t): r.since for r in out.collect()} == want

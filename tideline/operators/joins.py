@@ -15,7 +15,8 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, b
     """Pairs with equal keys and right time in [left time - back, left time + ahead] (seconds).
 
     Time is cut into buckets as long as the interval; the left row goes to the buckets it reaches (two or three), so the
-    join is an equi-join on key and bucket and a busy key is spread over time.
+    join is an equi-join on key and bucket and a busy key is spread over time. Rows without a key or time pair with nothing;
+    repeated rows pair each; an empty side gives no pairs.
     """
     size = max(1, back + ahead)
     r = right.select(*(F.col(k) for k in keys), *(F.col(c).alias(c + suffix) for c in right.columns if c not in keys)).withColumn("_b", F.floor(F.col(at + suffix) / size))
@@ -26,7 +27,8 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, b
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, *, within: int | None = None, strict: bool = False) -> DataFrame:
     """left with the value of the latest right row of its key at or before its time (strictly before with `strict`): one
-    union, one sort by key and time, no join."""
+    union, one sort by key and time, no join. Of right rows at one time any one counts, so let times of a key be distinct; left
+    rows are kept as they are, repeated or without a key (null keys meet null keys); without a right row the columns are null."""
     tag = F.lit(1 if strict else 0)
     both = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_t": F.lit(None).cast("long"), "_left": F.lit(True), "_o": 1 - tag})
     more = right.select(*keys, at, F.col(value).alias("_v"), F.col(at).cast("long").alias("_t"), F.lit(False).alias("_left"), tag.alias("_o"))
@@ -121,7 +123,8 @@ def dictionary_matches(texts: DataFrame, key: str, words: Column, dictionary: Da
 
 
 def overlay(base: DataFrame, over: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer merge in which the second table's values go first, cell by cell."""
+    """Full outer merge in which the second table's values go first, cell by cell; its nulls leave the first one's value. Keys
+    are to be unique on either side (repeated ones multiply); rows with a null key stay apart, on both sides."""
     cells = [c for c in base.columns if c not in keys]
     o = over.select(*keys, *(F.col(c).alias(f"_{c}") for c in cells))
     return base.join(o, keys, "full_outer").select(*keys, *(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in cells))

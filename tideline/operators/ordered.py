@@ -59,3 +59,19 @@ def previous_greater(series: DataFrame, keys: list[str], at: str, value: str, wi
     asked = here.withColumn("_b", F.when(F.col("_near").isNull(), far)).drop("_ms")
     out = asked.join(blocks.drop("_m"), [*keys, "_b"], "left")
     return out.select(*series.columns, F.coalesce("_near", last("_l", lambda p: p["v"] > F.col(value))).alias("since"))
+
+
+def numbered(rows: DataFrame, keys: list[str], at: str, ties: list[str], name: str, *, width: int, falling: bool = False) -> DataFrame:
+    """rows with their number (from 1) among those of their keys, by a whole-number column and then the ties.
+
+    A key's rows are numbered by stretches of `width` of that column: a row's number is its place in its stretch plus the rows
+    of the stretches before, so a key that very many rows have is no single sort. Nulls come first (last if falling); rows
+    that are equal in all of it are numbered in any order."""
+    first = F.desc_nulls_last if falling else F.asc_nulls_first
+    cut = rows.withColumn("_b", F.floor(F.col(at) / width))
+    inside = Window.partitionBy(*keys, "_b").orderBy(first(at), *ties)
+    before = Window.partitionBy(*keys).orderBy(first("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    starts = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_m")).withColumn("_start", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_b")]
+    out = cut.withColumn("_i", F.row_number().over(inside)).alias("l").join(starts.alias("r"), same)
+    return out.select(*(F.col(f"l.{c}") for c in rows.columns), (F.col("_start") + F.col("_i")).cast("long").alias(name))

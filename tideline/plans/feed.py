@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.catalog import query
+from tideline.operators.ordered import numbered
 from tideline.functions import text
 from tideline.operators import store
 from tideline.plans.scalars import _ARGS, _LINK
@@ -88,8 +89,8 @@ def exploded_blob(spark, sf_dir):
 @query(282, sql=f"""WITH {REPORTS} SELECT fp, row_number() OVER (PARTITION BY source ORDER BY at_ DESC, fp) AS turn, source FROM reports""")
 def interleaved(spark, sf_dir):
     """Round robin over sources, newest first inside each; rows come out in serving order."""
-    w = Window.partitionBy("source").orderBy(F.desc("at"), "fp")
-    return reports(spark, sf_dir).select("fp", F.row_number().over(w).cast("long").alias("turn"), "source").orderBy("turn", "source")
+    r = numbered(reports(spark, sf_dir).select("fp", "source", "at"), ["source"], "at", ["fp"], "turn", width=14 * 86400, falling=True)
+    return r.select("fp", "turn", "source").orderBy("turn", "source")
 
 
 @query(289, 290, 298, 294, 272, sql="""

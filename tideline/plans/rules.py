@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.catalog import query
 from tideline.functions import text
+from tideline.operators.ordered import numbered
 from tideline.operators.rules import Rule, evaluate, first_match, labels, score, verdict, word_rules
 from tideline.session import REPORTS, reports, table
 
@@ -82,10 +83,8 @@ def turned_away(spark, sf_dir):
 @query(65, 385, sql=f"""WITH {REPORTS} SELECT fp, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 25) AS BIGINT) AS batch FROM reports""")
 def reading_batches(spark, sf_dir):
     """Batches of 25 a source, as a model would be asked."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return reports(spark, sf_dir).select("fp", F.floor((F.row_number().over(w) - 1) / 25).alias("batch"))
+    r = numbered(reports(spark, sf_dir).select("fp", "source", "doc_id"), ["source"], "doc_id", ["fp"], "n", width=5_000)
+    return r.select("fp", F.floor((F.col("n") - 1) / 25).alias("batch"))
 
 
 _KIND_OF = "['report', 'claim', 'aside', 'alert', 'tally'][length(word) % 5 + 1]"
