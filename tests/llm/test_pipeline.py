@@ -1,7 +1,6 @@
 """The pipeline, stage by stage and as a whole, against a plain version."""
 
 import hashlib
-import math
 import random
 
 import pytest
@@ -89,12 +88,19 @@ def test_each_stage_and_the_whole(spark, corpus):
         sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
         order.setdefault(r.source, []).append((hashlib.md5(f"mix:{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest()}".encode()).hexdigest(), r.doc_id, len(r.text.split())))
     goal = fill(sizes, (5, 2, 1))
+    copies = []
     for source, queue in order.items():
-        start = 0
-        for _, i, n in sorted(queue):
-            taken = sum(max(0, min(n, math.floor(mix[i].target) - start - sizes[source] * k)) for k in range(3))
-            assert (mix[i].size, mix[i].taken) == (n, taken) and abs(mix[i].target - goal[source]) < 1e-6
-            start += n
+        done = 0
+        for turn in range(3):
+            for k, i, n in sorted(queue):
+                done += n
+                copies.append((done / mix[i].target, source is None, source or "", k, n, turn, i))
+                assert mix[i].size == n and abs(mix[i].target - goal[source]) < 1e-6
+    left, taken = sum(sizes.values()), dict.fromkeys(mix, 0)
+    for *_, n, _, i in sorted(copies):
+        taken[i] += min(n, left)
+        left -= min(n, left)
+    assert {i: r.taken for i, r in mix.items()} == taken and left == 0
     assert {r.doc_id: tuple(r) for r in corpus_pipeline.run(spark, folder).collect()} == {i: tuple(r) for i, r in mix.items()}
     assert words(clean[55].text) and "changed" not in clean[55].text
 
