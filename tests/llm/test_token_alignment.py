@@ -41,10 +41,14 @@ def plain(own):
             while j < len(b) and sb[j] < ea[i]:
                 links.append((a[i], b[j]))
                 j += 1
-        groups, before = [], -1
+        groups, i, j = [], 0, 0
         for end in sorted({*ea} & {*eb}):
-            groups.append(",".join(str(x) for x, e in zip(a, ea) if before < e <= end) + "|" + ",".join(str(x) for x, e in zip(b, eb) if before < e <= end))
-            before = end
+            k, m = i, j
+            while i < len(a) and ea[i] <= end:
+                i += 1
+            while j < len(b) and eb[j] <= end:
+                j += 1
+            groups.append(",".join(map(str, a[k:i])) + "|" + ",".join(map(str, b[m:j])))
         return a, b, sorted(links), groups
 
     return aligned

@@ -326,7 +326,7 @@ def cross_align(spark: SparkSession, docs: DataFrame, *, text_col: str = "text",
     best = counts.groupBy(a_of.alias("a")).agg(F.max("docs").alias("most"))  # a row an id of A at most
     # Of the powers of two the least that no more than most_common pairs reach: 63 rows at most.
     sizes = sorted(((r["k"], r["n"]) for r in counts.groupBy(F.floor(F.log2("docs")).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, many = 63, 0
+    least, many = 62, 0  # no pair is in as many documents
     for k, n in sizes:
         many += n
         if many > most_common:
