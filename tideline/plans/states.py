@@ -64,12 +64,12 @@ def control_live(spark, sf_dir):
 
 @query(222)
 def moving_fronts(spark, sf_dir):
-    """Clusters of events after runs at the end of three stretches of two days, a week and two days apart."""
+    """Clusters of events after runs at the end of three stretches of four days, two days and a week apart."""
     p = positions(spark, sf_dir).select("lat", "lon", "t", (F.col("event_id") % 7).cast("string").alias("source"), "event_type")
     reports = p.select("lat", "lon", "t", "source", F.col("event_type").alias("name"))
     open_ = spark.createDataFrame([], OPEN)
     for day in (4, 6, 13):
-        open_ = cut(move_clusters(open_, reports, _START + day * 86400, radius=60.0))
+        open_ = cut(move_clusters(open_, reports, _START + day * 86400, radius=120.0, window=4 * 86400))
     return open_
 
 
