@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tideline.functions import text
 from tideline.operators import joins
 from tideline.operators.pairrules import Rule, homes, matches
+from tideline.plans.pairs import event, talk
 from tideline.sources import tabular
 
 
@@ -36,3 +37,19 @@ def test_parsers_on_odd_documents(spark):
 def test_names_that_sound_alike(spark):
     d = spark.createDataFrame([("arakchi", "araghchi"), ("Mahmoud", "Mahmud"), ("hussein", "husein")], "a string, b string")
     assert all(r.same for r in d.select((text.sound(F.col("a")) == text.sound(F.col("b"))).alias("same")).collect())
+
+
+LONG = "transform(sequence(1, 300), x -> concat('word', x)) as w, array('7') as figures, 'd' as desk, 's' as source, 'same news' as norm, 'word' as speaker"
+
+
+def test_long_headlines_stand_in_few_blocks(spark):
+    """A report is repeated for its figures at most, not for every word with all its words."""
+    one = spark.sql(f"SELECT {LONG}")
+    assert one.select(*(F.size(rule.keys) for rule in event() + talk())).first() == (1,) * 5
+
+
+def test_other_columns_of_a_pair(spark):
+    c = spark.createDataFrame([("a", 0, ["x", "y"]), ("b", 5, ["y", "z"]), ("c", 9, None)], "fp string, at long, w array<string>")
+    rule = Rule("any", 10, F.array(F.lit("k")), F.col("at") >= 0)
+    got = {tuple(r) for r in matches(c, [rule], then=F.col("at_e"), hits=F.size(F.array_intersect("w", "w_e"))).select("early", "late", "then", "hits").collect()}
+    assert got == {("a", "b", 0, 1), ("a", "c", 0, None), ("b", "c", 5, None)}
