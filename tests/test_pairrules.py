@@ -1,10 +1,12 @@
 """Ordered pair rules, map joins with keys and times, and parsers on odd input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import text
 from tideline.operators import joins
 from tideline.operators.pairrules import Rule, homes, matches
+from tideline.plans import wording
 from tideline.plans.pairs import event, talk
 from tideline.sources import tabular
 
@@ -53,3 +55,12 @@ def test_other_columns_of_a_pair(spark):
     rule = Rule("any", 10, F.array(F.lit("k")), F.col("at") >= 0)
     got = {tuple(r) for r in matches(c, [rule], then=F.col("at_e"), hits=F.size(F.array_intersect("w", "w_e"))).select("early", "late", "then", "hits").collect()}
     assert got == {("a", "b", 0, 1), ("a", "c", 0, None), ("b", "c", 5, None)}
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_tellers_stand_in_few_blocks(spark, sf_dir, monkeypatch, least):
+    rules = []
+    monkeypatch.setattr(wording, "matches", lambda c, r, **more: rules.extend(r) or matches(c, r, **more))
+    wording._tellers(spark, sf_dir, least, F.lit(True))
+    one = spark.sql(f"SELECT {LONG}")
+    assert [one.select(F.size(r.keys)).first()[0] for r in rules] == [1]
