@@ -162,3 +162,8 @@ def test_first_near_others(spark):
         if found:
             want[i] = min(found)[1]
     assert want and got == set(want.items())
+
+
+def test_copies_of_a_place_are_asked_for_once(spark):
+    p = spark.createDataFrame([(3, 1.0, 2.0), (1, 1.0, 2.0), (2, 1.0, None), (4, 1.0, None)], "id int, lat double, lon double")
+    assert {tuple(r) for r in joins.at_once(p, ["lat", "lon"], "id").select("id", "n").collect()} == {(1, 2), (2, 1), (4, 1)}
