@@ -167,3 +167,13 @@ def test_first_near_others(spark):
 def test_copies_of_a_place_are_asked_for_once(spark):
     p = spark.createDataFrame([(3, 1.0, 2.0), (1, 1.0, 2.0), (2, 1.0, None), (4, 1.0, None)], "id int, lat double, lon double")
     assert {tuple(r) for r in joins.at_once(p, ["lat", "lon"], "id").select("id", "n").collect()} == {(1, 2), (2, 1), (4, 1)}
+
+
+def broadcasts(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Broadcast" in plan
+
+
+@pytest.mark.parametrize("name", ["same_footage", "spatial_twins"])
+def test_map_joins_send_no_table_through_the_driver(spark, sf_dir, name):
+    assert not broadcasts(catalog.QUERIES[name](spark, sf_dir))
