@@ -167,6 +167,8 @@ def test_first_near_others(spark):
 def test_copies_of_a_place_are_asked_for_once(spark):
     p = spark.createDataFrame([(3, 1.0, 2.0), (1, 1.0, 2.0), (2, 1.0, None), (4, 1.0, None)], "id int, lat double, lon double")
     assert {tuple(r) for r in joins.at_once(p, ["lat", "lon"], "id").select("id", "n").collect()} == {(1, 2), (2, 1), (4, 1)}
+    ports = spark.createDataFrame([("b", 1.0, 2.0), ("a", 1.0, 2.0), ("c", 1.0, 3.0)], "name string, lat double, lon double")
+    assert {(r.id, r.name, r.km) for r in joins.nearest(p, ports, "id", 50, "name").collect()} == {(1, "a", 0.0), (3, "a", 0.0), (2, None, None), (4, None, None)}
 
 
 def broadcasts(df):
