@@ -150,6 +150,16 @@ def test_spellings_meet(spark):
     assert one(spark, x=text.latin_digits(F.lit("۱۲٣ Kیک"))).x == "123 kيك"
 
 
+def broadcasts(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Broadcast" in plan
+
+
+@pytest.mark.parametrize("name", ["same_footage", "spatial_twins"])
+def test_map_joins_send_no_table_through_the_driver(spark, sf_dir, name):
+    assert not broadcasts(catalog.QUERIES[name](spark, sf_dir))
+
+
 def test_first_near_others(spark):
     day = 86_400
     rows = [(1, "a", 1, 0, 10.0, 179.9), (2, "a", 1, 5, 10.0, -179.9), (3, "a", 2, 6 * day, 10.0, -179.9), (4, "a", 2, 9 * day, 10.0, 179.9), (5, "b", 3, 5, 10.0, 179.9),
@@ -171,11 +181,14 @@ def test_copies_of_a_place_are_asked_for_once(spark):
     assert {(r.id, r.name, r.km) for r in joins.nearest(p, ports, "id", 50, "name").collect()} == {(1, "a", 0.0), (3, "a", 0.0), (2, None, None), (4, None, None)}
 
 
-def broadcasts(df):
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return "Broadcast" in plan
-
-
-@pytest.mark.parametrize("name", ["same_footage", "spatial_twins"])
-def test_map_joins_send_no_table_through_the_driver(spark, sf_dir, name):
-    assert not broadcasts(catalog.QUERIES[name](spark, sf_dir))
+def test_spaced_ports(spark, tmp_path):
+    """Against a plain fold over names; ports of one place, names that stand at two places, repeated rows."""
+    keys = [*range(1, 40), *range(1000, 1040), 1, 2, 2000, 3000, 6000]
+    rows = [(k, f"n{k % 1000 if k < 1010 else k:04d}") for k in keys]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    places = [(name, k % 100 - 50 + 0.5, k * 7 % 300 - 150 + 0.5) for k, name in rows]
+    stay = []
+    for name in sorted({p[0] for p in places}):
+        if all(km(*p[1:], *q[1:]) > 600 for p in places if p[0] == name for q in places if q[0] in stay):
+            stay.append(name)
+    assert sorted(tuple(r) for r in catalog.QUERIES["spaced_ports"](spark, str(tmp_path)).collect()) == sorted(p for p in places if p[0] in stay)

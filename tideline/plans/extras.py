@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.catalog import query
 from tideline.functions import shapes, text
+from tideline.lineage import cut
 from tideline.operators import fold, joins
 from tideline.plans.places import ports
 from tideline.session import POSITIONS, REPORTS, positions, reports, table
@@ -23,17 +24,21 @@ def stray_pins(spark, sf_dir):
     return k.join(g, "host").filter(~((F.col("pins") >= 2) & F.col("derived") & F.col("named"))).select("page_id", "host")
 
 
-def close_ports(spark, sf_dir, apart=600.0):
-    p = ports(spark, sf_dir)
+def close(p, apart=600.0):
     return joins.near(p, p, apart).filter("name_r < name").select(F.col("name_r").alias("early"), F.col("name").alias("late"))
 
 
 @query(274, 415, 429, 222)
 def spaced_ports(spark, sf_dir):
     """Greedy spacing: in order of name, a port within 600 km of one that stays is left out."""
-    pairs = close_ports(spark, sf_dir)
-    gone = fold.greedy_homes(pairs).select(F.col("late").alias("name")).distinct()
-    return ports(spark, sf_dir).join(gone, "name", "left_anti")
+    p = ports(spark, sf_dir)
+    # Of names that stand at one place alone, all but the least there go, whoever stays: it is taken by the one that takes the
+    # least, or by the least itself. So they need no pairs.
+    at = p.distinct().groupBy("name").agg(F.count("*").alias("places"), F.min(F.struct("lat", "lon")).alias("at")).filter("places = 1 and name is not null and at.lat is not null and at.lon is not null")
+    least = at.groupBy("at").agg(F.min("name").alias("least"))
+    beside = cut(at.join(least, "at").filter("name > least").select("name"))
+    gone = fold.greedy_homes(close(p.join(beside, "name", "left_anti").distinct())).select(F.col("late").alias("name"))
+    return p.join(beside.unionByName(gone).distinct(), "name", "left_anti")
 
 
 _FIG = r"list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: TRY_CAST(x AS DECIMAL(38, 0)))"
