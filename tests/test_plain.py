@@ -192,3 +192,13 @@ def test_spaced_ports(spark, tmp_path):
         if all(km(*p[1:], *q[1:]) > 600 for p in places if p[0] == name for q in places if q[0] in stay):
             stay.append(name)
     assert sorted(tuple(r) for r in catalog.QUERIES["spaced_ports"](spark, str(tmp_path)).collect()) == sorted(p for p in places if p[0] in stay)
+
+
+def test_first_letters_that_become_several(spark, tmp_path):
+    letters = [chr(n) for n in range(0x10000) if len(chr(n).upper()) > 1]
+    spark.createDataFrame([(i, f"{c}tadt", "de", "s", 5) for i, c in enumerate([*letters, "é", "1", "ж", ""])], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(con.execute(f"SELECT fp, sentence FROM ({catalog.ORACLES['text_keys']})").fetchall())
+    got = {r.fp: r.sentence for r in catalog.QUERIES["text_keys"](spark, str(tmp_path)).collect()}
+    assert got == want and "SStadt" in got.values()

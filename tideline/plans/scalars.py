@@ -13,6 +13,10 @@ _NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[''’]', '', 'g'), '[
 _SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 
+#: A first letter as a capital, letters that become several ones (ß: SS) too, which DuckDB's upper maps one to one or not at all.
+_CAPITAL = "CASE left(norm, 1) " + " ".join(f"WHEN '{chr(n)}' THEN '{chr(n).upper()}'" for n in range(0x10000) if len(chr(n).upper()) > 1) + " ELSE upper(left(norm, 1)) END"
+
+
 @query(138, 143, 144, 152, 195, 196, 199, 299, 311, 325, 326, 327, sql=rf"""
 WITH {REPORTS}, k AS (
   SELECT fp, summary, {_NORM.format('summary')} AS norm, trim(regexp_replace(regexp_replace(lower(regexp_replace(text, 'https?://[^\s]+|@[A-Za-z0-9_]+', ' ', 'g')), '[''’]', '', 'g'), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')) AS bare,
@@ -22,7 +26,7 @@ WITH {REPORTS}, k AS (
 SELECT fp, norm, array_to_string(w[1:14], ' ') AS title_key, left(regexp_replace(regexp_replace(lower(summary), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 72) AS slug,
   CASE WHEN length(bare) < 40 THEN '' ELSE md5(left(bare, 200)) END AS content_key,
   CASE WHEN length(one) <= 140 THEN one ELSE regexp_replace(left(one, 139), ' [^ ]*$', '') || '…' END AS headline,
-  upper(left(norm, 1)) || lower(substr(norm, 2)) AS sentence
+  {_CAPITAL} || lower(substr(norm, 2)) AS sentence
 FROM k""")
 def text_keys(spark, sf_dir):
     r = reports(spark, sf_dir)
