@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import matching, rewriting
+from tideline.plans.rewriting import _RUN, _STRAIGHT, KINDS, LETTERS
 
 
 def plain(text, entries):
@@ -85,3 +86,13 @@ def test_tiers(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: (r.place, r.tier) for r in matching.tiered_match(df, "t", spark.createDataFrame(names, "place int, alias string, code string")).collect()}
     assert {i: (texts[i], g, want(texts[i])) for i, g in got.items() if g != want(texts[i])} == {} and len({g[1] for g in got.values()}) > 6
+
+
+def test_very_long_runs_and_words(spark):
+    """Java reads a run by recursion unless it is told never to step back."""
+    texts = ["für " * 50_000 + "x", "a" * 50_000, "größe über äöü 1äb, Äb äb", "", None, "éla für"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    new = {r.i: r.n for r in d.select("i", rewriting.respell_runs(F.col("t"), _STRAIGHT, KINDS, LETTERS).alias("n")).collect()}
+    short = d.filter("i > 1").select("i", rewriting.respell_runs(F.col("t"), _RUN, KINDS, LETTERS).alias("n"))
+    assert {r.i: r.n for r in short.collect()} == {i: n for i, n in new.items() if i > 1} and new[5] == "Fuer city"
+    assert new[0] == "Fuer " * 50_000 + "x" and new[1] == texts[1]

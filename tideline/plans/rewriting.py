@@ -34,6 +34,8 @@ def respelled_texts(spark, sf_dir):
 LETTERS = [("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("é", "e"), ("è", "e"), ("ê", "e"), ("ç", "s"), ("ñ", "ny"), ("í", "i"), ("ó", "o"), ("á", "a"), ("ú", "u")]
 KINDS = {"éla": "city", "èle": "port", "äer": "bridge", "über": "pass", "ñde": "valley"}
 _RUN = r"[A-Za-z]*[À-ÿ][A-Za-zÀ-ÿ]*(?: [A-Za-z]*[À-ÿ][A-Za-zÀ-ÿ]*)*"
+#: The same runs for Java's regular expressions, which read a long run by recursion unless it never steps back.
+_STRAIGHT = r"(?<![A-Za-zÀ-ÿ])[A-Za-z]*+[À-ÿ][A-Za-zÀ-ÿ]*+(?: [A-Za-z]*+[À-ÿ][A-Za-zÀ-ÿ]*+)*+"
 
 
 def _spelt_sql(word: str) -> str:
@@ -66,5 +68,5 @@ FROM documents d LEFT JOIN texts USING (doc_id) LEFT JOIN keyed USING (doc_id)""
 def anglicised(spark, sf_dir):
     """Documents whose words in other letters are spelt in A-Z, and the sound of their first word."""
     d = table(spark, sf_dir, "documents")
-    new = respell_runs(F.col("text"), _RUN, KINDS, LETTERS)
+    new = respell_runs(F.col("text"), _STRAIGHT, KINDS, LETTERS)
     return d.select("doc_id", new.alias("t"), sound_key(F.split_part("text", F.lit(" "), F.lit(1))).alias("sound")).select("doc_id", F.length("t").cast("long").alias("chars"), F.md5("t").alias("digest"), "sound")
