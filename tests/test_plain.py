@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.test_operators import one
 from tideline import catalog
 from tideline.functions import text
-from tideline.operators import joins, ordered_fold
+from tideline.operators import fold, joins, ordered_fold
 from tideline.plans import marks
 from tideline.plans.similar import _HEAD
 from tideline.session import POSITIONS, REPORTS
@@ -215,3 +215,10 @@ def test_points_of_voices_are_folded_by_voice(spark, sf_dir, monkeypatch):
             begin, _ = step(begin, {"n": n})
         ends.add(begin)
     assert ends == {55} and step(None, {"n": 900}) == (56, {"fate": "stays"}) and step(56, {"n": 0})[1] == {"fate": "dropped"} and step(55, {"n": 0})[1] == {"fate": "joins"}
+
+
+def test_similar_sets_are_not_repeated_for_their_words(spark):
+    items = spark.createDataFrame([("a", "d", 0, ["x", "y", "z"]), ("b", "d", 9, ["x", "y", "y", None]), ("c", "d", 9, []), ("e", "d", 9, None), ("f", None, 9, ["x", "y", "z"])], "k string, desk string, t long, w array<string>")
+    both = fold.jaccard_pairs(items, key="k", block=["desk"], at="t", words=F.col("w"), least=0.6, within=10)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # the time's buckets
+    assert [(r.early, r.late, round(r.similarity, 6)) for r in both.collect()] == [("a", "b", 0.666667)]

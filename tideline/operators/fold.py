@@ -1,4 +1,4 @@
-"""Similarity pairs by prefix filter and greedy folding of later reports into the first earlier home that matches.
+"""Similarity pairs by block and time and greedy folding of later reports into the first earlier home that matches.
 
 The fold is order-dependent and not transitive: a report joins a home, never another copy, so components would merge too
 much.  Homes are found in rounds over the pair table: a report all of whose earlier matches are decided becomes a home if
@@ -22,21 +22,14 @@ from tideline.lineage import cut
 def jaccard_pairs(items: DataFrame, *, key: str, block: list[str], at: str, words: str, least: float, within: int) -> DataFrame:
     """(early, late, similarity) of items of a block, within seconds of each other, whose word sets are that similar.
 
-    Words are ordered rare first; two sets that similar share a word of their prefixes, so only those words are joined on,
-    with the time bucket. The sets ride along, so a pair is judged where it meets, and only similar ones are made distinct."""
-    own = items.select(F.col(key).alias("k"), *block, F.col(at).alias("t"), F.explode(F.array_distinct(words)).alias("word"))
-    often = own.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = own.join(often, "word").groupBy("k", *block, "t").agg(F.array_sort(F.collect_set(F.struct("df", "word"))).alias("r"))
-    sets = ranked.select("k", *block, "t", F.transform("r", lambda x: x["word"]).alias("w"), F.size("r").alias("n"))
-    # As many words as leave fewer than the least part of the set; the product may be a hair above a whole number.
-    leading = F.slice("w", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
-    prefix = sets.select("*", F.posexplode(leading).alias("i", "word")).withColumn("rest", F.col("n") - F.col("i"))
-    late = prefix.select(*block, "word", F.col("k").alias("late"), F.col("t").alias("lt"), F.col("w").alias("wl"), F.col("n").alias("nl"), F.col("rest").alias("rl"), F.explode(F.sequence(F.floor((F.col("t") - within) / within), F.floor(F.col("t") / within))).alias("b"))
-    early = prefix.select(*block, "word", F.col("k").alias("early"), F.col("t").alias("et"), F.col("w").alias("we"), F.col("n").alias("ne"), F.col("rest").alias("re"), F.floor(F.col("t") / within).alias("b"))
+    Items meet by block and time bucket, each once or twice with its set, and a pair is judged where it meets: first by the
+    sizes of its sets, which bound their likeness. (Keys for words would repeat an item, with its set, for most of its words.)"""
+    sets = items.select(F.col(key).alias("k"), *block, F.col(at).alias("t"), F.array_compact(F.array_distinct(words)).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
+    late = sets.select(*block, F.col("k").alias("late"), F.col("t").alias("lt"), F.col("w").alias("wl"), F.col("n").alias("nl"), F.explode(F.sequence(F.floor((F.col("t") - within) / within), F.floor(F.col("t") / within))).alias("b"))
+    early = sets.select(*block, F.col("k").alias("early"), F.col("t").alias("et"), F.col("w").alias("we"), F.col("n").alias("ne"), F.floor(F.col("t") / within).alias("b"))
     first = F.struct(F.col("et"), F.col("early")) < F.struct(F.col("lt"), F.col("late"))
-    # At its first shared word a pair has at most the rest of either set in common, that word included.
-    enough = F.least("re", "rl") >= (F.col("ne") + F.col("nl")) * (least / (1 + least)) - 1e-9
-    both = late.join(early, [*block, "word", "b"]).filter(first & (F.col("lt") - F.col("et") <= within) & enough)
+    enough = F.least("ne", "nl") >= F.greatest("ne", "nl") * least - 1e-9
+    both = late.join(early, [*block, "b"]).filter(first & (F.col("lt") - F.col("et") <= within) & enough)
     common = F.size(F.array_intersect("we", "wl"))
     similar = both.select("early", "late", (common / (F.col("ne") + F.col("nl") - common)).alias("similarity"))
     return similar.filter(F.col("similarity") >= least).distinct()
