@@ -71,3 +71,8 @@ def test_money(spark):
     cases = {"Iraq lost $60 billion": "iraq 60 billion", "USD 1.5bn for Iran and Iraq": "iran 1.5 billion", "$60 at Iraq": None, "$60 billion": None, None: None}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.k for r in df.select("t", I.money_key(F.col("t"), ["Iraq", "Iran"]).alias("k")).collect()} == cases
+
+
+def test_a_text_is_read_once_for_each_pattern(spark):
+    plan = spark.range(1).select(I.toll_of(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") <= 3 * len(I.TOLL)  # each pattern finds and takes out; hundreds where later ones read anew

@@ -7,6 +7,8 @@ case, number words as digits, hedges out, verbs of killing and wounding as one w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,25 +21,36 @@ KINDS = (("tanker", r"\btanker\b"), ("carrier", r"\b(?:bulk )?carrier\b"), ("shi
 
 def plain(c: Column) -> Column:
     t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\w.]+", " ")
-    for n, word in enumerate(NUMBERS, 1):
-        t = F.regexp_replace(t, rf"\b{word}\b", str(n))
+    digits = F.create_map(*(F.lit(x) for n, word in enumerate(NUMBERS, 1) for x in (word, str(n))))
+    t = F.array_join(F.transform(F.split(t, r"\b"), lambda w: F.coalesce(F.element_at(digits, w), w)), "")
     t = F.regexp_replace(t, r"\b(?:at least|more than|over|about|around|some|nearly|almost|up to|no fewer than) (?=\d)", "")
     t = F.regexp_replace(t, r"\b(?:kill(?:s|ed|ing)?|dead|died|deaths?)\b", "KILL")
     return F.regexp_replace(t, r"\b(?:wound(?:s|ed|ing)?|injur(?:es|ed|ing|ies|y)|hurts?)\b", "HURT")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def consume(text: Column, patterns: list[tuple[str, str, int | None]]) -> Column:
     """A struct of lists of numbers: of every pattern (list, pattern, value) the matches go to the list, as the number in
-    its first group or as the value given, and out of the text. Lists keep the order of patterns, then of the text."""
-    found: dict[str, list[Column]] = {}
-    for name, pattern, value in patterns:
+    its first group or as the value given, and out of the text. Lists keep the order of patterns, then of the text.
+
+    What a pattern leaves is bound to a name (once), so that each pattern is read once a text and not once for every later one."""
+
+    def hits(left: Column, pattern: str, value: int | None) -> Column:
         if value is None:
-            hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))
-        else:
-            hits = F.array_repeat(F.lit(value), F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-        found.setdefault(name, []).append(hits)
-        text = F.regexp_replace(text, pattern, " ")
-    return F.struct(*(F.array_distinct(F.filter(F.concat(*lists), lambda n: n > 0)).alias(name) for name, lists in found.items()))
+            return F.transform(F.regexp_extract_all(left, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))
+        return F.array_repeat(F.lit(value), F.size(F.regexp_extract_all(left, F.lit(pattern), F.lit(0))))
+
+    def read(left: Column, n: int, found: dict[str, list[Column]]) -> Column:
+        if n == len(patterns):
+            return F.struct(*(F.array_distinct(F.filter(F.concat(*lists), lambda n: n > 0)).alias(name) for name, lists in found.items()))
+        name, pattern, value = patterns[n]
+        return once(left, lambda t: read(F.regexp_replace(t, pattern, " "), n + 1, found | {name: [*found.get(name, []), hits(t, pattern, value)]}))
+
+    return read(text, 0, {})
 
 
 _N = r"\b(\d{1,4})\b"

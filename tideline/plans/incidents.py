@@ -20,6 +20,11 @@ _TOLD = [
 _N, _K, _P = "(event_id * 7 % 23 + 1)", "(event_id * 5 % 9 + 1)", "(user_id % 40)"
 
 
+def spread(rows):
+    """rows dealt out by id: a file of events is small for the time that reading their headlines takes, so its splits are few."""
+    return rows.repartition("event_id")
+
+
 def _sql_text(t: str | None) -> str:
     if t is None:
         return "CAST(NULL AS VARCHAR)"
@@ -40,7 +45,7 @@ def _headlines(spark, sf_dir):
             for mark, value in values.items():
                 line = F.replace(line, F.lit("{" + mark + "}"), value)
             said = F.when(F.col("event_id") % _FORMS == form, line).otherwise(said)
-    return e.select("event_id", "t", F.concat(F.lit("P"), F.col("user_id") % 40).alias("place"), said.alias("headline"))
+    return spread(e).select("event_id", "t", F.concat(F.lit("P"), F.col("user_id") % 40).alias("place"), said.alias("headline"))
 
 
 def _figures_sql(k: int) -> str:
@@ -86,7 +91,7 @@ def _ships(spark, sf_dir):
     sea = pick(F.floor(i / 3), (" today", " in the Red Sea", " off Bab al-Mandab", " in the Gulf of Aden", " in the Persian Gulf"))
     cause = pick(F.floor(i / 5), (" by a sea mine", " by two missiles", "", " and boarded by none, crew detained"))
     line = F.when(i % 11 == 7, F.concat(F.lit("Oil price of a "), pick(i, ("tanker", "bulk carrier", "ship")), F.lit(" load rises"), sea)).otherwise(F.concat(pick(i, ("Tanker", "Bulk carrier", "Vessel")), name, F.lit(" hit"), cause, sea))
-    return positions(spark, sf_dir).select("event_id", "t", line.alias("headline"))
+    return spread(positions(spark, sf_dir).select("event_id", "t")).select("event_id", "t", line.alias("headline"))
 
 
 @query(172, sql=f"""WITH {POSITIONS}, {_SHIP} SELECT event_id, kind, sea, name, cause FROM v""")
