@@ -17,24 +17,28 @@ def first_earlier(reports: DataFrame, key: str, at: str, offers: Column, asks: C
     """(key, first, first_at): of each report the earliest other one, by time and key, that offers a key it asks for and is
     at most `within` seconds older, or as old with a lesser key. Reports without any have no row.
 
-    offers and asks are arrays of strings; null keys match nothing, a null time neither. Repeated keys of reports count once."""
-    own = reports.select(F.col(key).alias("id"), F.col(at).cast("long").alias("t"), F.array_distinct(offers).alias("o"), F.array_distinct(asks).alias("a")).filter("t is not null").dropDuplicates(["id"])
-    bucket = F.floor(F.col("t") / within)
-    offered = own.select("id", "t", F.explode("o").alias("k"), bucket.alias("b"), F.lit(0).alias("ask"))
-    asked = own.select("id", "t", F.explode("a").alias("k"), F.explode(F.array(bucket, bucket - 1)).alias("b"), F.lit(1).alias("ask"))
-    both = offered.unionByName(asked).filter("k is not null")
+    offers and asks are arrays of keys of one type; null keys match nothing, a null time neither. Repeated keys of reports count once."""
+    own = reports.filter(F.col(at).isNotNull()).dropDuplicates([key])
+    t = F.col(at).cast("long")
+    b = F.floor(t / within)
+    told = lambda k, b, ask: F.struct(k.alias("k"), b.alias("b"), F.lit(ask).alias("ask"))
+    offered = F.transform(F.array_distinct(offers), lambda k: told(k, b, 0))
+    asked = F.flatten(F.transform(F.array_distinct(asks), lambda k: F.array(told(k, b, 1), told(k, b - 1, 1))))
+    # Outer, since Spark would otherwise work out all keys a second time, to see whether there are any.
+    keys = own.select(F.col(key).alias("id"), t.alias("t"), F.flatten(F.array_compact(F.array(offered, asked))).alias("keys"))
+    both = keys.select("id", "t", F.inline_outer("keys")).filter("k is not null")
     offer = F.when(F.col("ask") == 0, F.struct("t", "id"))
     # In the ask's own stretch every offer up to its second is in time; the least of them may be the report itself or, at its
     # own second, one with a greater key: then none is earlier.
     upto = Window.partitionBy("k", "b").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
     before = (F.col("m.t") < F.col("t")) | ((F.col("m.t") == F.col("t")) & (F.col("m.id") < F.col("id")))
-    same = both.filter((F.col("ask") == 0) | (F.floor(F.col("t") / within) == F.col("b"))).withColumn("m", F.min(offer).over(upto)).filter("ask = 1").filter(before)
     # Of the stretch before all offers are earlier, and those in time that count to the ask's second or longer: in falling
     # order of the last second at which they count, so that this frame only grows, too.
-    rows = both.filter((F.col("ask") == 0) | (F.floor(F.col("t") / within) > F.col("b"))).withColumn("last", F.when(F.col("ask") == 0, F.col("t") + within).otherwise(F.col("t")))
+    last = F.when(F.col("ask") == 0, F.col("t") + within).otherwise(F.col("t"))
     from_ = Window.partitionBy("k", "b").orderBy(F.desc("last")).rangeBetween(Window.unboundedPreceding, 0)
-    past = rows.withColumn("m", F.min(offer).over(from_)).filter("ask = 1 and m is not null")
-    found = same.select("id", "m").unionByName(past.select("id", "m"))
+    seen = both.withColumn("last", last).withColumns({"m": F.min(offer).over(upto), "p": F.min(offer).over(from_)}).filter("ask = 1")
+    here = F.floor(F.col("t") / within) == F.col("b")
+    found = seen.select("id", F.when(~here, F.col("p")).when(before, F.col("m")).alias("m")).filter("m is not null")
     return found.groupBy("id").agg(F.min("m").alias("m")).select(F.col("id").alias(key), F.col("m.id").alias("first"), F.col("m.t").alias("first_at"))
 
 
