@@ -76,13 +76,20 @@ def victims(c: Column) -> Column:
 def ship_incident(c: Column, seas: list[tuple[str, str]]) -> Column:
     """{kind, sea, name, cause} of an attack on one ship; null if a headline tells none, tells several, or says neither the
     sea nor a name nor a cause. seas: (name, pattern), the first that fits counts."""
+    first = lambda low, table: F.coalesce(*(F.when(low.rlike(p), k) for k, p in table))
+    ship = r"\b(?:MT|MV|M/T|M/V) ?([A-Z0-9][\w-]*(?: [A-Z0-9][\w-]*){0,2})"
+
+    def of(x: Column) -> Column:
+        told = x["attack"] & x["kind"].isNotNull() & F.coalesce(x["sea"], x["name"], x["cause"]).isNotNull()
+        return F.when(told, F.struct(*(x[f].alias(f) for f in ("kind", "sea", "name", "cause"))))
+
+    def read(x: Column) -> Column:
+        low, name = x["low"], F.nullif(F.lower(F.regexp_replace(F.regexp_extract(x["t"], ship, 1), "[^A-Za-z0-9]", "")), F.lit(""))
+        attack = low.rlike(r"\b(?:attack|hit|struck|explo|sunk|sank|seiz|board|hijack|damag|mine)\w*")
+        return once(F.struct(attack.alias("attack"), first(low, KINDS).alias("kind"), first(low, seas).alias("sea"), name.alias("name"), first(low, CAUSES).alias("cause")), of)
+
     t = F.coalesce(c, F.lit(""))
-    low = F.lower(t)
-    first = lambda table: F.coalesce(*(F.when(low.rlike(p), k) for k, p in table))
-    kind, sea, cause = first(KINDS), first(seas), first(CAUSES)
-    name = F.nullif(F.lower(F.regexp_replace(F.regexp_extract(t, r"\b(?:MT|MV|M/T|M/V) ?([A-Z0-9][\w-]*(?: [A-Z0-9][\w-]*){0,2})", 1), "[^A-Za-z0-9]", "")), F.lit(""))
-    told = low.rlike(r"\b(?:attack|hit|struck|explo|sunk|sank|seiz|board|hijack|damag|mine)\w*") & kind.isNotNull() & F.coalesce(sea, name, cause).isNotNull()
-    return F.when(told, F.struct(kind.alias("kind"), sea.alias("sea"), name.alias("name"), cause.alias("cause")))
+    return once(F.struct(t.alias("t"), F.lower(t).alias("low")), read)
 
 
 def money_key(c: Column, countries: list[str]) -> Column:

@@ -106,7 +106,7 @@ SELECT b.event_id, arg_min(a.event_id, (a.t, a.event_id)) AS first, min(a.t) AS
   ELSE (a.sea = b.sea OR (a.sea = 'bab' AND b.sea IN ('red', 'aden')) OR (b.sea = 'bab' AND a.sea IN ('red', 'aden'))) AND (a.kind = b.kind OR a.kind = 'ship' OR b.kind = 'ship') AND coalesce(a.cause = b.cause, TRUE) END GROUP BY 1""")
 def same_ships(spark, sf_dir):
     """Of each ship's headline the first one within three hours that may tell of the same attack."""
-    s = _ships(spark, sf_dir).select("event_id", "t", I.ship_incident(F.col("headline"), _SEAS).alias("s")).filter("s is not null")
+    s = _ships(spark, sf_dir).select("event_id", "t", I.ship_incident(F.col("headline"), _SEAS).alias("s"))
     return first_earlier(s, "event_id", "t", *ship_keys(F.col("s"), _NEAR), within=3 * 3600)
 
 
