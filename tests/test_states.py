@@ -118,6 +118,18 @@ def test_absorption_is_one_to_one(spark):
     assert got == want and len(taken) == len(set(taken)) > 20
 
 
+def test_absorption_folds_only_what_can_meet(spark, monkeypatch):
+    rows, fold, seen = [(i, "red", i // 300, i in (5, 640)) for i in range(900)], ordered_fold.fold_in_order, []
+
+    def counted(some, *args, **more):
+        seen.append(some.count())
+        return fold(some, *args, **more)
+
+    monkeypatch.setattr(ordered_fold, "fold_in_order", counted)
+    got = {r.id: r.partner for r in ordered_fold.absorb(spark.createDataFrame(rows, "id long, sea string, day int, is_named boolean"), "sea").collect()}
+    assert len(got) == 900 and {k: p for k, p in got.items() if p is not None} == {5: 0, 640: 300} and seen == [6]  # all 900 before, each with hundreds as its state
+
+
 def test_no_row_is_tried_twice(spark):
     rows = [(1, "a", "x"), (2, "b", "x"), (3, None, "x"), (4, "b", None), (5, None, None), (6, "c", "y")]
     df = spark.createDataFrame(rows, "id int, k string, l string")

@@ -213,5 +213,19 @@ def absorbing(apart: int) -> Step:
 
 def absorb(incidents: DataFrame, key: str, *, apart: int = 1, block_rows: int = 100_000) -> DataFrame:
     """incidents (key, id, day as a number, is_named) with the partner that the later row of a pair takes. Rows without a
-    key or day have none."""
-    return fold_in_order(incidents, [key], ["day", "id"], absorbing(apart), "partner long", block_rows=block_rows).drop("_state")
+    key or day have none.
+
+    The oldest go first, so of a key's day the rows of one sort that find a partner are the first ones, as many as there are
+    rows of the other sort within `apart` days at most. Only those are folded: whatever a day has beyond them stays alone, and
+    would be handed on from block to block as state."""
+    rows = cut(incidents)
+    named = F.coalesce("is_named", F.lit(False))
+    per = rows.groupBy(F.col(key).alias("_key"), F.col("day").alias("_day")).agg(F.count_if(named).alias("_named"), F.count_if(~named).alias("_unnamed"))
+    around = Window.partitionBy("_key").orderBy("_day").rangeBetween(-apart, apart)
+    per = per.select("_key", "_day", F.sum("_named").over(around).alias("_named"), F.sum("_unnamed").over(around).alias("_unnamed"))
+    of_day = Window.partitionBy(key, "day", named).orderBy(F.asc_nulls_first("id"), F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)))
+    placed = rows.withColumn("_place", F.row_number().over(of_day)).join(per, F.col(key).eqNullSafe(F.col("_key")) & F.col("day").eqNullSafe(F.col("_day")))
+    fits = F.col("day").isNotNull() & (F.col("_place") <= F.when(named, F.col("_unnamed")).otherwise(F.col("_named")))
+    placed = cut(placed.select(*rows.columns, fits.alias("_fits")))
+    folded = fold_in_order(placed.filter("_fits").drop("_fits"), [key], ["day", "id"], absorbing(apart), "partner long", block_rows=block_rows).drop("_state")
+    return folded.unionByName(placed.filter("not _fits").drop("_fits").withColumn("partner", F.lit(None).cast("long")))
