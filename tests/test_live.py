@@ -91,3 +91,26 @@ def test_a_drain_ended_between_write_and_commit(spark, folder):
     for _ in range(2):  # the second run finds nothing to take
         live.drain(source(), f"{folder}/out", f"{folder}/checkpoint")
     assert sorted(r.id for r in live.taken(spark, f"{folder}/out", source().schema).collect()) == list(range(70))
+
+
+def test_one_timer_settles_all_that_is_due():
+    import pandas as pd
+
+    class State(dict):
+        containsKey, getValue, removeKey, updateValue = dict.__contains__, dict.__getitem__, dict.pop, dict.__setitem__
+
+    class Handle(set):
+        registerTimer, deleteTimer = set.add, set.discard
+        getMapState, listTimers = (lambda self, *_: State()), (lambda self: list(self))
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 10**9)
+
+    queue, handle = live.WaitQueue(100), Handle()
+    queue.init(handle)
+    list(queue.handleInputRows((1,), iter([pd.DataFrame([(i, i, i % 50 == 0) for i in range(5000)], columns=["id", "t", "answers"])]), None))
+    assert len(handle) == 1  # 5,000 timers, one for each second, before
+    out = pd.concat(queue.handleExpiredTimer((1,), Now, None))
+    got = {int(t): None if pd.isna(x) else int(x) for t, x in zip(out["t"], out["answer"])}
+    assert got == {t: -(-t // 50) * 50 if t <= 4950 else None for t in range(5000) if t % 50}
+    assert not queue.items and not queue.answers

@@ -6,6 +6,7 @@ when the watermark passes it, in the batch after, whether or not that batch has
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,13 +22,14 @@ def with_timers(spark: SparkSession) -> None:
 
 
 def _told(x) -> bool:
-    return x is not None and not pd.isna(x)
+    return x is not None and x == x  # null, or NaN as pandas has it
 
 
 def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> list[dict]:
     """A key's rows of one micro-batch; how many those are is the trigger's (maxFilesPerTrigger) to bound."""
     rows = pd.concat(list(batches)).sort_values(by, kind="stable")
-    return rows.to_dict("records")
+    names = list(rows.columns)
+    return [dict(zip(names, r)) for r in zip(*(rows[c].tolist() for c in names))]
 
 
 # Live positions
@@ -104,63 +106,76 @@ def live_positions(stream: DataFrame, *, late: str = "1 hour", keep: int = 6 * 3
 WAITED = "key long, id long, t long, answer long, answered_at long"
 
 
-_BUCKET = 600
-
-
 class WaitQueue(StatefulProcessor):
     """Items of a key that wait for its next answer: the first one from an item's time to its deadline answers it. Each item
     comes out once, with its answer or without, when the watermark passes the deadline and no earlier answer can come.
 
-    Items are kept by their second, answers by buckets of ten minutes with one answer a second; a timer reads its own second
-    and the buckets from there to the first answer, so a busy key costs no more an item than a quiet one."""
+    Items and answers are kept by stretches as long as the wait, so an item's answer is in its own stretch or the next. A key
+    has one timer, for its earliest deadline, and then settles all that is due, in order of time: state is read and written
+    once a stretch, not once an item."""
 
     def __init__(self, wait: int):
         self.wait = wait
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.items = handle.getMapState("items", "t long", "ids array<long>")
-        self.answers = handle.getMapState("answers", "bucket long", "t array<long>, id array<long>")
+        self.items = handle.getMapState("items", "stretch long", "t array<long>, id array<long>")
+        self.answers = handle.getMapState("answers", "stretch long", "t array<long>, id array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        items, answers = {}, {}
+        size, new = self.wait + 1, ({}, {})
         for r in _in_order(rows, ["t", "id"]):
-            t, id_ = int(r["t"]), int(r["id"])
-            if r["answers"]:
-                at = answers.setdefault(t // _BUCKET, {})
-                at[t] = min(id_, at.get(t, id_))
-            else:
-                items.setdefault(t, []).append(id_)
-        for t, ids in items.items():
-            known = list(self.items.getValue((t,))[0]) if self.items.containsKey((t,)) else []
-            self.items.updateValue((t,), (known + ids,))
-            self.handle.registerTimer((t + self.wait + 1) * 1000)
-        for bucket, at in answers.items():
-            for t, id_ in self._answers_of(bucket):
-                at[t] = min(id_, at.get(t, id_))
-            self.answers.updateValue((bucket,), (list(at), list(at.values())))
-            self.handle.registerTimer(((bucket + 1) * _BUCKET + self.wait + 1) * 1000)
+            new[bool(r["answers"])].setdefault(int(r["t"]) // size, []).append((int(r["t"]), int(r["id"])))
+        for state, own in zip((self.items, self.answers), new):
+            for stretch, some in own.items():
+                self._keep(state, stretch, self._kept(state, stretch) + some)
+        due = [min(own) * size + self.wait + 1 for own in new if own]  # not after the earliest deadline
+        timers = list(self.handle.listTimers())
+        if not timers or min(due) * 1000 < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(min(due) * 1000)
         yield from ()
 
-    def _answers_of(self, bucket: int) -> list[tuple[int, int]]:
-        if not self.answers.containsKey((bucket,)):
+    def _kept(self, state, stretch: int) -> list[tuple[int, int]]:
+        if not state.containsKey((stretch,)):
             return []
-        t, ids = self.answers.getValue((bucket,))
+        t, ids = state.getValue((stretch,))
         return list(zip(map(int, t), map(int, ids)))
 
+    def _keep(self, state, stretch: int, some: list[tuple[int, int]]) -> None:
+        state.updateValue((stretch,), ([t for t, _ in some], [i for _, i in some]))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        t = expiredTimerInfo.getExpiryTimeInMs() // 1000 - self.wait - 1
-        if self.items.containsKey((t,)):
-            first = (None, None)
-            for bucket in range(t // _BUCKET, (t + self.wait) // _BUCKET + 1):
-                if found := [a for a in self._answers_of(bucket) if t <= a[0] <= t + self.wait]:
-                    first = min(found)
-                    break
-            ids = sorted(int(x) for x in self.items.getValue((t,))[0])
-            self.items.removeKey((t,))
-            yield pd.DataFrame([(key[0], id_, t, first[1], first[0]) for id_ in ids], columns=[c.split()[0] for c in WAITED.split(", ")]).astype("Int64")
-        if t % _BUCKET == 0 and self.answers.containsKey((t // _BUCKET - 1,)):  # no item can ask for these any more
-            self.answers.removeKey((t // _BUCKET - 1,))
+        size, over = self.wait + 1, timerValues.getCurrentWatermarkInMs() // 1000 - self.wait - 1  # items up to that second are due
+        known, out, left = {}, [], []
+        for stretch in sorted(int(k[0]) for k in self.items.keys()):
+            if stretch * size > over:
+                left.append(stretch * size)
+                continue
+            known = {s: known[s] if s in known else sorted(self._kept(self.answers, s)) for s in (stretch, stretch + 1)}
+            answers, waiting = known[stretch] + known[stretch + 1], []
+            for t, id_ in sorted(self._kept(self.items, stretch)):
+                if t > over:
+                    waiting.append((t, id_))
+                    continue
+                at = bisect_left(answers, (t,))
+                first = answers[at] if at < len(answers) and answers[at][0] <= t + self.wait else (None, None)
+                out.append((key[0], id_, t, first[1], first[0]))
+            if waiting:
+                left.append(waiting[0][0])
+                self._keep(self.items, stretch, waiting)
+            else:
+                self.items.removeKey((stretch,))
+        for stretch in [int(k[0]) for k in self.answers.keys()]:
+            if (stretch + 1) * size - 1 <= over:  # no item can ask for these any more
+                self.answers.removeKey((stretch,))
+            else:
+                left.append((stretch + 1) * size - 1)
+        if left:
+            self.handle.registerTimer((max(min(left), over + 1) + self.wait + 1) * 1000)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in WAITED.split(", ")]).astype("Int64")
 
     def close(self) -> None:
         pass
