@@ -1,6 +1,8 @@
 """Queries that SQL cannot express, against plain versions on the smallest tables, and scalars of wording."""
 
 import os
+import random
+import re
 from math import asin, cos, hypot, radians, sin, sqrt
 
 import duckdb
@@ -222,3 +224,14 @@ def test_similar_sets_are_not_repeated_for_their_words(spark):
     both = fold.jaccard_pairs(items, key="k", block=["desk"], at="t", words=F.col("w"), least=0.6, within=10)
     assert both._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # the time's buckets
     assert [(r.early, r.late, round(r.similarity, 6)) for r in both.collect()] == [("a", "b", 0.666667)]
+
+
+def test_a_text_is_gone_through_once_for_its_numbers(spark):
+    rng, pieces = random.Random(3), ["ab", "c", " ", " ", "5", "1,234", ".", "7", " thousand", " million", "s", "\n", "é"]
+    texts = ["5 thousands 7", "ab cd ef gh 5", "abc5 6", None] + ["".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(300)]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.told_numbers(F.col("t")).alias("x"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1  # three times before
+    for r in found.collect():
+        hits = re.findall(text.TOLD, re.sub("[ \t\n]+", " ", (r.t or "").lower()))
+        fits = [w.strip(" ") for w, n, _ in hits if re.fullmatch(r"([0-9]+|[0-9]{1,3}(,[0-9]{3})+)([.][0-9]+)?", re.sub("[.,]+$", "", n))]
+        assert [x["before"] for x in r.x] == fits
