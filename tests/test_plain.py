@@ -163,6 +163,26 @@ def test_map_joins_send_no_table_through_the_driver(spark, sf_dir, name):
     assert not broadcasts(catalog.QUERIES[name](spark, sf_dir))
 
 
+@pytest.mark.parametrize("name", ["spatial_twins"])
+def test_twins_are_counted_by_classes(spark, tmp_path, name):
+    """Many copies, repeated rows, nulls, values a whole 1 apart; no pair of copies is made or returned."""
+    rng = random.Random(5)
+    rows = [(1000 + i, f"2024-01-01 00:{rng.randrange(60):02d}:00", rng.choice([3, 4, 1503, 90]), rng.choice("ab"), rng.choice([7.99, 8.0, 8.29, 9.29, 10.01, 9.01])) for i in range(150)]
+    rows += [(240 * i, "2024-01-01 03:00:00", 7, "a", 20.5) for i in range(300)] + [(1000 + i, None, 3, "a", None) for i in range(3)]
+    rows += [rows[0], rows[0], (5, "2024-01-01 00:00:00", None, "a", 9.0), (6, "2024-01-01 00:00:00", 3, None, 9.0), (7, "2024-01-01 00:00:00", 3, None, 9.0)]
+    e = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    at, within, most = ("t", 3600, 500) if name == "spatial_twins" else ("value", 1, 200)
+    p = con.execute(f"WITH {POSITIONS} SELECT event_id, event_type, {at if at == 't' else 'CASE WHEN value >= 8 THEN value END'}, lat, lon FROM positions").fetchall()
+    link = lambda a, b: None not in (*a, *b) and a[1] == b[1] and abs(a[2] - b[2]) <= within and km(*a[3:], *b[3:]) <= most
+    want = sorted((a[0], min(b[0] for b in p if b is a or None not in a and a[1:] == b[1:]), sum(i != j and link(a, b) for j, b in enumerate(p))) for i, a in enumerate(p))
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == want and max(n for *_, n in want) >= 299
+    assert sorted(con.execute(f"SELECT event_id, class_id, n_links FROM ({catalog.ORACLES[name]})").fetchall()) == want
+
+
 def test_first_near_others(spark):
     day = 86_400
     rows = [(1, "a", 1, 0, 10.0, 179.9), (2, "a", 1, 5, 10.0, -179.9), (3, "a", 2, 6 * day, 10.0, -179.9), (4, "a", 2, 9 * day, 10.0, 179.9), (5, "b", 3, 5, 10.0, 179.9),
