@@ -1,7 +1,10 @@
 """Ordered folds against a plain pass over the sorted rows, whatever the blocks and the order of the input."""
 
 import json
+import os
 import random
+import tempfile
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +160,32 @@ def test_pins(spark):
         want[p["id"]] = ((mine or [p])[0]["id"], mine is not None, lead["id"], actor or None)
     assert {k: (v[0], v[1], v[2], v[4]) for k, v in got.items()} == want and sum(v[1] for v in want.values()) > 30
     assert all(s is not None for v in got.values() for s in v[3])
+
+
+def test_a_state_is_handed_to_the_first_row_of_a_block_only(spark, monkeypatch):
+    """With the state on every row, a task would hold it as many times as it has rows."""
+    given, folder = [], ordered_fold._folder
+
+    def watched(*a):
+        run = folder(*a)
+        log = tempfile.mkdtemp()
+        given.append(log)
+
+        def seen(batches):
+            def each():
+                for batch in batches:
+                    with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                        json.dump([[r["_block"], r["_given"]] for r in batch.to_pylist()], f)
+                    yield batch
+            return run(each())
+
+        return seen
+
+    monkeypatch.setattr(ordered_fold, "_folder", watched)
+    df = spark.createDataFrame([("a" if i < 300 else "b", i, i % 7) for i in range(400)], "k string, t int, v int")
+    out = ordered_fold.fold_in_order(df, ["k"], ["t"], lambda state, row: ((state or 0) + row["v"], {"sofar": (state or 0) + row["v"]}), "sofar long", block_rows=50)
+    want = {(i, sum(j % 7 for j in range(0 if i < 300 else 300, i + 1))) for i in range(400)}
+    assert {(r.t, r.sofar) for r in out.collect()} == want
+    again = [[x for name in os.listdir(log) for x in json.load(open(f"{log}/{name}"))] for log in given[1:]]
+    assert again and all(sum(g is not None for _, g in rows) <= len({b for b, _ in rows}) for rows in again)
+    assert any(g is not None for rows in again for _, g in rows)

@@ -78,7 +78,9 @@ def fold_in_order(rows: DataFrame, keys: list[str], order: list[str], step: Step
     rows = rows.select(*(F.col(f"`{c}`") for c in names))
     by = [F.col(c).asc_nulls_first() for c in (*keys, *order)] + [F.xxhash64(*(F.col(f"`{c}`") for c in names)).asc()]
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows.count() // block_rows))
-    dealt = cut(rows.repartitionByRange(blocks, *by).sortWithinPartitions(*by).withColumn("_block", F.spark_partition_id()))
+    # A block's first row, in which the number within the partition (the lower 33 bits) is 0, carries what the block is given.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    dealt = cut(rows.repartitionByRange(blocks, *by).sortWithinPartitions(*by).withColumns({"_block": F.spark_partition_id(), "_opens": first}))
     own = F.struct(*(F.col(k) for k in keys))
     ends = dealt.groupBy("_block").agg(F.min(own).alias("_first"), F.max(own).alias("_last"))  # a row a block
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -107,8 +109,8 @@ def fold_in_order(rows: DataFrame, keys: list[str], order: list[str], step: Step
         changed = cut(next_state.filter(~F.col("_now").eqNullSafe(F.col("_with"))).select("_block", "_first", "_now"))
         if changed.isEmpty():
             break
-        heads = dealt.join(changed, "_block").filter(own.eqNullSafe(F.col("_first"))).withColumn("_given", F.col("_now")).drop("_first", "_now")
-        fresh = folded(heads.repartition(blocks, "_block").sortWithinPartitions("_block", *by))
+        heads = dealt.join(changed, "_block").filter(own.eqNullSafe(F.col("_first"))).withColumn("_given", F.when(F.col("_opens"), F.col("_now"))).drop("_first", "_now")
+        fresh = folded(heads.repartition(blocks, "_block").sortWithinPartitions("_block", F.desc("_opens"), *by))
         done.append(fresh)
         again.append(changed.select("_block", F.col("_first").alias("_key")))
         new = fresh.filter("_state is not null").select("_block", F.col("_state").alias("_new"))
