@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import ROOT
 from tideline.functions import clock, geo, sets, text
-from tideline.operators import fold, joins, search, store
+from tideline.operators import fold, joins, merging, search, store
 from tideline.operators.rules import Rule, first_match, labels, score
 from tideline.streaming import stateful
 
@@ -213,3 +213,14 @@ def test_last_greater(spark):
     out = ordered.previous_greater(spark.createDataFrame(rows, "k string, t long, v long"), ["k"], "t", "v", width=20)
     want = {(k, t): max((u for q, u, w in rows if q == k and u < t and w is not None and v is not None and w > v), default=None) for k, t, v in rows}
     assert {(r.k, r.t): r.since for r in out.collect()} == want
+
+
+def test_terms_of_merged_groups_are_not_gathered_to_be_made_distinct(spark):
+    """Terms of one group stream out of the join; terms of several groups and of none count once all the same."""
+    own = [(1, "a"), (1, "b"), (1, "b"), (2, "c"), (3, "z"), (3, None), (4, "a"), (4, "z")]
+    other = [("g", "a"), ("g", "b"), ("g", "d"), ("g", "d"), ("h", "b"), ("h", "c"), ("h", "d"), ("i", None), ("j", "e"), (None, "a"), (None, "f")]
+    df = merging.merge_groups(spark.createDataFrame(own, "id int, term string"), spark.createDataFrame(other, "id string, term string"))
+    want = {(i, t) for i, t in own if t}
+    want |= {(i, t) for i, s in own if s for g, u in other if g and s == u for h, t in other if h == g and t}
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+    assert df._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # Aggregate before

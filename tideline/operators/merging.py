@@ -19,7 +19,9 @@ came, the lead's own left out, `most_also` of them at most (a feature of the lis
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tideline.lineage import cut
 from tideline.operators.ordered_fold import Step, fold_in_order
 
 _FACTS = ("kind", "sea", "name", "cause")
@@ -126,7 +128,15 @@ def merge_pins(pins: DataFrame, name: str, *, km_one_day: float = 15.0, km_one_l
 
 def merge_groups(groups: DataFrame, other: DataFrame) -> DataFrame:
     """(id, term): of each group (rows id, term) its own terms and all terms of the groups of `other` that share one with it.
-    Equi-joins on terms; null terms are none; a term counts once."""
+    Equi-joins on terms; null terms are none; a term counts once.
+
+    Terms of one group of `other` can be met by one way only, so those rows, nearly all, are streamed out of the join and no
+    task has to hold them; only terms of several groups, and of none, are made distinct."""
     own, more = groups.select("id", "term").filter("term is not null").distinct(), other.select("id", "term").filter("term is not null").distinct()
-    met = own.join(more.toDF("other", "term"), "term").select("id", "other").distinct()
-    return own.unionByName(met.join(more.toDF("other", "term"), "other").select("id", "term")).distinct()
+    more = cut(more.toDF("other", "term"))
+    met = cut(own.join(more, "term").select("id", "other").distinct())
+    in_ = more.groupBy("term").agg(F.count("*").alias("_n"))
+    counted = more.join(in_, "term")
+    told = lambda some: met.join(some.select("other", "term").hint("merge"), "other").select("id", "term")
+    alone = own.join(in_, "term", "left_anti").select("id", "term")
+    return told(counted.filter("_n = 1")).unionByName(told(counted.filter("_n > 1")).distinct()).unionByName(alone)
