@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import matching, rewriting
-from tideline.plans.rewriting import _RUN, _STRAIGHT, KINDS, LETTERS
+from tideline.plans.rewriting import _RUN, _STRAIGHT, KINDS, LETTERS, preferred_spellings
 
 
 def plain(text, entries):
@@ -39,6 +39,18 @@ def test_rewrite(spark, block):
     assert [tuple(r) for r in rewriting.rewrite(df.filter("id < 3"), "text", known.limit(0)).collect()] == [(i, texts[i], 0) for i in range(3)]
 
 
+def test_one_block_hands_no_hits_on_and_reads_texts_once(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "New York is big"), (2, None)], "id int, text string")
+    known = spark.createDataFrame([("New York", "NY"), ("is", "was")], "pattern string, replacement string")
+    out = rewriting.rewrite(texts, "text", known)
+    assert sorted(map(tuple, out.collect())) == [(1, "NY was big", 2), (2, None, 0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # two before
+    spark.createDataFrame([("alle alle wort wort werd",)], "text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    words = preferred_spellings(spark.read.parquet(f"{tmp_path}/d"), least=2)
+    assert "d/part" not in "".join(words.inputFiles()) and "regexp_extract_all" not in words._jdf.queryExecution().optimizedPlan().toString()  # three times before
+    assert [tuple(r) for r in words.collect()] == [("werd", "wort")]
+
+
 def test_runs_of_other_letters(spark):
     texts = ["to qalat äbc.", "äb cé and é", "éla äbc now", None, "", "plain", "xéla"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

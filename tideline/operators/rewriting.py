@@ -14,13 +14,17 @@ nothing.
 from __future__ import annotations
 
 import uuid
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.lineage import cut
+
 _automata: dict[str, ahocorasick.Automaton] = {}
 
 
@@ -39,66 +43,75 @@ def _part_of_word(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
-def hits_in(text: str, automaton: ahocorasick.Automaton) -> list[dict]:
+def hits_in(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """Hits on whole words: start, length in characters, and what to put there."""
-    out = []
+    out, last = [], len(text) - 1
     for end, (n, replacement) in automaton.iter(text):
         start = end - n + 1
-        if (start == 0 or not _part_of_word(text[start - 1])) and (end + 1 == len(text) or not _part_of_word(text[end + 1])):
-            out.append({"start": start, "n": n, "put": replacement})
+        if (start == 0 or not _part_of_word(text[start - 1])) and (end == last or not _part_of_word(text[end + 1])):
+            out.append((start, n, replacement))
     return out
 
 
 _HITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("put", T.StringType())]))
 
 
-def _with_hits(texts: DataFrame, col: str, entries: list[tuple[str, str]]) -> DataFrame:
-    """texts with more hits in _hits."""
+def _as_column(hits: list[list[tuple[int, int, str]]]) -> pa.Array:
+    flat, offsets = [h for some in hits for h in some], [0, *accumulate(map(len, hits))]
+    fields = [pa.array([h[k] for h in flat], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string()))]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "n", "put"]))
+
+
+def _as_lists(column: pa.ListArray) -> list[list[tuple[int, int, str]]]:
+    flat = list(zip(*(x.to_pylist() for x in column.flatten().flatten())))
+    ends = list(accumulate(n or 0 for n in pc.list_value_length(column).to_pylist()))
+    return [flat[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def _read(texts: DataFrame, col: str, entries: list[tuple[str, str]], before: bool, last: bool) -> DataFrame:
+    """Texts read once for a block's hits, which join those of the blocks before in _hits; the last block's reading puts them in."""
     shared, key, at = texts.sparkSession.sparkContext.broadcast(entries), uuid.uuid4().hex, texts.columns.index(col)
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("put", pa.string())]))
+    own = [f for f in texts.schema if f.name != "_hits"]
+    more = T.StructField("n_rewritten", T.IntegerType()) if last else T.StructField("_hits", _HITS)
 
     def run(batches):
         for batch in batches:
             a = _automaton(key, shared.value)
-            found = [hits_in(t, a) if t else [] for t in batch.column(at).to_pylist()]
-            before = batch.column(batch.num_columns - 1).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([[*(b or []), *f] for b, f in zip(before, found)], kind)], names=batch.schema.names)
+            told, columns = batch.column(at).to_pylist(), batch.columns[: len(own)]
+            hits = [hits_in(t, a) if t and len(a) else [] for t in told]
+            if before:
+                hits = [[*b, *h] for b, h in zip(_as_lists(batch.column(len(own))), hits)]
+            if last:
+                done = [put_in(t, h) for t, h in zip(told, hits)]
+                columns[at] = pa.array([t for t, _ in done], batch.schema.field(at).type)
+            columns.append(pa.array([n for _, n in done], pa.int32()) if last else _as_column(hits))
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in own), more.name])
 
-    return texts.mapInArrow(run, texts.schema)
+    return texts.mapInArrow(run, T.StructType([*own, more]))
 
 
 def rewrite(texts: DataFrame, col: str, dictionary: DataFrame, pattern: str = "pattern", replacement: str = "replacement", *, block: int = 500_000) -> DataFrame:
-    """texts with `col` rewritten, and n_rewritten, the number of spans replaced."""
-    known = dictionary.filter(F.length(pattern) > 0).groupBy(F.col(pattern).alias("p")).agg(F.min(F.coalesce(replacement, F.lit(""))).alias("r"))
+    """texts with `col` rewritten, and n_rewritten, the number of spans replaced. Each block reads the texts once; where there
+    is but one, no hits are handed on."""
+    known = cut(dictionary.filter(F.length(pattern) > 0).groupBy(F.col(pattern).alias("p")).agg(F.min(F.coalesce(replacement, F.lit(""))).alias("r")))
     blocks = max(1, -(-known.count() // block))
-    out = texts.select(*(F.col(f"`{c}`") for c in texts.columns if c not in ("_hits", "n_rewritten"))).withColumn("_hits", F.array().cast(_HITS))
+    out = texts.select(*(F.col(f"`{c}`") for c in texts.columns if c not in ("_hits", "n_rewritten")))
     for k in range(blocks):
         some = known if blocks == 1 else known.filter(F.pmod(F.xxhash64("p"), F.lit(blocks)) == k)
-        entries = [(r["p"], r["r"]) for r in some.collect()]  # a block
-        if entries:
-            out = _with_hits(out, col, entries)
-    at, more = out.columns.index(col), [T.StructField("n_rewritten", T.IntegerType())]
-    kind = T.StructType([*(f for f in out.schema if f.name != "_hits"), *more])
-
-    def run(batches):
-        for batch in batches:
-            done = [put_in(t, h) for t, h in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
-            columns = [*batch.columns[:-1], pa.array([n for _, n in done], pa.int32())]
-            columns[at] = pa.array([t for t, _ in done], batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "n_rewritten"])
-
-    return out.mapInArrow(run, kind)
+        entries = [(p, r) for p, r in some.collect()]  # a block
+        out = _read(out, col, entries, k > 0, k == blocks - 1)
+    return out
 
 
-def put_in(text: str | None, hits: list[dict]) -> tuple[str | None, int]:
+def put_in(text: str | None, hits: list[tuple[int, int, str]]) -> tuple[str | None, int]:
     """The text with its hits replaced, leftmost and then longest first, and how many were."""
     if text is None or not hits:
         return text, 0
     parts, end, many = [], 0, 0
-    for h in sorted(hits, key=lambda h: (h["start"], -h["n"])):
-        if h["start"] >= end:
-            parts += [text[end : h["start"]], h["put"]]
-            end, many = h["start"] + h["n"], many + 1
+    for start, n, put in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if start >= end:
+            parts += [text[end:start], put]
+            end, many = start + n, many + 1
     return "".join([*parts, text[end:]]), many
 
 

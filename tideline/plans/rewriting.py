@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.catalog import query
+from tideline.lineage import cut
 from tideline.operators.rewriting import SOUNDS, respell_runs, rewrite, sound_key
 from tideline.session import table
 
@@ -15,6 +16,7 @@ def preferred_spellings(documents, col: str = "text", least: int = 5):
     """(pattern, replacement): of words that sound alike and begin with the same letter, the rarer become the most common one,
     which is `least` times as common at least; pairs of words and their doubled form, two in a row, become one."""
     words = documents.select(F.explode(F.regexp_extract_all(col, F.lit(f"({_WORDS})"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = cut(words)  # read three times
     keyed = words.select("w", "n", sound_key(F.col("w")).alias("k"), F.left("w", F.lit(1)).alias("f")).filter("k <> ''")
     best = keyed.groupBy("k", "f").agg(F.max(F.struct("n", "w")).alias("b"))
     swaps = keyed.join(best, ["k", "f"]).filter(F.col("b.n") >= F.col("n") * least).select(F.col("w").alias("pattern"), F.col("b.w").alias("replacement"))
@@ -26,6 +28,8 @@ def preferred_spellings(documents, col: str = "text", least: int = 5):
 def respelled_texts(spark, sf_dir):
     """Documents with the corpus' own preferred spellings, as digests of the new texts."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if d.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        d = d.repartition(spark.sparkContext.defaultParallelism)  # a small file of few row groups is one task otherwise
     out = rewrite(d, "text", preferred_spellings(d))
     return out.select("doc_id", "n_rewritten", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
