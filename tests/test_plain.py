@@ -195,6 +195,17 @@ def test_twins_are_listed_in_pairs(spark, tmp_path, name):
     assert sorted(con.execute(catalog.ORACLES[name]).fetchall()) == want
 
 
+def test_one_pin_makes_no_pairs(spark, tmp_path, monkeypatch):
+    """Fixes are folded in order: copies, repeated rows, nulls, ids against the order of time."""
+    con = crowd(spark, tmp_path)
+    monkeypatch.setattr(joins, "near", None)
+    p = con.execute(f"WITH {POSITIONS} SELECT event_id, event_type, t, lat, lon FROM positions").fetchall()
+    order = sorted((x for x in p if None not in x), key=lambda x: (x[2], x[0]))
+    taken = greedy([(i, *x) for i, x in enumerate(order)], lambda a, b: a[2] == b[2] and b[3] - a[3] <= 3600 and km(*a[4:], *b[4:]) <= 500)
+    want = sorted([(x[0], list(taken.values()).count(i)) for i, x in enumerate(order) if i not in taken] + [(x[0], 0) for x in p if None in x])
+    assert sorted(tuple(r) for r in catalog.QUERIES["one_pin"](spark, str(tmp_path)).collect()) == want and len(want) > 12
+
+
 def test_first_near_others(spark):
     day = 86_400
     rows = [(1, "a", 1, 0, 10.0, 179.9), (2, "a", 1, 5, 10.0, -179.9), (3, "a", 2, 6 * day, 10.0, -179.9), (4, "a", 2, 9 * day, 10.0, 179.9), (5, "b", 3, 5, 10.0, 179.9),

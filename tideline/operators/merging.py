@@ -126,6 +126,36 @@ def merge_pins(pins: DataFrame, name: str, *, km_one_day: float = 15.0, km_one_l
     return fold_in_order(pins, [name], ["day", "id"], pinning(km_one_day, km_one_link, seconds), PINNED, block_rows=block_rows).drop("_state")
 
 
+def first_pin(kind: str, within: int, most_km: float) -> Step:
+    """Fixes go to the first open pin, the earliest that is at most `within` seconds older and as near; one that finds none opens
+    one. Open pins stand apart from each other, so they are few, however many fixes there are."""
+    from math import asin, cos, degrees, radians, sin, sqrt
+
+    high = degrees(most_km / 6371.0) * 1.001
+
+    def step(state, row):
+        t, lat, lon = row["t"], row["lat"], row["lon"]
+        own = {"t": t, "lat": lat, "lon": lon, "id": row["id"]}
+        if None in (row[kind], t, lat, lon):
+            return state, {"pin": own}
+        open_ = [p for p in state or [] if t - p["t"] <= within]
+        for p in open_:
+            if abs(lat - p["lat"]) <= high:
+                x, y = sin(radians(lat - p["lat"]) / 2), sin(radians(lon - p["lon"]) / 2)
+                if 2 * 6371.0 * asin(min(1.0, sqrt(x * x + cos(radians(p["lat"])) * cos(radians(lat)) * y * y))) <= most_km:
+                    return open_, {"pin": p}
+        return [*open_, own], {"pin": own}
+
+    return step
+
+
+def first_pins(fixes: DataFrame, kind: str, *, within: int, most_km: float, block_rows: int = 100_000) -> DataFrame:
+    """fixes (kind, id, t, lat, lon) with the pin (t, lat, lon, id) that each opens or goes to, by time and id: of a kind's fixes
+    within `within` seconds and the distance of each other the first stays, and one that has gone to a pin takes none. A fix
+    that lacks a column is a pin of its own and takes none. No pairs are made, and no table is sent through the driver."""
+    return fold_in_order(fixes, [kind], ["t", "id"], first_pin(kind, within, most_km), "pin struct<t: long, lat: double, lon: double, id: long>", block_rows=block_rows).drop("_state")
+
+
 def merge_groups(groups: DataFrame, other: DataFrame) -> DataFrame:
     """(id, term): of each group (rows id, term) its own terms and all terms of the groups of `other` that share one with it.
     Equi-joins on terms; null terms are none; a term counts once.
