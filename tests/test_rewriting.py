@@ -51,6 +51,22 @@ def test_one_block_hands_no_hits_on_and_reads_texts_once(spark, tmp_path):
     assert [tuple(r) for r in words.collect()] == [("werd", "wort")]
 
 
+def test_a_large_dictionary_is_held_by_no_task(spark, monkeypatch):
+    """Each text is brought the patterns that its own words ask for, whatever the dictionary holds."""
+    rng, parts = random.Random(4), ["a", "b_", "é9", "New", "York", " ", "  ", "-", ", ", "...", "!", "\n", "٣", "𝒳"]
+    entries = {"".join(rng.choice(parts) for _ in range(rng.randint(1, 6))): rng.choice(["", "X", "a b", "-"]) for _ in range(300)} | {f"unseen{n}": "" for n in range(300)}
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)] * 2 + [None, "", "...", "-", " "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    shared, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: shared.append(x) or broadcast(x))
+    out = rewriting.rewrite(df, "t", spark.createDataFrame([*entries.items()], "pattern string, replacement string"), block=100)
+    assert {r.i: (r.t, r.n_rewritten) for r in out.collect()} == {i: plain(t, entries) for i, t in enumerate(texts)}
+    assert shared and not any(isinstance(x, list) for x in shared)  # a list of the patterns of each block before
+    for text in texts[:60]:
+        found = {p for p in entries if rewriting.key_of(p)[0] in rewriting.keys_in(text, {0, 1, 2})}
+        assert plain(text, {p: entries[p] for p in found}) == plain(text, entries) and not any("unseen" in p for p in found)
+
+
 def test_runs_of_other_letters(spark):
     texts = ["to qalat äbc.", "äb cé and é", "éla äbc now", None, "", "plain", "xéla"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

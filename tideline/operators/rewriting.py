@@ -1,9 +1,10 @@
 """Rewriting whole texts by a dictionary: an automaton of all patterns, leftmost-longest, spans replaced; and respelling of
 the stretches of a text that are written in other letters.
 
-A dictionary (pattern, replacement) is as large as it needs to be: it is cut into blocks of `block` patterns; each block is
-an automaton, broadcast by itself, that reads every text once and adds its hits; what wins where is settled over the hits
-of all blocks.  So memory is bounded by a block, more patterns mean more passes.
+A dictionary (pattern, replacement) is as large as it needs to be. One of `block` patterns at most is an automaton that is
+broadcast and reads every text once. Of a larger one no task holds more than its texts ask for: a pattern is known by its first
+words, groups of texts, of some millions of characters each, say which of those they have, and a join brings each group its own
+patterns, of which its automaton is made. Texts are dealt out and read twice then, whatever the dictionary's size.
 
 Defined results: patterns match whole words only (no letter, digit or underscore of any script beside them), case counts;
 of overlapping hits the leftmost stays, of those the longest; replacements are not read again; null and empty patterns match
@@ -13,12 +14,14 @@ nothing.
 
 from __future__ import annotations
 
+import re
 import uuid
-from itertools import accumulate
+from collections.abc import Iterable
+from zlib import crc32
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,16 +29,21 @@ from pyspark.sql import types as T
 from tideline.lineage import cut
 
 _automata: dict[str, ahocorasick.Automaton] = {}
+_WORD, _OTHER = re.compile(r"\w+"), re.compile(r"\W+")  # as _part_of_word has it
+
+
+def _made(entries: Iterable[tuple[str, str]]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for pattern, replacement in entries:
+        a.add_word(pattern, (len(pattern), replacement))
+    a.make_automaton()
+    return a
 
 
 def _automaton(key: str, entries: list[tuple[str, str]]) -> ahocorasick.Automaton:
     if key not in _automata:
         _automata.clear()
-        a = ahocorasick.Automaton()
-        for pattern, replacement in entries:
-            a.add_word(pattern, (len(pattern), replacement))
-        a.make_automaton()
-        _automata[key] = a
+        _automata[key] = _made(entries)
     return _automata[key]
 
 
@@ -53,54 +61,97 @@ def hits_in(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int,
     return out
 
 
-_HITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("put", T.StringType())]))
+def _put(told: list[str | None], a: ahocorasick.Automaton, kind: pa.DataType) -> list[pa.Array]:
+    done = [put_in(t, hits_in(t, a) if t and len(a) else []) for t in told]
+    return [pa.array([t for t, _ in done], kind), pa.array([n for _, n in done], pa.int32())]
+
+
+def _put_alike(texts: DataFrame, col: str, entries: list[tuple[str, str]]) -> DataFrame:
+    """Texts read once and their hits replaced by the same entries for all."""
+    shared, key, at = texts.sparkSession.sparkContext.broadcast(entries), uuid.uuid4().hex, texts.columns.index(col)
 
+    def run(batches):
+        for batch in batches:
+            columns = batch.columns
+            columns[at], many = _put(batch.column(at).to_pylist(), _automaton(key, shared.value), batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([*columns, many], names=[*batch.schema.names, "n_rewritten"])
 
-def _as_column(hits: list[list[tuple[int, int, str]]]) -> pa.Array:
-    flat, offsets = [h for some in hits for h in some], [0, *accumulate(map(len, hits))]
-    fields = [pa.array([h[k] for h in flat], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.string()))]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "n", "put"]))
+    return texts.mapInArrow(run, _rewritten(texts))
 
 
-def _as_lists(column: pa.ListArray) -> list[list[tuple[int, int, str]]]:
-    flat = list(zip(*(x.to_pylist() for x in column.flatten().flatten())))
-    ends = list(accumulate(n or 0 for n in pc.list_value_length(column).to_pylist()))
-    return [flat[i:j] for i, j in zip([0, *ends], ends)]
+def _rewritten(texts: DataFrame) -> T.StructType:
+    return T.StructType([*texts.schema, T.StructField("n_rewritten", T.IntegerType())])
 
 
-def _read(texts: DataFrame, col: str, entries: list[tuple[str, str]], before: bool, last: bool) -> DataFrame:
-    """Texts read once for a block's hits, which join those of the blocks before in _hits; the last block's reading puts them in."""
-    shared, key, at = texts.sparkSession.sparkContext.broadcast(entries), uuid.uuid4().hex, texts.columns.index(col)
-    own = [f for f in texts.schema if f.name != "_hits"]
-    more = T.StructField("n_rewritten", T.IntegerType()) if last else T.StructField("_hits", _HITS)
+def key_of(pattern: str) -> tuple[str, int]:
+    """What a text must have for the pattern to stand in it, and how many words that is: the pattern's first two words, its only
+    word, or else how it begins."""
+    words = _WORD.findall(pattern)[:2]
+    return " ".join(words) or pattern[:4], len(words)
 
-    def run(batches):
-        for batch in batches:
-            a = _automaton(key, shared.value)
-            told, columns = batch.column(at).to_pylist(), batch.columns[: len(own)]
-            hits = [hits_in(t, a) if t and len(a) else [] for t in told]
-            if before:
-                hits = [[*b, *h] for b, h in zip(_as_lists(batch.column(len(own))), hits)]
-            if last:
-                done = [put_in(t, h) for t, h in zip(told, hits)]
-                columns[at] = pa.array([t for t, _ in done], batch.schema.field(at).type)
-            columns.append(pa.array([n for _, n in done], pa.int32()) if last else _as_column(hits))
-            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in own), more.name])
-
-    return texts.mapInArrow(run, T.StructType([*own, more]))
-
-
-def rewrite(texts: DataFrame, col: str, dictionary: DataFrame, pattern: str = "pattern", replacement: str = "replacement", *, block: int = 500_000) -> DataFrame:
-    """texts with `col` rewritten, and n_rewritten, the number of spans replaced. Each block reads the texts once; where there
-    is but one, no hits are handed on."""
+
+def keys_in(text: str, sorts: set[int]) -> set[str]:
+    """The keys, of so many words, of all patterns that could stand in a text: neighbouring words, words, and what begins anywhere
+    between words."""
+    words = _WORD.findall(text)
+    keys = set(words) if 1 in sorts else set()
+    if 2 in sorts:
+        keys.update(map(" ".join, zip(words, words[1:])))
+    if 0 in sorts:
+        keys.update(s[i : i + n] for s in set(_OTHER.findall(text)) for i in range(len(s)) for n in range(1, 5))
+    return keys
+
+
+def _keyed(batches):
+    for batch in batches:
+        keys = [key_of(p) for p in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k for k, _ in keys], pa.string()), pa.array([n for _, n in keys], pa.int32())], ["p", "r", "key", "sort"])
+
+
+def _asking(col: str, known: DataFrame, count: int):
+    """What gives (_group, key): the keys in a group's texts that the dictionary may have. A bitmap of the hashes of its keys, of 16
+    MB at most, leaves out most others."""
+    size = 1 << max(15, min(27, (16 * count).bit_length()))
+    place = F.crc32(F.col("key").cast("binary")).bitwiseAND(F.lit(size - 1)) + 1
+    parts = known.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits = np.zeros(size // 8, np.uint8)
+    for k, part in parts:
+        bits[(k - 1) * 4096 : k * 4096] = np.frombuffer(part, np.uint8)
+    sorts = {r.sort for r in known.select("sort").distinct().collect()}
+    shared = known.sparkSession.sparkContext.broadcast(bits)
+
+    def run(key, texts):
+        bits, keys = shared.value, list(set().union(*(keys_in(t, sorts) for t in texts[col].to_pylist() if t)))
+        at = np.fromiter((crc32(k.encode()) for k in keys), np.int64, len(keys)) & (size - 1)
+        some = [keys[i] for i in np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist()]
+        return pa.table({"_group": pa.array([key[0].as_py()] * len(some), pa.int64()), "key": pa.array(some, pa.string())})
+
+    return run
+
+
+def rewrite(texts: DataFrame, col: str, dictionary: DataFrame, pattern: str = "pattern", replacement: str = "replacement", *, block: int = 50_000, group_chars: int = 4_000_000) -> DataFrame:
+    """texts with `col` rewritten, and n_rewritten, the number of spans replaced. A dictionary of `block` patterns at most is
+    broadcast; of a larger one each group of texts, of about `group_chars` characters, is brought those whose first words it has.
+    Rows are dealt into groups by all their columns, so that copies of a text, under other ids, are not one group's."""
     known = cut(dictionary.filter(F.length(pattern) > 0).groupBy(F.col(pattern).alias("p")).agg(F.min(F.coalesce(replacement, F.lit(""))).alias("r")))
-    blocks = max(1, -(-known.count() // block))
-    out = texts.select(*(F.col(f"`{c}`") for c in texts.columns if c not in ("_hits", "n_rewritten")))
-    for k in range(blocks):
-        some = known if blocks == 1 else known.filter(F.pmod(F.xxhash64("p"), F.lit(blocks)) == k)
-        entries = [(p, r) for p, r in some.collect()]  # a block
-        out = _read(out, col, entries, k > 0, k == blocks - 1)
-    return out
+    out = texts.select(*(F.col(f"`{c}`") for c in texts.columns if c not in ("_group", "n_rewritten")))
+    count = known.count()
+    if count <= block:
+        return _put_alike(out, col, [(p, r) for p, r in known.collect()])
+    known = cut(known.mapInArrow(_keyed, "p string, r string, key string, sort int"))
+    chars = out.agg(F.sum(F.length(f"`{col}`"))).first()[0] or 0
+    groups = max(texts.sparkSession.sparkContext.defaultParallelism, chars // group_chars)
+    dealt = out.withColumn("_group", F.pmod(F.xxhash64(*(F.col(f"`{f.name}`") for f in out.schema if "map<" not in f.dataType.simpleString())), F.lit(groups)))
+    asked = dealt.groupBy("_group").applyInArrow(_asking(col, known, count), "_group long, key string")
+    # The dictionary is sorted, never broadcast: its files are small for its rows.
+    brought = asked.join(known.hint("merge"), "key").select("_group", "p", "r")
+
+    def put(texts, known):
+        told, many = _put(texts[col].to_pylist(), _made(zip(known["p"].to_pylist(), known["r"].to_pylist())) if known.num_rows else _made([]), texts.schema.field(col).type)
+        texts = texts.drop_columns(["_group"])
+        return texts.set_column(texts.schema.get_field_index(col), texts.schema.field(col), told).append_column("n_rewritten", many)
+
+    return dealt.groupBy("_group").cogroup(brought.groupBy("_group")).applyInArrow(put, _rewritten(out))
 
 
 def put_in(text: str | None, hits: list[tuple[int, int, str]]) -> tuple[str | None, int]:
